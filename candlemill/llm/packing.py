@@ -53,7 +53,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self._known
-        split = [t.split(" ") for t in texts]
+        split = [t.replace("\n", " ").split(" ") for t in texts]
         new = list({w for ws in split for w in ws if w not in known})
         if len(known) + len(new) > REMEMBERED:
             known.clear()
@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k)), *(pa.array(x, t) for x, t in zip(rest, kinds))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]).add("piece", "int")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]).add("piece", "integer")
     for c in ("start", "length", "ids_crc32"):
         schema = schema.add(c, "long")
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
@@ -141,11 +141,11 @@ def best_fit(rows: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHAR
     fields = rows.columns
     schema = rows.schema.add("sequence_id", "long").add("offset", "long")
 
-    def run(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pa.Table.from_batches(batches).select(fields)
+    def run(key, own):
+        own = own.select(fields)
         where, offset = pack(own["length"].to_numpy(), capacity)
         own = own.append_column("sequence_id", pa.array(where * shards + key[0].as_py())).append_column("offset", pa.array(offset))
-        yield from own.to_batches()
+        return own
 
     dealt = rest.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
     packed = dealt.groupBy("__shard").applyInArrow(run, schema)

@@ -38,7 +38,7 @@ def records(pages: DataFrame) -> DataFrame:
     best = named.groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     best = small(table(best.select("key", "first"), "repeated-payloads"), 500_000)
     both = own.withColumn("key", key).join(best, "key", "left")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") <> F.col("first")), F.col("first"))
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
     return both.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), refers.alias("refers_to"), F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"))
 
 
