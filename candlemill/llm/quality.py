@@ -2,8 +2,11 @@
 
 Two multinomials over hashed unigrams and bigrams are counted over all documents: the raw corpus
 and the trusted target (documents labelled quality 1 and not toxic). A document's score is the
-mean over its features of log target/raw, and a document is kept when it passes the base rules
-and its score reaches THRESHOLD. The model is one weight a bucket, a fixed size at any input.
+mean over its features of log target/raw. The threshold is what all but LOST of the labelled good
+documents that pass the base rules reach, less MARGIN; good but toxic documents are no part of the
+target and so stand for documents the model has not seen. A document is kept when it passes the
+base rules and its score reaches the threshold. The model is one weight a bucket, a fixed size at
+any input.
 
 Null text has no words and fails the base rules. Without trusted documents, or without
 documents, every weight is zero and the base rules decide alone. Several labels of a document
@@ -20,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlemill.llm.common import SPACE, read, small
+from candlemill.llm.common import SPACE, read, small, table
 
 BUCKETS = 1 << 16
 #: Additive smoothing of both multinomials, in counts a bucket.
 SMOOTHING = 1.0
-#: Least mean log-likelihood ratio a feature of a kept document.
-THRESHOLD = -0.3
+#: Share of labelled good documents below the threshold before MARGIN, and the threshold without labels.
+LOST, MARGIN, DEFAULT = 0.005, 0.02, -0.3
+#: Bins a unit of score, in which labelled scores are counted; scores lie within the log of the corpus size.
+BINS = 1000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -104,8 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def annotate(docs: DataFrame, weights: np.ndarray, prefix: str = "") -> DataFrame:
-    """docs with COUNTS, base_failed, score and kept, each name after prefix."""
+def score(docs: DataFrame, weights: np.ndarray, prefix: str = "") -> DataFrame:
+    """docs with COUNTS, base_failed and score, each name after prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +123,10 @@ def annotate(docs: DataFrame, weights: np.ndarray, prefix: str = "") -> DataFram
                 ids, distinct = word_ids(words)
                 base = base_counts(data, words, ids, len(distinct))
                 failed = base[0] < MIN_WORDS or 100 * base[4] > MAX_REPEAT_PERCENT * base[0]
-                score = float(w[features(ids, distinct)].mean()) if words else 0.0
-                rows.append((*base, failed, score, not failed and score >= THRESHOLD))
-            new = list(zip(*rows)) or [()] * 8
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
+                mean = float(w[features(ids, distinct)].mean()) if words else 0.0
+                rows.append((*base, failed, mean))
+            new = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64()]
             arrays = [*b.columns[:-1], *(pa.array(x, k) for x, k in zip(new, kinds))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -129,16 +134,35 @@ def annotate(docs: DataFrame, weights: np.ndarray, prefix: str = "") -> DataFram
     schema = docs.schema
     for c in COUNTS:
         schema = schema.add(prefix + c, "long")
-    schema = schema.add(prefix + "base_failed", "boolean").add(prefix + "score", "double").add(prefix + "kept", "boolean")
+    schema = schema.add(prefix + "base_failed", "boolean").add(prefix + "score", "double")
     names = schema.names
     return given.mapInArrow(judge, schema)
 
 
+def threshold(scored: DataFrame, labels: DataFrame, prefix: str = "") -> float:
+    """Score that labelled good documents reach, from counts by bin."""
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    bins = scored.where(~F.col(prefix + "base_failed")).select("doc_id", F.floor(F.col(prefix + "score") * BINS).alias("bin"))
+    rows = sorted(map(tuple, bins.join(small(good, 2_000_000), "doc_id").groupBy("bin").agg(F.count("*")).collect()))
+    below, total = 0, sum(n for _, n in rows)
+    for at, n in rows:
+        below += n
+        if below > LOST * total:
+            return at / BINS - MARGIN
+    return DEFAULT
+
+
+def verdict(docs: DataFrame, labels: DataFrame, prefix: str = "") -> DataFrame:
+    """docs with COUNTS, base_failed, score and kept; a written table."""
+    scored = table(score(docs, fit(docs, labels), prefix), "scores")
+    passed = F.col(prefix + "score") >= threshold(scored, labels, prefix)
+    return scored.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & passed)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of docs that the rules keep, with their columns as they were."""
-    return annotate(docs, fit(docs, labels), "__q_").where("__q_kept").select(docs.columns)
+    return verdict(docs, labels, "__q_").where("__q_kept").select(docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return annotate(docs, fit(docs, read(spark, sf_dir, "labels"))).drop("text")
+    return verdict(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")).drop("text")
