@@ -152,9 +152,9 @@ def threshold(scored: DataFrame, labels: DataFrame, prefix: str = "") -> float:
     return DEFAULT
 
 
-def verdict(docs: DataFrame, labels: DataFrame, prefix: str = "") -> DataFrame:
-    """docs with COUNTS, base_failed, score and kept; a written table."""
-    scored = table(score(docs, fit(docs, labels), prefix), "scores")
+def verdict(docs: DataFrame, labels: DataFrame, prefix: str = "", without: tuple[str, ...] = ()) -> DataFrame:
+    """docs, less some columns, with COUNTS, base_failed, score and kept; a written table."""
+    scored = table(score(docs, fit(docs, labels), prefix).drop(*without), "scores")
     passed = F.col(prefix + "score") >= threshold(scored, labels, prefix)
     return scored.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & passed)
 
@@ -165,4 +165,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdict(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")).drop("text")
+    return verdict(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"), without=("text",))
