@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from candlemill.plans import market
+
+FLAGSHIP = "e13_trade_economics"
 
 
 def queries():
-    return {}
+    return dict(market.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(market.ORACLE)
