@@ -14,6 +14,7 @@ once each. A null doc_id is packed like any other.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,8 +29,8 @@ from candlemill.llm.common import read, table
 
 CAPACITY, END = 4096, 1
 SHARD_TOKENS = 4096 * 4096
-#: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Words, and pieces of words, whose ids a worker remembers before it starts anew.
+REMEMBERED = 150_000
 
 
 def vocabulary() -> str:
@@ -38,29 +39,66 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: itself where it prints, else the next from 256 on."""
+    prints = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 for b in range(256)]
+    spare = iter(range(256, 512))
+    return [chr(b if own else next(spare)) for b, own in enumerate(prints)]
+
+
 class WordEncoder:
     """Ids of texts as little-endian bytes, word by word.
 
-    The tokenizer normalises character by character and never joins across a space, so a text's
-    ids are its space-separated words' ids in order; each distinct word is encoded once.
+    The tokenizer's normaliser works character by character (after NFC) and its pieces never cross
+    a space, so a text's ids are its words' ids in order. Words and pieces that a worker has seen
+    are remembered; a new piece goes through the tokenizer's merge model alone. The strings of
+    special tokens are ordinary text.
     """
 
+    _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self._known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > REMEMBERED:
+        self._model = Tokenizer.from_file(path).model
+        self._split = regex.compile(self._PIECES).findall
+        self._letters = _byte_letters()
+        self._words: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self._parts.get(part)
+        if ids is None:
+            if len(self._parts) >= REMEMBERED:
+                self._parts.clear()
+            text = part if part.isascii() and part.isprintable() else "".join(map(self._letters.__getitem__, part.encode()))
+            ids = self._parts[part] = np.array([t.id for t in self._model.tokenize(text)], "<u4").tobytes()
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        text = word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+        return self._part(text) if text.isalpha() else b"".join(map(self._part, self._split(text)))
+
+    def encode(self, text: str) -> bytes:
+        words = text.replace("\n", " ").split(" ")
+        known = self._words
+        if len(known) >= REMEMBERED:
             known.clear()
-            new = list({w for ws in split for w in ws})
-        for w, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for w in words:
+            if w not in known:
+                known[w] = self._word(w)
+        return b"".join(map(known.__getitem__, words))
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """A worker's own encoder, which outlives its tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -69,13 +107,13 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encode = encoder(path).encode
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 rows = []
-                for k, ids in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
+                for k, text in enumerate(part.column(1).to_pylist()):
+                    ids = encode(text or "") + end
                     for n, first in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[first : first + 4 * capacity]
                         rows.append((k, n, first // 4, len(own) // 4, zlib.crc32(own)))
