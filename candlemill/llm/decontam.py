@@ -97,7 +97,7 @@ def matched_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     for n in short:  # at most nine lengths
         candidates.append(_every(F.col("text"), n))
     met = None
-    wanted = small(prints.select("fp", "size").distinct(), 2_000_000)
+    wanted = small(prints.select("fp", "size").distinct(), 1_000_000)
     for c in candidates:
         part = docs.select("key", F.explode(c).alias("r")).select("key", "r.*").join(wanted, ["fp", "size"])
         met = part if met is None else met.union(part)
@@ -142,7 +142,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     found = matched_windows(keyed.select(F.col("__key").alias("key"), "text").where("text is not null"), windows)
     bad = table(found.select(F.col("key").alias("__key")).distinct(), "contaminated")
-    return keyed.join(small(bad, 2_000_000), "__key", "left_anti").select(docs.columns)
+    return keyed.join(small(bad, 1_000_000), "__key", "left_anti").select(docs.columns)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

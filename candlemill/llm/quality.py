@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weight of each bucket, from counts over all rows of docs; BUCKETS rows reach the driver."""
     sure = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     sure = sure.where("q = 1 and coalesce(t, 0) <> 1").select("doc_id", F.lit(True).alias("trusted"))
-    marked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(small(sure, 2_000_000), "doc_id", "left")
+    marked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(small(sure, 1_000_000), "doc_id", "left")
     parts = marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(_count_features, "bucket long, raw long, target long")
     rows = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -143,7 +143,7 @@ def threshold(scored: DataFrame, labels: DataFrame, prefix: str = "") -> float:
     """Score that labelled good documents reach, from counts by bin."""
     good = labels.where("quality = 1").select("doc_id").distinct()
     bins = scored.where(~F.col(prefix + "base_failed")).select("doc_id", F.floor(F.col(prefix + "score") * BINS).alias("bin"))
-    rows = sorted(map(tuple, bins.join(small(good, 2_000_000), "doc_id").groupBy("bin").agg(F.count("*")).collect()))
+    rows = sorted(map(tuple, bins.join(small(good, 1_000_000), "doc_id").groupBy("bin").agg(F.count("*")).collect()))
     below, total = 0, sum(n for _, n in rows)
     for at, n in rows:
         below += n

@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.where("root is not null").groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of = table(grouped.join(least, "root").select("fp", "component_id"), "classes")
-    return own.join(small(of, 2_000_000), "fp").select("doc_id", "fp", "component_id")
+    return own.join(small(of, 1_000_000), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without a doc_id stay.
     """
     drop = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(small(table(drop, "copies"), 2_000_000), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(table(drop, "copies"), 1_000_000), "doc_id", "left_anti").select(docs.columns)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
