@@ -3,8 +3,9 @@
 Each line's hash gets a HyperLogLog sketch of the sites that hold it, of the documents, and of
 the contexts (line before and line after) it stands in; sketches merge by aggregation. Lines whose
 estimated spread lies near the threshold get exact distinct counts. Boilerplate is spread over at
-least MIN_SITES sites in contexts that differ: a line that travels with the same neighbours is
-part of a copied document, which is near-duplicate detection's work, and stays.
+least MIN_SITES sites in contexts that differ, at least as many and MIN_CONTEXTS of its documents:
+a line that travels with the same neighbours is part of a copied document, which is near-duplicate
+detection's work, and stays.
 
 Null text stays null. Blank lines are never boilerplate. A null site counts as one site. A
 repeated line in one document counts once a context; repeated rows add nothing to sites or
@@ -51,7 +52,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     est = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LG))).alias(c)
     about = seen.groupBy("line").agg(est("site"), est("doc"), est("context"))
     near = lambda x, y: F.abs(F.col(x) - y) <= F.ceil(NEAR * y)
-    bar = F.col("doc") * min_contexts
+    bar = F.greatest(F.col("doc") * min_contexts, F.lit(min_sites))
     about = table(about.where(F.col("site") >= min_sites * (1 - NEAR) - 1).withColumn("near", near("site", F.lit(min_sites)) | near("context", bar)), "spread")
     unsure = about.where("near").select("line")
     one = F.count_distinct
@@ -59,7 +60,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
         one("site").alias("sites"), one("doc").alias("docs"), one("context").alias("contexts"), F.lit(True).alias("exact")
     )
     sure = about.where("not near").select("line", F.col("site").alias("sites"), F.col("doc").alias("docs"), F.col("context").alias("contexts"), F.lit(False).alias("exact"))
-    return sure.unionByName(exact).where((F.col("sites") >= min_sites) & (F.col("contexts") >= F.col("docs") * min_contexts))
+    return sure.unionByName(exact).where((F.col("sites") >= min_sites) & (F.col("contexts") >= F.greatest(F.col("docs") * min_contexts, F.lit(min_sites))))
 
 
 def remove_lines(docs: DataFrame, bad: DataFrame) -> DataFrame:

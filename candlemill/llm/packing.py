@@ -177,7 +177,7 @@ def best_fit(rows: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHAR
     total = rest.agg(F.sum("length")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     fields = rows.columns
-    schema = rows.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*rows.schema]).add("sequence_id", "long").add("offset", "long")
 
     def run(key, own):
         own = own.select(fields)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlemill.llm.common import SPACE, read, small, table
 
@@ -131,7 +132,7 @@ def score(docs: DataFrame, weights: np.ndarray, prefix: str = "") -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     given = docs.withColumn("__data", F.col("text").cast("binary"))
-    schema = docs.schema
+    schema = T.StructType([*docs.schema])
     for c in COUNTS:
         schema = schema.add(prefix + c, "long")
     schema = schema.add(prefix + "base_failed", "boolean").add(prefix + "score", "double")
