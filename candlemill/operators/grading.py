@@ -62,3 +62,13 @@ def summarize(graded: DataFrame, by: list[str], cost: float = 6.0, count_expired
         F.round(F.when(down > 0, F.coalesce(up, F.lit(0.0)) / down), 2).alias("profit_factor"),
         F.round(F.greatest(F.max("drop"), F.lit(0.0)), 4).alias("max_drawdown"),
     )
+
+
+def regrade(log: DataFrame, bars: DataFrame, window_ms: int = DAY_WINDOW_MS, now_ms=None, min_points: float = 0.0) -> DataFrame:
+    """A graded log with its pending rows graded again and changed set where that altered them; all other rows stay frozen."""
+    pending = F.coalesce(F.col("status") == "pending", F.lit(True))
+    given = [c for c in log.columns if c not in ("status", "resolved_price", "resolved_ms", "mfe", "mae")]
+    before = log.where(pending).select("sid", F.struct("status", "mfe", "mae").alias("was"))
+    again = grade(log.where(pending).select(given), bars, window_ms, now_ms, min_points).join(before, "sid")
+    again = again.withColumn("changed", ~F.struct("status", "mfe", "mae").eqNullSafe(F.col("was"))).drop("was")
+    return log.where(~pending).withColumn("changed", F.lit(False)).unionByName(again)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from candlemill.plans import decisions, market  # noqa: F401 - decisions adds its queries to market's
+from candlemill.plans import calls, decisions, market  # noqa: F401 - the first two add their queries to market's
 
 FLAGSHIP = "e13_trade_economics"
 
 
 def queries():
-    """Both modules of plans register into one table."""
+    """All modules of plans register into one table."""
     return dict(market.QUERIES)
 
 
