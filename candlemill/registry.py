@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlemill.plans import calls, decisions, market  # noqa: F401 - the first two add their queries to market's
+from candlemill.plans import calls, decisions, holdings, market  # noqa: F401 - all but the last add their queries to market's
 
 FLAGSHIP = "e13_trade_economics"
 

@@ -48,3 +48,17 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     whole = pages.where(F.size("row") >= 6).withColumn("ts_ms", (F.element_at("row", 1) * 1000).cast("long")).where("ts_ms is not null")
     first = whole.groupBy("symbol", "ts_ms").agg(F.min_by("row", "page").alias("row"))
     return first.select("symbol", "ts_ms", *(F.element_at("row", k).alias(c) for k, c in enumerate("ohlcv", 2)))
+
+
+_CHART = "timestamp array<bigint>, open array<double>, high array<double>, low array<double>, close array<double>, volume array<double>"
+
+
+def clean_charts(charts: DataFrame) -> DataFrame:
+    """(symbol, ts_ms, o, h, l, c, v) of charts(symbol, body), body being JSON arrays matched by position.
+
+    A missing price is 0, prices have two digits, volumes are whole, and bars without a close go.
+    """
+    x = charts.select("symbol", F.from_json("body", _CHART).alias("b")).select("symbol", F.inline(F.arrays_zip(*(F.col(f"b.{n}").alias(n) for n in ("timestamp", "open", "high", "low", "close", "volume")))))
+    price = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 2)
+    x = x.where("timestamp is not null").select("symbol", (F.col("timestamp") * 1000).alias("ts_ms"), *(price(a).alias(b) for a, b in zip(("open", "high", "low", "close"), "ohlc")), F.floor(F.coalesce("volume", F.lit(0.0))).alias("v"))
+    return x.where("c > 0")
