@@ -99,3 +99,26 @@ def newest_headlines(news: DataFrame, each: int = 12, top: int = 24) -> DataFram
     k = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("ts")))
     n = news.where("headline <> ''").withColumn("k", k).where(F.col("k") <= each)
     return n.groupBy("headline").agg(F.max("ts").alias("ts"), F.concat_ws(",", F.array_sort(F.collect_set("tag"))).alias("tags")).orderBy(F.desc("ts")).limit(top)
+
+
+def post_open_calls(calls: DataFrame, sessions: DataFrame, margin: float = 0.2) -> DataFrame:
+    """calls(symbol, day, up, down, flat) with what the day has done so far, and the vote anew.
+
+    sessions(symbol, day, prev_close, open, spot, vwap, or_high, or_low, bars) is the day up to now;
+    the opening range counts from its third bar. A day without one keeps its evening's points.
+    """
+    c, s = F.col, calls.join(sessions, ["symbol", "day"], "left")
+    gap, since = percent(c("open"), c("prev_close")), percent(c("spot"), c("open"))
+    ranged = c("bars") >= 3
+    points = lambda *rules: sum((F.when(r, n).otherwise(0) for r, n in rules), F.lit(0))
+    s = s.withColumns(
+        {
+            "up": c("up") + points((gap >= 0.15, 1), (since >= 0.1, 2), (c("spot") > c("vwap"), 2), (ranged & (c("spot") > c("or_high")), 1)),
+            "down": c("down") + points((gap <= -0.15, 1), (since <= -0.1, 2), (c("spot") <= c("vwap"), 2), (ranged & (c("spot") < c("or_low")), 1)),
+            "flat": c("flat") + points((ranged & c("spot").between(c("or_low"), c("or_high")), 1)),
+        }
+    )
+    lean = (c("up") - c("down")) / (c("up") + c("down") + c("flat"))
+    agreed = F.when(F.abs(lean) >= margin, 50 + half_up(F.abs(lean) * 45)).otherwise(50 - half_up(F.abs(lean) * 30))
+    action = F.when(lean >= margin, "UP").when(lean <= -margin, "DOWN").otherwise("FLAT")
+    return s.select("symbol", "day", "up", "down", "flat", action.alias("action"), F.greatest(F.lit(20), F.least(F.lit(90), agreed)).cast("int").alias("confidence"))

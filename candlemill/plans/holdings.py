@@ -22,7 +22,7 @@ def a4_coverage(spark, d):
     return archive.inventory(archive.read_range(bars(spark, d), "click"))
 
 
-@query("""SELECT event_type AS symbol, epoch_ms(ts) // 1000 * 1000 AS ts_ms, round(CASE WHEN event_id % 9 = 0 THEN 0 ELSE value END, 2) AS o, round(value + 1, 2) AS h, round(value - 1, 2) AS l, round(value, 2) AS c, CAST(floor(event_id % 7 + 0.5) AS BIGINT) AS v
+@query("""SELECT event_type AS symbol, epoch_us(ts) // 1000000 * 1000 AS ts_ms, round(CASE WHEN event_id % 9 = 0 THEN 0 ELSE value END, 2) AS o, round(value + 1, 2) AS h, round(value - 1, 2) AS l, round(value, 2) AS c, CAST(floor(event_id % 7 + 0.5) AS BIGINT) AS v
 FROM events WHERE event_id % 11 <> 0 AND round(value, 2) > 0""")
 def a7_chart_landing(spark, d):
     """Chart bodies, one a symbol and hour, whose arrays are matched by position; some prices are missing."""
@@ -48,7 +48,7 @@ def a10_symbols(spark, d):
 # scalars
 
 
-@query("WITH t AS (SELECT event_id, epoch_ms(ts) + 19800000 AS ms FROM events) SELECT event_id, CAST(floor(ms / 86400000) AS INT) AS day, strftime(make_timestamp(ms * 1000), '%H:%M') AS label, CAST(floor((ms % 86400000) / 60000) AS INT) AS minutes, CAST(isodow(make_timestamp(ms * 1000)) - 1 AS INT) AS weekday FROM t")
+@query("WITH t AS (SELECT event_id, epoch_us(ts) // 1000 + 19800000 AS ms FROM events) SELECT event_id, CAST(floor(ms / 86400000) AS INT) AS day, strftime(make_timestamp(ms * 1000), '%H:%M') AS label, CAST(floor((ms % 86400000) / 60000) AS INT) AS minutes, CAST(isodow(make_timestamp(ms * 1000)) - 1 AS INT) AS weekday FROM t")
 def b1_calendar_keys(spark, d):
     """Day, clock label, minute of the day and weekday at +05:30."""
     e = load(spark, d, "events").select("event_id", epoch_ms("ts").alias("ms"))
@@ -233,10 +233,10 @@ DBARS = f"{DAILY}, bars AS (SELECT symbol, epoch_ms(CAST(day AS TIMESTAMP)) AS t
 SIXTY = 60 * 86_400_000
 
 
-@query(f"WITH RECURSIVE {MERGED.replace(BARS, DBARS).replace('WHERE action IS NOT NULL', 'WHERE action IS NOT NULL AND abs(rsi - 50) >= 20')}, {graded_sql(SIXTY).replace('+ 0.5', '').replace('- 0.5', '')} SELECT symbol, first_ms, action, status, round(resolved_price, 6) AS resolved_price FROM graded")
+@query(f"WITH RECURSIVE {MERGED.replace(BARS, DBARS).replace('WHERE action IS NOT NULL', 'WHERE action IS NOT NULL AND abs(rsi - 50) >= 8')}, {graded_sql(SIXTY).replace('+ 0.5', '').replace('- 0.5', '')} SELECT symbol, first_ms, action, status, round(resolved_price, 6) AS resolved_price FROM graded")
 def g13_holding_log(spark, d):
     """Sure readings of each symbol's daily bars, merged against its own latest and graded over 60 days without a least distance."""
     b = daily(spark, d).withColumn("ts_ms", F.unix_date("day").cast("long") * 86_400_000).drop("day")
-    s = signals.merge_signals(signals.band_signals(indicators.with_indicators(b)).where("confidence >= 20"))
+    s = signals.merge_signals(signals.band_signals(indicators.with_indicators(b)).where("confidence >= 8"))
     s = s.withColumn("sid", F.concat(F.col("first_ms").cast("string"), "symbol")).withColumn("ts_ms", F.col("first_ms"))
     return rounded(grading.grade(s, b, SIXTY).select("symbol", "first_ms", "action", "status", "resolved_price"))
