@@ -90,7 +90,7 @@ def cross_trades(bars: DataFrame, variants: DataFrame, period: int = 9, look: in
     b = b.withColumns({"bars": F.count("*").over(whole), "thin": F.min(F.coalesce("v", F.lit(0.0))).over(whole)}).where((F.col("bars") >= least_bars) & (F.col("thin") > 0))
     b = b.select("symbol", "day", "ts_ms", "o", "h", "l", "c", "low", "high", "side", "minutes").crossJoin(F.broadcast(variants))
 
-    def session(key, s: pd.DataFrame) -> pd.DataFrame:
+    def session(key: tuple, s: pd.DataFrame) -> pd.DataFrame:
         s = s.sort_values("ts_ms")
         at, o, h, low, c, lo, hi, cross, minutes = (s[x].to_numpy() for x in ("ts_ms", "o", "h", "l", "c", "low", "high", "side", "minutes"))
         sides, stop_pts, min_rr = s["sides"].iloc[0], float(s["stop_pts"].iloc[0]), float(s["min_rr"].iloc[0])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlemill.plans import calls, decisions, holdings, market, replays  # noqa: F401 - they add their queries to market's
+from candlemill.plans import calls, decisions, holdings, learn, market, replays  # noqa: F401 - they add their queries to market's
 
 FLAGSHIP = "e13_trade_economics"
 
