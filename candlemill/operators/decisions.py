@@ -104,3 +104,64 @@ def best_entries(log: DataFrame, by: list[str], at: str) -> DataFrame:
     """One row of a log per key: resolved before expired before open, then the newest."""
     rank = F.when(F.col("status").isin("target", "stop"), 3).when(F.col("status") == "expired", 2).otherwise(1)
     return log.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(rank.desc(), F.desc(at)))).where("__k = 1").drop("__k")
+
+
+def with_factors(df: DataFrame) -> DataFrame:
+    """Adds factors(name, type, weight) of a bar in index-scalp mode: structure, session, liquidity, gap zone and indicator rows.
+
+    Bars have c, support, resistance, atr, vwap, or_high, or_low, or_ready, liq_label, zone_type and
+    zone_status (null for none), rsi, hist, ema_20, ema_50, bb_lower and bb_upper.
+    """
+    c = F.col
+    factor = lambda name, kind, weight: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(float(weight)).alias("weight"))
+    span = F.when(c("resistance") == c("support"), 1.0).otherwise(c("resistance") - c("support"))
+    near = F.greatest(c("atr") * 0.6, span * 0.06)
+    at = (c("c") - c("support")) / span
+    zone = (
+        F.when(c("c") - c("support") <= near, factor("Support zone", "BUY", 4)).when(c("resistance") - c("c") <= near, factor("Resistance zone", "SELL", 4))
+        .when(at < 0.35, factor("Support zone", "BUY", 2)).when(at > 0.65, factor("Resistance zone", "SELL", 2)).otherwise(factor("S/R mid-range", "HOLD", 1))
+    )
+    vwap = F.when(c("vwap").isNotNull(), F.when(c("c") >= c("vwap"), factor("VWAP", "BUY", 2)).otherwise(factor("VWAP", "SELL", 2)))
+    opened = F.when(c("or_ready"), F.when(c("c") > c("or_high"), factor("Opening range", "BUY", 2)).when(c("c") < c("or_low"), factor("Opening range", "SELL", 2)).otherwise(factor("Opening range", "HOLD", 1)))
+    liquid = F.when(c("liq_label") == "High", factor("Liquidity", "BUY", 2)).when(c("liq_label") == "Low", factor("Liquidity", "HOLD", 2)).otherwise(factor("Liquidity", "HOLD", 1))
+    weight = F.when(c("zone_status") == "inside", 3.0).otherwise(2.0)
+    gap = F.when(c("zone_type").isNotNull(), F.struct(F.lit("Fair value gap").alias("name"), c("zone_type").alias("type"), weight.alias("weight")))
+
+    def row(name, buy, sell):
+        return F.when(buy, factor(name, "BUY", 1)).when(sell, factor(name, "SELL", 1)).otherwise(factor(name, "HOLD", 1))
+
+    rows = [
+        row("RSI", c("rsi") < 30, c("rsi") > 70), row("MACD", c("hist") > 0, F.lit(True)), row("EMA", (c("c") > c("ema_20")) & (c("c") > c("ema_50")), (c("c") < c("ema_20")) & (c("c") < c("ema_50"))),
+        row("Bollinger", c("c") <= c("bb_lower"), c("c") >= c("bb_upper")),
+    ]
+    said = F.array(gap, F.when((c("support") != 0) & (c("resistance") != 0), zone), vwap, opened, liquid, *rows)
+    return df.withColumn("factors", F.filter(said, lambda x: x.isNotNull()))
+
+
+#: Columns of a feature row, in the order that models are fitted with.
+FEATURES = (
+    "action_buy confidence rr target_dist_pct stop_dist_pct buy_weight sell_weight hold_weight weight_margin n_factors rsi macd_h_pct macd_v_pct stoch bb_pct bb_width_pct ema20_dist_pct ema50_dist_pct "
+    "ema_spread_pct atr_pct vol_ratio vwap_dist_pct or_pos or_ready res_dist_pct sup_dist_pct fvg_inside fvg_bull chg_pct minutes_from_open dow session_bars ret_5_pct ret_20_pct realized_vol_pct bar_range_pct streak vix_level vix_vs_20d vix_pctile_1y"
+).split()
+
+
+def features(df: DataFrame) -> DataFrame:
+    """(symbol, ts_ms, FEATURES): bars with a final call as rows for a model; what is missing counts 0.
+
+    Bars have what with_factors() and the calls add, and change_pct, line, liq_ratio, minutes,
+    weekday, dn (number in the day), streak, vol_20, ret_5, ret_20, vix, vix_ratio and vix_rank.
+    """
+    c = F.col
+    share = lambda x: F.when(c("c") != 0, x / c("c") * 100)
+    held = F.aggregate(F.filter("factors", lambda f: f["type"] == "HOLD"), F.lit(0.0), lambda a, f: a + f["weight"])
+    both, band, opened = c("buy_w") + c("sell_w"), c("bb_upper") - c("bb_lower"), c("or_high") - c("or_low")
+    value = {
+        "action_buy": (c("action") == "BUY").cast("double"), "confidence": c("confidence"), "rr": c("rr"), "target_dist_pct": F.abs(share(c("target") - c("c"))), "stop_dist_pct": F.abs(share(c("c") - c("stop"))),
+        "buy_weight": c("buy_w"), "sell_weight": c("sell_w"), "hold_weight": held, "weight_margin": F.when(both != 0, (c("buy_w") - c("sell_w")) / both), "n_factors": F.size("factors"),
+        "rsi": c("rsi"), "macd_h_pct": share(c("hist")), "macd_v_pct": share(c("line")), "stoch": c("stoch"), "bb_pct": F.when(band > 0, (c("c") - c("bb_lower")) / band).otherwise(0.5), "bb_width_pct": share(band),
+        "ema20_dist_pct": share(c("c") - c("ema_20")), "ema50_dist_pct": share(c("c") - c("ema_50")), "ema_spread_pct": share(c("ema_20") - c("ema_50")), "atr_pct": share(c("atr")), "vol_ratio": c("liq_ratio"),
+        "vwap_dist_pct": share(c("c") - c("vwap")), "or_pos": F.when(opened > 0, (c("c") - c("or_low")) / opened).otherwise(0.5), "or_ready": c("or_ready").cast("double"), "res_dist_pct": share(c("resistance") - c("c")), "sup_dist_pct": share(c("c") - c("support")),
+        "fvg_inside": (c("zone_status") == "inside").cast("double"), "fvg_bull": F.when(c("zone_type") == "BUY", 1.0).when(c("zone_type") == "SELL", -1.0), "chg_pct": c("change_pct"), "minutes_from_open": c("minutes") - 555, "dow": c("weekday"), "session_bars": c("dn"),
+        "ret_5_pct": c("ret_5"), "ret_20_pct": c("ret_20"), "realized_vol_pct": c("vol_20"), "bar_range_pct": share(c("h") - c("l")), "streak": c("streak"), "vix_level": c("vix"), "vix_vs_20d": c("vix_ratio"), "vix_pctile_1y": c("vix_rank"),
+    }
+    return df.select("symbol", "ts_ms", *(F.coalesce(value[n].cast("double"), F.lit(0.0)).alias(n) for n in FEATURES))

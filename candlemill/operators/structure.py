@@ -110,3 +110,22 @@ def zone_signals(bars: DataFrame, reach: int = 80, most: int = 8) -> DataFrame:
     g = fresh.groupBy("symbol", "n").agg(F.max(F.when(inside & (F.col("side") == "bull"), zone)).alias("x"), F.max(F.when(inside & (F.col("side") == "bear"), zone)).alias("y"), F.max(zone).alias("z"))
     g = g.withColumn("status", F.when(F.coalesce("x", "y").isNull(), "formed").otherwise("inside")).withColumn("q", F.coalesce("x", "y", "z"))
     return g.select("symbol", "n", F.when(F.col("q.side") == "bull", "BUY").otherwise("SELL").alias("type"), "status", "q.low", "q.high")
+
+
+def cross_reading(bars: DataFrame, period: int = 9, look: int = 20, stop_pts: float = 20.5, min_rr: float = 1.5) -> DataFrame:
+    """(symbol, day, ts_ms, side, cross_ms, entry, target, stop, rr, passes): where each series stands at its newest bar.
+
+    side is that of the average against the session's price, cross_ms the session's last cross, null
+    for none. The target is the extreme of the last bars on that side; a target behind the entry has
+    no rr and does not pass. A session without volume so far has no side.
+    """
+    upto = Window.partitionBy("symbol").orderBy("ts_ms").rowsBetween(1 - look, 0)
+    b = running_vwap(ema(bars, "c", period, "ema")).withColumns({"lo": F.min("l").over(upto), "hi": F.max("h").over(upto)})
+    newest = b.groupBy("symbol").agg(F.max_by(F.struct("day", "ts_ms", "c", "ema", "vwap", "lo", "hi"), "ts_ms").alias("x")).select("symbol", "x.*")
+    newest = newest.withColumn("side", F.when(F.col("ema") >= F.col("vwap"), "LONG").when(F.col("ema") < F.col("vwap"), "SHORT"))
+    seen = crosses(bars, period).withColumn("day", session_day(F.col("ts_ms"))).groupBy("symbol", "day").agg(F.max("ts_ms").alias("cross_ms"))
+    way = F.when(F.col("side") == "LONG", 1).when(F.col("side") == "SHORT", -1)
+    n = newest.join(seen, ["symbol", "day"], "left").withColumn("target", F.when(way == 1, F.col("hi")).when(way == -1, F.col("lo")))
+    reward = (F.col("target") - F.col("c")) * way
+    n = n.withColumns({"stop": F.col("c") - way * stop_pts, "rr": F.when(reward > 0, reward / stop_pts)})
+    return n.select("symbol", "day", "ts_ms", "side", "cross_ms", F.col("c").alias("entry"), "target", "stop", "rr", F.coalesce(F.col("rr") >= min_rr, F.lit(False)).alias("passes"))

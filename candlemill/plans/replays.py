@@ -25,11 +25,14 @@ def c13_supertrend(spark, d):
     return rounded(replay.supertrend(bars(spark, d)))
 
 
-@query(f"""WITH {BASICS}, w AS (SELECT symbol, n AS mid, c, lag(h) OVER k AS h0, lag(l) OVER k AS l0, lead(h) OVER k AS h2, lead(l) OVER k AS l2 FROM b WINDOW k AS (PARTITION BY symbol ORDER BY ts_ms)),
+ZONES = """w AS (SELECT symbol, n AS mid, c, lag(h) OVER k AS h0, lag(l) OVER k AS l0, lead(h) OVER k AS h2, lead(l) OVER k AS l2 FROM b WINDOW k AS (PARTITION BY symbol ORDER BY ts_ms)),
 y AS (SELECT symbol, mid, 'bull' AS side, h0 AS low, l2 AS high FROM w WHERE l2 - h0 >= c * 0.0003 UNION ALL SELECT symbol, mid, 'bear', h2, l0 FROM w WHERE l0 - h2 >= c * 0.0003),
 f AS (SELECT y.symbol, mid, any_value(side) AS side, any_value(low) AS low, any_value(high) AS high, min(b.n) FILTER (CASE WHEN side = 'bull' THEN b.l <= y.low ELSE b.h >= y.high END) AS filled FROM y LEFT JOIN b ON b.symbol = y.symbol AND b.n BETWEEN mid + 2 AND mid + 80 GROUP BY 1, 2),
 x AS (SELECT b.symbol, b.n, b.c, mid, side, low, high, filled FROM b JOIN f ON f.symbol = b.symbol AND b.n > mid AND b.n < mid + 80 QUALIFY row_number() OVER (PARTITION BY b.symbol, b.n ORDER BY mid DESC) <= 8), v AS (SELECT * FROM x WHERE filled IS NULL OR filled > n),
-g AS (SELECT symbol, n, max(mid) FILTER (c BETWEEN low AND high AND side = 'bull') AS p, max(mid) FILTER (c BETWEEN low AND high AND side = 'bear') AS q, max(mid) AS r FROM v GROUP BY 1, 2)
+g AS (SELECT symbol, n, max(mid) FILTER (c BETWEEN low AND high AND side = 'bull') AS p, max(mid) FILTER (c BETWEEN low AND high AND side = 'bear') AS q, max(mid) AS r FROM v GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {BASICS}, {ZONES}
 SELECT g.symbol, CAST(g.n AS INT) AS n, CASE side WHEN 'bull' THEN 'BUY' ELSE 'SELL' END AS type, CASE WHEN coalesce(p, q) IS NULL THEN 'formed' ELSE 'inside' END AS status, round(low, 6) AS low, round(high, 6) AS high FROM g JOIN f ON f.symbol = g.symbol AND f.mid = coalesce(p, q, r)""")
 def c15_zone_signals(spark, d):
     return rounded(structure.zone_signals(bars(spark, d)))
@@ -121,6 +124,13 @@ def g19_cross_grid(spark, d):
     return rounded(g.withColumn("net", F.col("gross") - 6))
 
 
+@query(f"""WITH RECURSIVE {CROSSES}, u AS (SELECT *, max(CASE WHEN way IS NOT NULL THEN ts_ms END) OVER (PARTITION BY symbol, day) AS cross_ms, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms DESC) AS back FROM
+  (SELECT *, CASE WHEN pe < pv AND ema >= vwap THEN 1 WHEN pe > pv AND ema <= vwap THEN -1 END AS way FROM q2)), x AS (SELECT *, CASE WHEN ema >= vwap THEN 1 ELSE -1 END AS s FROM u WHERE back = 1), y AS (SELECT *, CASE s WHEN 1 THEN hi ELSE lo END AS target FROM x)
+SELECT symbol, day, ts_ms, CASE s WHEN 1 THEN 'LONG' ELSE 'SHORT' END AS side, cross_ms, round(c, 6) AS entry, round(target, 6) AS target, round(c - s * 20.5::DOUBLE, 6) AS stop, round(CASE WHEN (target - c) * s > 0 THEN (target - c) * s / 20.5::DOUBLE END, 6) AS rr, coalesce((target - c) * s > 0 AND (target - c) * s / 20.5::DOUBLE >= 1.5, FALSE) AS passes FROM y""")
+def g11_cross_reading(spark, d):
+    return rounded(structure.cross_reading(bars(spark, d)))
+
+
 # the day so far
 
 BDAILY = f"{BARS}, bb AS (SELECT *, CAST(floor((ts_ms + 19800000) / 86400000) AS INT) AS dno FROM bars), daily AS (SELECT symbol, DATE '1970-01-01' + dno AS day, first(o ORDER BY ts_ms) AS o, max(h) AS h, min(l) AS l, last(c ORDER BY ts_ms) AS c, sum(v) AS v FROM bb GROUP BY 1, 2)"

@@ -114,3 +114,15 @@ def test_stream_grades_like_the_batch(spark, tmp_path):
     got = sorted((r.sid, r.status, r.resolved_price, r.resolved_ms, r.mfe, r.mae) for r in spark.table("graded").collect())
     want = sorted((r.sid, r.status, r.resolved_price, r.resolved_ms, r.mfe, r.mae) for r in grading.grade(sig, bars, window).collect())
     assert got == want
+
+
+def test_features_do_not_look_ahead(spark):
+    from candlemill.operators.decisions import FEATURES
+    from candlemill.plans.features import feature_rows
+
+    walk = [100 + (k * 37 % 23) / 2 + (k % 11) * (-1) ** (k // 13) for k in range(120)]
+    vix = spark.createDataFrame([("2023-12-07", 14.0), ("2023-12-09", 15.0)], "day string, close double").withColumn("day", F.to_date("day"))
+    whole, part = (feature_rows(_bars(spark, walk[:n]), vix).orderBy("ts_ms").collect() for n in (120, 70))
+    assert whole[0].__fields__ == ["symbol", "ts_ms", *FEATURES] and len(FEATURES) == 40
+    near = lambda a, b: all(x == y or abs(x - y) < 1e-9 for x, y in zip(a, b))
+    assert len(part) == 70 and all(near(a, b) for a, b in zip(part, whole))
