@@ -217,3 +217,23 @@ def test_passages(spark):
     assert {r.doc_id for r in got} | {r.other_id for r in got} == set(range(10))
     assert all(r.start_word >= 98 and r.end_word <= 172 and r.end_word - r.start_word >= 40 for r in got)
     assert passages.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passages_with_differing_neighbours(spark):
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    one, two = words(60), words(60)
+    parts = {1: one[:30], 7: one[:30], 2: one[30:], 8: one[30:], 5: one, 9: one, 11: two, 12: [*two, *words(30), *two]}
+    own = {i: words(80) + p + words(40) for i, p in parts.items()}
+    own[13] = ["loop"] * 400
+    own[14] = ["loop"] * 300
+    got = passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in own.items()], "doc_id long, text string")).collect()
+
+    # every 50-word span that an earlier document has too lies, up to a window at its ends, in passages of its document
+    spans = {i: {tuple(w[k : k + 50]) for k in range(len(w) - 49)} for i, w in own.items()}
+    for i, w in own.items():
+        covered = {k for r in got if r.doc_id == i for k in range(r.start_word, r.end_word)}
+        for k in range(len(w) - 49):
+            if any(tuple(w[k : k + 50]) in spans[j] for j in own if j < i):
+                assert covered.issuperset(range(k + 5, k + 45)), (i, k)
+    assert {(r.doc_id, r.other_id) for r in got} == {(9, 5), (12, 11), (14, 13)}
