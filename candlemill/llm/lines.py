@@ -1,15 +1,15 @@
 """Line dedup: lines spread over many sites are boilerplate and go.
 
-Each line's hash gets a HyperLogLog sketch of the sites that hold it, of the documents, and of
-the contexts (line before and line after) it stands in; sketches merge by aggregation. Lines whose
-estimated spread lies near the threshold get exact distinct counts. Boilerplate is spread over at
-least MIN_SITES sites in contexts that differ, at least as many and MIN_CONTEXTS of its documents:
-a line that travels with the same neighbours is part of a copied document, which is near-duplicate
-detection's work, and stays.
-
-Null text stays null. Blank lines are never boilerplate. A null site counts as one site. A
-repeated line in one document counts once a context; repeated rows add nothing to sites or
-contexts. Removal keeps the order of what stays; a document of boilerplate alone becomes empty.
+Each line's hash gets a HyperLogLog sketch of the sites that hold it; sketches merge by
+aggregation. Texts that hold a line of enough sites are put into classes of exact and near copies
+by their whole SimHash, and the line gets a sketch of the classes too. Lines whose estimates lie
+near the threshold get exact distinct counts. Boilerplate is spread over at least MIN_SITES sites
+and at least as many classes: copies count once, so a line that only travels with a copied document
+is near-duplicate detection's work and stays, while a block repeated in differing documents goes.
+
+Null text stays null. Blank lines are never boilerplate. A null site counts as one site. Repeated
+lines in one document and repeated rows add nothing to sites or classes. Removal keeps the order
+of what stays; a document of boilerplate alone becomes empty.
 """
 
 from __future__ import annotations
@@ -18,49 +18,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlemill.llm.common import let, read, small, table
+from candlemill.llm.simhash import near_duplicates
 
-#: Least distinct sites, and least distinct contexts as a share of the documents.
-MIN_SITES, MIN_CONTEXTS = 8, 0.3
+#: Least distinct sites, and least distinct classes of copies.
+MIN_SITES = 8
 #: Relative distance from the threshold within which counts are made exact; HLL errs by 1.04/sqrt(2^LG).
 NEAR, LG = 0.15, 10
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """(line, site, doc, context) hashes of every line with a word."""
-
-    def around(ls):
-        return F.transform(
-            ls,
-            lambda x, i: F.when(
-                F.trim(x) != "",
-                F.struct(F.xxhash64(x).alias("line"), F.xxhash64(F.when(i > 0, F.get(ls, i - 1)), F.lit("\n"), F.get(ls, i + 1)).alias("context")),
-            ),
-        )
-
+    """(line, site, doc) hashes of every line with a word."""
+    hashes = lambda ls: F.transform(ls, lambda x: F.when(F.trim(x) != "", F.xxhash64(x)))
     of = docs.where("text is not null").select(
-        F.xxhash64(site).alias("site"), F.xxhash64("text").alias("doc"), F.explode(let(F.split("text", "\n", -1), around)).alias("l")
+        F.xxhash64(site).alias("site"), F.xxhash64("text").alias("doc"), F.explode(let(F.split("text", "\n", -1), hashes)).alias("line")
     )
-    return of.where("l is not null").select("l.line", "site", "doc", "l.context")
+    return of.where("line is not null").select("line", "site", "doc")
+
 
+def _with_class(seen: DataFrame, docs: DataFrame) -> DataFrame:
+    """seen with class, which near copies among the texts whose hash is in seen(doc) share."""
+    holders = table(seen.select("doc").distinct(), "holders")
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("doc"), "text").join(small(holders, 1_000_000), "doc", "left_semi")
+    found = near_duplicates(texts.withColumnRenamed("doc", "doc_id"))
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("doc"), F.col("component_id").alias("class")).distinct()
+    return seen.join(small(table(copies, "line-copies"), 1_000_000), "doc", "left").withColumn("class", F.coalesce("class", "doc"))
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_contexts: float = MIN_CONTEXTS) -> DataFrame:
-    """(line, sites, docs, contexts, exact) of boilerplate line hashes."""
+
+def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """(line, sites, classes, exact) of boilerplate line hashes."""
     lines = _lines(docs, site)
     # a line seen fewer times than min_sites has no chance; plain counts come first, sketches for the rest
     often = table(lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line"), "often")
-    seen = lines.join(small(often, 1_000_000), "line")
     est = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LG))).alias(c)
-    about = seen.groupBy("line").agg(est("site"), est("doc"), est("context"))
-    near = lambda x, y: F.abs(F.col(x) - y) <= F.ceil(NEAR * y)
-    bar = F.greatest(F.col("doc") * min_contexts, F.lit(min_sites))
-    about = table(about.where(F.col("site") >= min_sites * (1 - NEAR) - 1).withColumn("near", near("site", F.lit(min_sites)) | near("context", bar)), "spread")
+    least = min_sites * (1 - NEAR) - 1
+    wide = lines.join(small(often, 1_000_000), "line").groupBy("line").agg(est("site")).where(F.col("site") >= least)
+    seen = table(lines.join(small(table(wide.select("line"), "wide"), 1_000_000), "line"), "wide-lines")
+    seen = table(_with_class(seen, docs), "line-classes")
+    about = seen.groupBy("line").agg(est("site"), est("class")).where((F.col("site") >= least) & (F.col("class") >= least))
+    near = lambda c: F.abs(F.col(c) - min_sites) <= F.ceil(F.lit(NEAR * min_sites))
+    about = table(about.withColumn("near", near("site") | near("class")), "spread")
     unsure = about.where("near").select("line")
     one = F.count_distinct
-    exact = seen.join(small(table(unsure, "unsure"), 1_000_000), "line").groupBy("line").agg(
-        one("site").alias("sites"), one("doc").alias("docs"), one("context").alias("contexts"), F.lit(True).alias("exact")
-    )
-    sure = about.where("not near").select("line", F.col("site").alias("sites"), F.col("doc").alias("docs"), F.col("context").alias("contexts"), F.lit(False).alias("exact"))
-    return sure.unionByName(exact).where((F.col("sites") >= min_sites) & (F.col("contexts") >= F.greatest(F.col("docs") * min_contexts, F.lit(min_sites))))
+    exact = seen.join(small(table(unsure, "unsure"), 1_000_000), "line").groupBy("line").agg(one("site").alias("sites"), one("class").alias("classes"), F.lit(True).alias("exact"))
+    sure = about.where("not near").select("line", F.col("site").alias("sites"), F.col("class").alias("classes"), F.lit(False).alias("exact"))
+    return sure.unionByName(exact).where((F.col("sites") >= min_sites) & (F.col("classes") >= min_sites))
 
 
 def remove_lines(docs: DataFrame, bad: DataFrame) -> DataFrame:

@@ -237,3 +237,16 @@ def test_passages_with_differing_neighbours(spark):
             if any(tuple(w[k : k + 50]) in spans[j] for j in own if j < i):
                 assert covered.issuperset(range(k + 5, k + 45)), (i, k)
     assert {(r.doc_id, r.other_id) for r in got} == {(9, 5), (12, 11), (14, 13)}
+
+
+def test_line_dedup_of_blocks(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    block = ["licensed under terms", "keep this notice", "no warranty given"]
+    own = [words(60) for _ in range(12)]
+    rows = [(i, "\n".join([t, *block, words(50)]), f"s{i}") for i, t in enumerate(own)]
+    page = [words(70) for _ in range(3)]  # near copies of one page on as many sites
+    rows += [(100 + i, "\n".join([page[0], page[1], page[2] + f" x{i}"]), f"s{i}") for i in range(12)]
+    rows += [(200 + i, "\n".join([words(60), *block[:1], "on seven sites", words(50)]), f"s{i % 7}") for i in range(12)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x not in block) for i, t, _ in rows}
