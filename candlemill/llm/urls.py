@@ -4,9 +4,11 @@ Each labelled page is a trial that fails if it is toxic or of low quality. Failu
 level by level: a host's beta prior has its registered domain's posterior mean, a domain's its
 suffix's, a suffix's the overall rate; each level's prior weight comes from the spread of that
 level's rates (method of moments). A page is blocked if the lower posterior bound of its host's
-failure rate lies above MAX_RATE, unless a rule decides.
+failure rate lies above MAX_RATE, unless a rule decides. A host without labels has the prior that
+the nearest level with labels gives it: its domain, else its suffix, else the overall rate; the
+bound is that prior's, with the prior weight of the level below.
 
-Null urls, and urls without ://, have empty host and path and the overall rate. Pages and labels
+Null urls, and urls without ://, have empty host and path and the overall rate, and are allowed. Pages and labels
 may repeat; several labels of a page count as failed if any does. Without labels every page that
 no rule decides is allowed. A host of one label is its own registered domain and suffix.
 """
@@ -45,18 +47,29 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
-def reputation(outcomes: DataFrame) -> tuple[DataFrame, float]:
-    """(host, n, failed, rate, low) of outcomes(host, failed 0/1), and the overall rate.
+def _keys(host: Column) -> dict[str, Column]:
+    """A host's key at each level."""
+    return {"suffix": F.element_at(F.split(host, r"\.", -1), -1), "domain": F.substring_index(host, ".", -2), "host": host}
+
+
+def _low(a: Column, b: Column) -> Column:
+    """Lower bound of a beta posterior."""
+    return a / (a + b) - Z * F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))
+
+
+def reputation(outcomes: DataFrame) -> tuple[DataFrame, float, float]:
+    """(level, key, rate, low) of outcomes(host, failed 0/1), the overall rate and its lower bound.
+
+    Rate and bound are for hosts of that key which have no labels at the levels below.
 
     The counts of a host, the least of the levels, are summed before anything meets in one place.
     """
     host = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("failed").alias("failed"))
-    parts = F.split("host", r"\.", -1)
-    host = host.withColumn("suffix", F.element_at(parts, -1)).withColumn("domain", F.substring_index("host", ".", -2))
-    host = table(host, "hosts")
+    keys = _keys(F.col("host"))
+    host = table(host.withColumns({k: keys[k] for k in LEVELS[:-1]}), "hosts")
     n, failed = host.agg(F.sum("n"), F.sum("failed")).first()
     overall = float(failed) / n if n else 0.0
-    up = None
+    up, posteriors, weights = None, [], []
     for k, level in enumerate(LEVELS):
         keys = list(LEVELS[: k + 1])
         own = host.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"))
@@ -69,8 +82,16 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, float]:
         a, b = F.col("failed") + weight * F.col("prior"), F.col("n") - F.col("failed") + weight * (1 - F.col("prior"))
         own = own.withColumns({"a": a, "b": b}).withColumn("rate", F.col("a") / (F.col("a") + F.col("b")))
         up = own.select(*keys, F.col("rate").alias("prior"))
-    sd = F.sqrt(F.col("a") * F.col("b") / (F.pow(F.col("a") + F.col("b"), 2) * (F.col("a") + F.col("b") + 1)))
-    return own.select("host", "n", "failed", "rate", (F.col("rate") - Z * sd).alias("low")), overall
+        posteriors.append(own.select(F.lit(level).alias("level"), F.col(level).alias("key"), "rate", "a", "b"))
+        weights.append(weight)
+    out = None
+    for own, below in zip(posteriors, [*weights[1:], None]):
+        # a host's own posterior is its bound; from above comes only the prior of the next level
+        low = _low(F.col("a"), F.col("b")) if below is None else _low(below * F.col("rate"), below * (1 - F.col("rate")))
+        own = own.select("level", "key", "rate", F.coalesce(low, F.col("rate")).alias("low"))
+        out = own if out is None else out.unionByName(own)
+    spread = (overall * (1 - overall) / (weights[0] + 1)) ** 0.5
+    return out, overall, overall - Z * spread
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
@@ -79,11 +100,17 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     bad = F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("failed")
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(bad).where("failed is not null")
-    scores, overall = reputation(urls.join(known, "page_id").where("host <> ''").select("host", "failed"))
-    of = urls.join(small(table(scores, "reputation"), 500_000), "host", "left")
+    scores, overall, least = reputation(urls.join(known, "page_id").where("host <> ''").select("host", "failed"))
+    scores, of = table(scores, "reputation"), urls
+    for level in LEVELS:
+        own = scores.where(F.col("level") == level).select(F.col("key").alias(f"__{level}"), F.struct("rate", "low").alias(f"__of_{level}"))
+        of = of.withColumn(f"__{level}", _keys(F.col("host"))[level]).join(small(own, 500_000), f"__{level}", "left")
+    found = F.coalesce(*(f"__of_{level}" for level in reversed(LEVELS)))
+    of = of.withColumn("rate", F.coalesce(found["rate"], F.lit(overall)))
+    of = of.withColumn("low", F.when(F.col("host") == "", 0.0).otherwise(F.coalesce(found["low"], F.lit(least))))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    method = F.when(F.coalesce("low", F.lit(0.0)) > MAX_RATE, "block").otherwise("allow")
-    return of.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.coalesce("rate", F.lit(overall)).alias("rate"))
+    method = F.when(F.col("low") > MAX_RATE, "block").otherwise("allow")
+    return of.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "rate")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

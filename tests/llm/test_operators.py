@@ -250,3 +250,16 @@ def test_line_dedup_of_blocks(spark):
     rows += [(200 + i, "\n".join([words(60), *block[:1], "on seven sites", words(50)]), f"s{i % 7}") for i in range(12)]
     got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == {i: "\n".join(x for x in t.split("\n") if x not in block) for i, t, _ in rows}
+
+
+def test_unlabelled_hosts_fall_back(spark):
+    hosts = [f"{h}.bad.com" for h in "abcdef"] + [f"{h}.good.com" for h in "abcdef"]
+    rows = [(k, f"http://{hosts[k % 12]}/{k}") for k in range(480)]
+    labels = [(k, int("good" in u), 0) for k, u in rows]
+    rows += [(1000, "http://new.bad.com/"), (1001, "http://new.good.com/"), (1002, "http://other.com/"), (1003, "http://far.net/"), (1004, None)]
+    judged = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.page_id: (r.verdict, r.rate) for r in judged.collect()}
+    assert len(got) == len(rows) and got[0][0] == "block" and got[6][0] == "allow"
+    assert got[1000][0] == "block" and got[1000][1] > 0.9
+    assert got[1001][0] == "allow" and got[1001][1] < 0.1
+    assert [got[k][0] for k in (1002, 1003, 1004)] == ["allow"] * 3 and got[1003][1] == got[1004][1] == 0.5
