@@ -1,21 +1,28 @@
-"""Main text of web pages: article structure first, a suffix array over each host's pages for the rest.
+"""Main text of web pages: a suffix array over each host's pages decides what structure leaves open.
 
 A small tag reader cuts a page into blocks of text and notes where each stands. Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are junk by their
-element, role or class. Where a page has an article (or main) element, its other blocks are the
-text. Where it has none, structure leaves blocks undecided: the unprotected token streams of the
-host's pages are concatenated, a suffix array finds runs of at least MIN_RUN tokens that stand on
-two or more distinct pages, and undecided blocks that such runs cover are boilerplate; unique runs
-stay. Hosts of more than SHARD_PAGES pages are dealt into shards by page and a run must repeat
-within a shard, so that no task holds a whole large host.
-
-Null or empty html gives empty text. A page without url belongs to the host "". Tags left open
-end with what holds them, text cut off in a tag or character reference is kept as far as it goes.
-Repeated pages are pages of their own, but equal html does not make boilerplate of itself.
+element, role or whole class or id word; a box that holds an article or main element is never junk by
+its own marks. Plain blocks of an article (or of a main element, where there is no article) are the
+text, whole, whatever repeats. The rest is open: on a page without article or main every block that
+is not junk, elsewhere blocks in boxes of the article whose compound class or id holds a junk word
+(ad-free, menu-board), and blocks of main beside the article. For these the token streams of the
+host's pages, junk included and plain article text left out, are concatenated, a suffix array finds
+runs of at least MIN_RUN tokens that stand on two or more distinct pages, and open blocks that such
+runs cover are boilerplate and go; unique runs stay. A host of more than SHARD_PAGES pages is read in
+shards; the shards' runs are then counted together over the host, so the split changes no result.
+
+Null or empty html, and pages without blocks, give empty text; a table without pages gives none. A
+page without url belongs to the host "". Tags left open end with what holds them; text cut off in a
+tag or character reference is kept as far as it goes. References are decoded in each piece of text
+between tags by itself. Very long texts are blocks like others. Repeated pages are pages of their
+own and all returned, but equal streams count as one page, so copies do not make boilerplate of
+themselves. Only page_id, url and html are read; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -30,16 +37,27 @@ from candlemill.llm.common import read, small, table
 
 MIN_RUN, COVERED, SHARD_PAGES = 8, 0.8, 2000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>?|<[!?][^>]*>?", re.S)
-_MARK = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARK = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
-_DROP = frozenset("head nav header footer aside form menu dialog button select svg canvas object audio video".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
-_BOX = frozenset("div section ul ol dl p span table article figure details".split())
-_MAIN = frozenset(("article", "main"))
-#: Words in class or id that name junk.
-_JUNK = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside widget notice cookie cookies consent banner alert ad ads advert adverts advertisement advertising promo promotion sponsor sponsored comment comments disqus discussion replies share sharing social related recommended newsletter subscribe subscription signup login search popup modal overlay pagination pager".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
+_DROP = frozenset(("head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "canvas", "object", "audio", "video"))
+_VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+_BLOCK = frozenset((
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
+    "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
+))
+_BOX = frozenset(("div", "section", "ul", "ol", "dl", "p", "span", "table", "article", "figure", "details"))
+#: Whole class or id words that name reader comments; articles in them are comments too.
+_COMMENTS = frozenset(("comment", "comments", "comment-list", "comments-list", "comment-section", "comments-section", "comments-area", "disqus", "disqus_thread", "discussion", "replies", "respond"))
+#: Other whole class or id words that name junk.
+_JUNK = _COMMENTS | frozenset((
+    "nav", "navbar", "navigation", "main-nav", "site-nav", "menu", "main-menu", "breadcrumb", "breadcrumbs", "header", "site-header", "page-header", "footer", "site-footer", "page-footer",
+    "sidebar", "left-sidebar", "right-sidebar", "aside", "widget", "widgets", "widget-area", "notice", "cookie", "cookies", "cookie-notice", "cookie-banner", "cookie-bar", "cookie-consent", "consent", "banner",
+    "alert", "ad", "ads", "ad-banner", "ad-container", "ad-slot", "advert", "adverts", "advertisement", "advertising", "promo", "promotion", "sponsor", "sponsored", "share", "sharing", "social", "share-buttons",
+    "social-links", "related", "related-posts", "recommended", "newsletter", "newsletter-signup", "subscribe", "subscription", "signup", "login", "search", "search-form", "popup", "modal", "overlay", "pagination", "pager",
+))
+#: Junk words as parts of a compound word prove nothing; the suffix array decides.
+_PARTS = frozenset(w for w in _JUNK if w.isalpha())
+_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"))
 
 
 def _marks(attributes: str) -> tuple[set, str]:
@@ -47,51 +65,69 @@ def _marks(attributes: str) -> tuple[set, str]:
     for name, *values in _MARK.findall(attributes):
         value = "".join(values).lower()
         if name.lower() in ("class", "id"):
-            words.update(re.split(r"[^a-z0-9]+", value))
+            words.update(value.split())
         else:
             role = value
     return words, role
 
 
+class _Box:
+    """An element that is junk, is hinted to be, or is an article or main."""
+
+    __slots__ = ("junk", "comments", "hint", "main")
+
+    def __init__(self, tag: str, attributes: str):
+        words, role = _marks(attributes) if "=" in attributes else ((), "")
+        self.comments = tag in _BOX and not _COMMENTS.isdisjoint(words)
+        self.junk = self.comments or tag in _DROP or role in _ROLES or (tag in _BOX and not _JUNK.isdisjoint(words))
+        self.main = "" if self.junk else "article" if tag == "article" or role in ("article", "articlebody") else "main" if tag == "main" or role == "main" else ""
+        self.hint = not self.junk and not self.main and tag in _BOX and any(not _PARTS.isdisjoint(re.split(r"[^a-z0-9]+", w)) for w in words)
+
+    def __bool__(self) -> bool:
+        return self.junk or self.hint or bool(self.main)
+
+
 def blocks(page: str | None) -> list[tuple[str, str]]:
-    """(place, text) of each block in page order; place is article, junk or open."""
+    """(place, text) of each block in page order; place is article, open or junk.
+
+    On a page with an article or main, what stands outside it is junk.
+    """
     page = page or ""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    found: list[tuple[tuple, str]] = []
+    stack: list[tuple[str, _Box | None]] = []
     opened: dict[str, int] = {}
-    junk = main = 0
+    boxes: tuple[_Box, ...] = ()
     text: list[str] = []
 
     def end() -> None:
         if text:
-            words = " ".join(html.unescape("".join(text)).split())
+            words = " ".join("".join(text).split())
             if words:
-                out.append(("junk" if junk else "article" if main else "open", words))
+                found.append((boxes, words))
             text.clear()
 
     at = 0
     while m := _TAG.search(page, at):
         if m.start() > at:
-            text.append(page[at : m.start()])
+            text.append(html.unescape(page[at : m.start()]))
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if page[at - 1] != ">" and page[at : at + 1] in ('"', "'"):  # a quote that never closes
+            at = page.find(">", at) + 1 or len(page)
         if m[1]:
             if tag in _BLOCK:
                 end()
             elif tag in ("td", "th"):
                 text.append(" ")
             if opened.get(tag):
-                if tag not in _BLOCK and (tag in _DROP or any(s[1] or s[2] for s in stack[-1:])):
-                    end()
                 while True:
-                    name, was_junk, was_main = stack.pop()
+                    name, box = stack.pop()
                     opened[name] -= 1
-                    if was_junk or was_main:
+                    if box:
                         end()
-                    junk -= was_junk
-                    main -= was_main
+                        boxes = boxes[:-1]
                     if name == tag:
                         break
             continue
@@ -105,22 +141,31 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             continue
         if tag in _VOID or m[0].endswith("/>"):
             continue
-        is_junk, is_main = tag in _DROP, tag in _MAIN
-        if m[3] and "=" in m[3]:
-            words, role = _marks(m[3])
-            is_junk |= role in _ROLES or (tag in _BOX and not _JUNK.isdisjoint(words))
-            is_main |= role in ("main", "article", "articlebody")
-        is_main &= not is_junk
-        if is_junk or is_main:
+        box = _Box(tag, m[3]) if m[3] or tag in _DROP or tag in ("article", "main") else None
+        if box:
             end()
-        junk += is_junk
-        main += is_main
-        stack.append((tag, is_junk, is_main))
+            if box.main and not any(b.comments or b.main == "article" for b in boxes):
+                for b in boxes:  # what holds the article is neither junk nor open
+                    b.junk = b.hint = False
+            boxes = (*boxes, box)
+        stack.append((tag, box))
         opened[tag] = opened.get(tag, 0) + 1
     if at < len(page):
         rest = page[at:]
-        text.append(rest if not re.match(r"<[/!?a-zA-Z]", rest) else "")
+        text.append(html.unescape(rest) if not re.match(r"<[/!?a-zA-Z]", rest) else "")
     end()
+    return _placed(found)
+
+
+def _placed(found: list[tuple[tuple, str]]) -> list[tuple[str, str]]:
+    kinds = []
+    for boxes, _ in found:
+        junk, mains = any(b.junk for b in boxes), {b.main for b in boxes} - {""}
+        kinds.append((junk, "article" if "article" in mains else "main" if mains else "", any(b.hint for b in boxes)))
+    best = max((k[1] for k in kinds if not k[0]), key=("", "main", "article").index, default="")
+    out = []
+    for (junk, main, hint), (_, words) in zip(kinds, found):
+        out.append(("junk" if junk or (best and not main) else "open" if hint or main != best or not best else "article", words))
     return out
 
 
@@ -167,38 +212,65 @@ def repeated(streams: list[list[str]], pages: list[int]) -> list[np.ndarray]:
 
 
 def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds text (null where undecided), places and texts of the blocks outside articles."""
+    """Adds text (null where a block is open) and the blocks that are not plain article text, or all if one is open."""
     for b in batches:
         rows = []
         for page in b.column(b.num_columns - 1).to_pylist():
             found = blocks(page)
-            main = [t for p, t in found if p == "article"]
-            undecided = not main and any(p == "open" for p, _ in found)
-            rest = [(p, t) for p, t in found if p != "article"]
-            rows.append((None if undecided else "\n\n".join(main), [p for p, _ in rest], [t for _, t in rest]))
+            text = None if any(p == "open" for p, _ in found) else "\n\n".join(t for p, t in found if p == "article")
+            rest = [x for x in found if text is None or x[0] != "article"]
+            rows.append((text, [p for p, _ in rest], [t for _, t in rest]))
         text, places, texts = zip(*rows) if rows else ((), (), ())
         arrays = [pa.array(text, pa.string()), pa.array(places, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*b.schema.names[:-1], "text", "places", "texts"])
 
 
-def _decide(key, own):
-    """Text of one shard's undecided pages."""
-    streams = [[w for t in texts or () for w in t.split()] for texts in own["texts"].to_pylist()]
-    cover = repeated(streams, np.unique(np.array([hash("\0".join(s)) for s in streams], np.int64), return_inverse=True)[1].tolist())
+def _streams(own) -> list[list[str]]:
+    """Tokens of each page's blocks outside plain article text."""
+    return [[w for p, t in zip(ps or (), ts or ()) if p != "article" for w in t.split()] for ps, ts in zip(own["places"].to_pylist(), own["texts"].to_pylist())]
+
+
+def _hash(tokens: list[str]) -> str:
+    return hashlib.blake2b("\0".join(tokens).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _shard_runs(key, own):
+    """Distinct runs of MIN_RUN tokens of one shard with the least and greatest stream that holds each."""
+    seen: dict[str, tuple[str, str]] = {}
+    for s in _streams(own):
+        page = _hash(s)
+        for i in range(len(s) - MIN_RUN + 1):
+            run = _hash(s[i : i + MIN_RUN])
+            lo, hi = seen.get(run, (page, page))
+            seen[run] = (min(lo, page), max(hi, page))
+    n = len(seen)
+    lo, hi = zip(*seen.values()) if seen else ((), ())
+    cols = [pa.array([key[0].as_py()] * n, pa.string()), pa.array([key[1].as_py()] * n, pa.int64()), *(pa.array(list(x), pa.string()) for x in (seen, lo, hi))]
+    return pa.Table.from_arrays(cols, names=["host", "shard", "run", "lo", "hi"])
+
+
+def _decide(key, own, elsewhere):
+    """Text of one shard's pages with open blocks; elsewhere has the shard's runs that other shards repeat."""
+    streams, known = _streams(own), set(elsewhere["run"].to_pylist())
+    page = np.unique(np.array([_hash(s) for s in streams], str), return_inverse=True)[1].tolist()
     out = []
-    for undecided, places, texts, c in zip(own["open"].to_pylist(), own["places"].to_pylist(), own["texts"].to_pylist(), cover):
-        if not undecided:
+    for text, places, texts, s, c in zip(own["text"].to_pylist(), own["places"].to_pylist(), own["texts"].to_pylist(), streams, repeated(streams, page)):
+        if text is not None:
             out.append(None)
             continue
+        if known:
+            for i in range(len(s) - MIN_RUN + 1):
+                if _hash(s[i : i + MIN_RUN]) in known:
+                    c[i : i + MIN_RUN] = True
         keep, at = [], 0
         for place, t in zip(places, texts):
-            n = len(t.split())
-            if place == "open" and c[at : at + n].mean() < COVERED:
+            n = len(t.split()) if place != "article" else 0
+            if place == "article" or place == "open" and c[at : at + n].mean() < COVERED:
                 keep.append(t)
             at += n
         out.append("\n\n".join(keep))
     new = own.select(["page_id", "url"]).append_column("text", pa.array(out, pa.string()))
-    return new.filter(pa.array([x is not None for x in out]))
+    return new.filter(pa.array([x is not None for x in out], pa.bool_()))
 
 
 def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
@@ -209,11 +281,15 @@ def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     parsed = table(pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(_read_pages, schema), "pages")
     counts = parsed.groupBy("host").agg(F.count("*").alias("n"), F.max(F.col("text").isNull()).alias("open"))
     shards = counts.where("open").select("host", F.ceil(F.col("n") / shard_pages).cast("int").alias("shards"))
-    # article texts stay behind: only blocks outside articles are dealt, by host and shard
-    outside = parsed.select("host", "page_id", "url", F.col("text").isNull().alias("open"), "places", "texts")
-    dealt = outside.join(small(table(shards, "shards"), 500_000), "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
-    dealt = dealt.drop("shards").repartition("host", "shard")
-    text = dealt.groupBy("host", "shard").applyInArrow(_decide, T.StructType([*kept]).add("text", "string"))
+    # plain article texts stay behind: only the blocks of hosts with an open one are dealt, by host and shard
+    some = parsed.join(small(table(shards, "shards"), 500_000), "host")
+    dealt = some.withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")).cast("long"))
+    split = dealt.where("shards > 1").select("host", "shard", "places", "texts")
+    runs = table(split.groupBy("host", "shard").applyInArrow(_shard_runs, "host string, shard long, run string, lo string, hi string"), "shard-runs")
+    often = runs.groupBy("host", "run").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most")
+    elsewhere = runs.where("lo = hi").join(often.select("host", "run"), ["host", "run"]).select("host", "shard", "run")
+    both = dealt.drop("shards").groupBy("host", "shard").cogroup(elsewhere.groupBy("host", "shard"))
+    text = both.applyInArrow(_decide, T.StructType([*kept]).add("text", "string"))
     return parsed.where("text is not null").select("page_id", "url", "text").unionByName(text)
 
 

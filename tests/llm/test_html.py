@@ -52,3 +52,40 @@ def test_host_boilerplate_goes_where_no_article_tells(spark):
 
 def test_no_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_whole_articles_stay():
+    p = "<p>Whole article text"
+    for page in (
+        f'<div class="layout no-sidebar"><article>{p}', f'<div id="menu-board"><article>{p}', f'<div class="content with-sidebar"><main>{p}',
+        f'<article class="post comments-open">{p}', f'<form id="search"><div class="header"><article>{p}', f'<div class="sidebar"><main><div data-id="menu">{p}',
+        f'<div id="comments"><article class="post">Nice</article></div><article>{p}', f"<main>{p}</main>",
+    ):
+        assert texts(page) == ["Whole article text"], page
+    assert html.blocks('<article><p>Own<div class="ad-free story">Free') == [("article", "Own"), ("open", "Free")]
+    assert html.blocks("<main><p>Beside</p><article><p>Own</article></main>") == [("open", "Beside"), ("article", "Own")]
+    assert texts("<article><p>One</p><article><p>Two</p></article>Three</article>") == ["One", "Two", "Three"]
+
+
+def test_references_are_decoded_between_tags():
+    assert texts("<article><p>&<b>lt;</b> &#65;&eacute;") == ["&lt; Aé"]
+    assert texts('<article><p>x<a href="abc>y</a> z') == ["xy z"]
+
+
+def test_open_blocks_in_articles_and_shards(spark):
+    boiler = "our shop sells the best tea in the whole wide town"
+    rows = [(i, f"http://h.example/{i}", f'<nav>a b</nav><article><p>story {i} of page {i}</p><div class="tea-promo">{boiler}</div><div class="ad-free">free words number {i} here</div></article>') for i in range(9)]
+    rows += [(20 + i, f"http://h.example/{i}", f"<body><div>{boiler}</div><div>text {i} is about subject number {i} alone</div>") for i in range(9)]
+    rows += [(40, "http://other.example/", f'<article><p>x</p><div class="tea-promo">{boiler}'), rows[3]]
+    want = {i: f"story {i} of page {i}\n\nfree words number {i} here" for i in range(9)}
+    want |= {20 + i: f"text {i} is about subject number {i} alone" for i in range(9)} | {40: f"x\n\n{boiler}"}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1, 2, 5, 2000):
+        got = html.extract(pages, shard_pages=size).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want, size
+
+
+def test_extra_columns_and_nulls(spark):
+    rows = [(None, None, "<article>x", "h", "t"), (1, "u", None, "h", "t")]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, places string")).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got) == [(0, "x"), (1, "")]
