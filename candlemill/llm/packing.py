@@ -8,14 +8,19 @@ from the largest down, each above a half takes the largest fitting partner of at
 what is left pairs up in order of size (three fit only where all are at most a third). Smaller
 pieces then go, largest first, where they leave the least room.
 
-Null text is an empty document: its one piece is the end token alone. Repeated rows are packed
-once each. A null doc_id is packed like any other.
+Null and empty texts are empty documents: their one piece is the end token alone. A table without
+rows gives none. Very long texts are cut, never dropped. Repeated rows are packed once each and
+spread over the shards, ties in length go in row order. A null doc_id is packed like any other, and
+doc_id may have any type. Only doc_id and text are read; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,7 +35,7 @@ from candlemill.llm.common import read, table
 CAPACITY, END = 4096, 1
 SHARD_TOKENS = 4096 * 4096
 #: Words, and pieces of words, whose ids a worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 800_000
 
 
 def vocabulary() -> str:
@@ -46,68 +51,104 @@ def _byte_letters() -> list[str]:
     return [chr(b if own else next(spare)) for b, own in enumerate(prints)]
 
 
-class WordEncoder:
-    """Ids of texts as little-endian bytes, word by word.
+#: The vocabulary's pieces in a word of lower-case text, and in one of ASCII alone.
+_ANY = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+"
 
-    The tokenizer's normaliser works character by character (after NFC) and its pieces never cross
-    a space, so a text's ids are its words' ids in order. Words and pieces that a worker has seen
-    are remembered; a new piece goes through the tokenizer's merge model alone. The strings of
-    special tokens are ordinary text.
-    """
 
-    _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+class _Parts(dict):
+    """Ids, as little-endian bytes, of each piece seen so far; a new piece goes through the merge model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self._model, self._letters = model, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        text = part if part.isascii() and part.isprintable() else "".join(map(self._letters.__getitem__, part.encode()))
+        ids = self[part] = array("I", [t.id for t in self._model.tokenize(text)]).tobytes()
+        return ids
+
 
-    def __init__(self, path: str):
+class _Words(dict):
+    """Ids of each word, as cut at spaces and line ends, seen so far."""
+
+    def __init__(self, parts: _Parts):
         import regex
-        from tokenizers import Tokenizer
 
-        self._model = Tokenizer.from_file(path).model
-        self._split = regex.compile(self._PIECES).findall
-        self._letters = _byte_letters()
-        self._words: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        ids = self._parts.get(part)
-        if ids is None:
-            if len(self._parts) >= REMEMBERED:
-                self._parts.clear()
-            text = part if part.isascii() and part.isprintable() else "".join(map(self._letters.__getitem__, part.encode()))
-            ids = self._parts[part] = np.array([t.id for t in self._model.tokenize(text)], "<u4").tobytes()
+        super().__init__()
+        self._parts, self._any, self._ascii = parts, regex.compile(_ANY).findall, re.compile(_ASCII).findall
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii():
+            found = self._ascii(word.lower())
+        else:  # a capital sigma's lower case depends on its place only in Python
+            found = self._any(word.lower() if "Σ" not in word else "σ".join(x.lower() for x in word.split("Σ")))
+        ids = self[word] = b"".join(map(self._parts.__getitem__, found))
         return ids
 
-    def _word(self, word: str) -> bytes:
-        text = word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-        return self._part(text) if text.isalpha() else b"".join(map(self._part, self._split(text)))
+
+class WordEncoder:
+    """Ids of texts as little-endian bytes, equal to the tokenizer's own without its added begin and end.
+
+    The vocabulary's normaliser is NFC and lower case by character, and no piece that PIECES finds
+    crosses a space; where the file says so, the ids of words and of pieces seen before are remembered,
+    and a new piece goes through the merge model. Texts that hold a special token's string, and all texts under a file of another
+    form, go through the tokenizer itself. special_as_text takes special strings for ordinary text.
+    """
+
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    def __init__(self, path: str, special_as_text: bool = False):
+        from tokenizers import Tokenizer
+
+        self._whole = Tokenizer.from_file(path)
+        self._whole.encode_special_tokens = special_as_text
+        own = json.loads(self._whole.to_str())
+        self._known_form = self._is_known(own)
+        self._special = [] if special_as_text else [t["content"] for t in own["added_tokens"]]
+        self._parts = _Parts(self._whole.model)
+        self._words = _Words(self._parts)
+
+    @classmethod
+    def _is_known(cls, own: dict) -> bool:
+        forms = (own["normalizer"] or {}).get("normalizers", [])
+        split, *rest = (own["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        return (
+            [x["type"] for x in forms] == ["NFC", "Replace", "Lowercase"]
+            and (forms[1]["pattern"], forms[1]["content"]) == ({"Regex": r"\s+"}, " ")
+            and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": cls.PIECES}, "Removed", True)
+            and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in rest] == [("ByteLevel", False, False)]
+            and own["post_processor"] is None
+            and not any(t["normalized"] for t in own["added_tokens"])
+        )
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self._words
-        if len(known) >= REMEMBERED:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self._word(w)
-        return b"".join(map(known.__getitem__, words))
+        if not self._known_form or any(x in text for x in self._special):
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        for known in (self._parts, self._words):
+            if len(known) >= REMEMBERED:
+                known.clear()
+        text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        return b"".join(map(self._words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, special_as_text: bool) -> WordEncoder:
     """A worker's own encoder, which outlives its tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    key = (path, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, special_as_text: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document's ids and END, cut at capacity."""
     path = path or vocabulary()
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, special_as_text).encode
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -185,14 +226,14 @@ def best_fit(rows: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHAR
         own = own.append_column("sequence_id", pa.array(where * shards + key[0].as_py())).append_column("offset", pa.array(offset))
         return own
 
-    dealt = rest.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+    dealt = rest.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
     packed = dealt.groupBy("__shard").applyInArrow(run, schema)
     alone = whole.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return best_fit(table(pieces(docs, path), "pieces"))
+def pack_documents(docs: DataFrame, path: str | None = None, special_as_text: bool = False) -> DataFrame:
+    return best_fit(table(pieces(docs, path, special_as_text=special_as_text), "pieces"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,14 +15,15 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(packing.vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.vocabulary())
 
 
-def test_word_encoder_gives_the_tokenizers_ids(tokenizer):
-    e = packing.WordEncoder(packing.vocabulary())
-    for text in TEXTS:
+@pytest.mark.parametrize("as_text", [False, True])
+def test_word_encoder_gives_the_tokenizers_ids(as_text):
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    tokenizer.encode_special_tokens = as_text
+    e = packing.WordEncoder(packing.vocabulary(), as_text)
+    for text in [*TEXTS, "a<|endoftext|> b", "Σ<|startoftext|>x", "ΑΣ ΣΑ aΣ", "<|ENDOFTEXT|>"]:
         assert np.frombuffer(e.encode(text or ""), "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -46,6 +47,27 @@ def test_pieces_fill_sequences_without_gap(spark, tokenizer):
         assert at <= 4096
 
 
+def test_other_vocabularies_go_through_the_tokenizer():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, t = packing.WordEncoder(path), Tokenizer.from_file(path)
+    for text in TEXTS:
+        assert np.frombuffer(e.encode(text or ""), "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    docs = spark.createDataFrame([(None, "same words", 1)] * 400, "doc_id long, text string, offset int")
+    rows = packing.table(packing.pieces(docs, capacity=64), "pieces")
+    got = packing.best_fit(rows, 64, shard_tokens=300).collect()
+    per = defaultdict(int)
+    for r in got:
+        per[r.sequence_id] += r.length
+    assert len(got) == 400 and max(per.values()) <= 64
+    shards = -(-sum(per.values()) // 300)
+    assert len({k % shards for k in per}) == shards
+
+
 def test_pack_is_near_the_bound():
     lengths = np.random.default_rng(1).integers(1, 4096, 3000)
     where, offset = packing.pack(lengths)
