@@ -1,14 +1,18 @@
 """WARC archives of pages, written and read back as a chunked record table.
 
-Writers stream records into archive files of the shared folder, one file after the other up to
-FILE_BYTES, under names of their own attempt; the written table of file names is what counts, so
-what a lost task leaves is never read. Readers open an archive as a stream and give a row for
-each CHUNK_BYTES of a record's payload, with the SHA-1 so far and, on the last, of the whole; no
-record is held whole. A payload's record is a response, or a revisit of the response that has the
-same payload.
-
-Null html is an empty payload. Null page_ids are archived too; they are never what a revisit
-refers to, unless no other page has the payload. Repeated page_ids are records of their own.
+A page is rows of record and chunk number with WRITE_BYTES of its payload each, so that no writer
+holds a record whole; writers stream them into archive files of the shared folder, one file after
+the other from FILE_BYTES on, under names of their own attempt. The written table of file names is
+what counts, so what a lost task leaves is never read. Readers open an archive as a stream, as many
+tasks as there are archives, and give a row for each CHUNK_BYTES of a record's payload, with the
+SHA-1 so far and, on the last, of the whole. A payload's record is a response, or a revisit of the
+response that has the same payload.
+
+Null html is an empty payload, as is empty text; a table without pages gives no archive and no row.
+Null page_ids are archived too; they are never what a revisit refers to, unless no other page has
+the payload. Repeated page_ids are records of their own: of several rows with the greatest page_id of
+a payload each is a response. page_id is a whole number. Only page_id, url and html are read; other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -25,21 +29,31 @@ from pyspark.sql import functions as F
 from candlemill.llm.common import read, shared_dir, small, table
 
 CHUNK_BYTES, FILE_BYTES = 1 << 18, 64 << 20
+#: Bytes of a payload in a row that goes to a writer.
+WRITE_BYTES = 1 << 16
 REVISIT_BYTES = 1000
 _URN = "urn:uuid:"
 _SPACE = uuid.UUID("6ba7b812-9dad-11d1-80b4-00c04fd430c8")
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, refers_to): refers_to is the response that a revisit repeats."""
-    own = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    key = F.when(F.octet_length("payload") >= REVISIT_BYTES, F.sha2("payload", 256))
-    named = own.where(F.octet_length("payload") >= REVISIT_BYTES).select(key.alias("key"), "page_id")
+def records(pages: DataFrame, chunk_bytes: int = WRITE_BYTES) -> DataFrame:
+    """(page_id, url, refers_to, size, digest, chunk_no, last, chunk): a record's chunks stand together, in order.
+
+    refers_to is the response that a revisit repeats; a revisit has one empty chunk.
+    """
+    payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    own = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("size"))
+    key = F.when(F.col("size") >= REVISIT_BYTES, F.sha2("payload", 256))
+    named = own.where(F.col("size") >= REVISIT_BYTES).select(key.alias("key"), "page_id")
     best = named.groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     best = small(table(best.select("key", "first"), "repeated-payloads"), 500_000)
     both = own.withColumn("key", key).join(best, "key", "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    return both.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), refers.alias("refers_to"), F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"))
+    both = both.withColumn("refers_to", refers).withColumn("digest", F.sha1("payload"))
+    n = F.when(F.col("refers_to").isNull(), F.greatest(F.ceil(F.col("size") / chunk_bytes), F.lit(1))).otherwise(1).cast("int")
+    chunk = F.when(F.col("refers_to").isNull(), F.substr("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b""))
+    both = both.withColumn("chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return both.select("page_id", "url", "refers_to", "size", "digest", "chunk_no", (F.col("chunk_no") == F.col("chunks") - 1).alias("last"), chunk.alias("chunk"))
 
 
 def record_head(page_id, url, size: int, digest: str, refers_to) -> bytes:
@@ -70,19 +84,20 @@ def write_archives(rows: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
         store, root = fs.FileSystem.from_uri(folder)
         out, path, n, done = None, "", 0, []
         for b in batches:
-            for row in b.to_pylist():
-                if out is None or out.tell() >= file_bytes:
-                    if out is not None:
-                        out.close()
-                        done.append((path, n))
-                    path, n = f"{root}/{uuid.uuid4().hex}.warc", 0
-                    out = store.open_output_stream(path)
-                out.write(record_head(row["page_id"], row["url"], row["size"], row["digest"], row["refers_to"]))
-                payload = memoryview(row["payload"] or b"")
-                for at in range(0, len(payload), CHUNK_BYTES):
-                    out.write(payload[at : at + CHUNK_BYTES])
-                out.write(b"\r\n\r\n")
-                n += 1
+            for at in range(0, b.num_rows, 64):
+                for row in b.slice(at, 64).to_pylist():
+                    if row["chunk_no"] == 0:
+                        if out is None or out.tell() >= file_bytes:
+                            if out is not None:
+                                out.close()
+                                done.append((path, n))
+                            path, n = f"{root}/{uuid.uuid4().hex}.warc", 0
+                            out = store.open_output_stream(path)
+                        out.write(record_head(row["page_id"], row["url"], row["size"], row["digest"], row["refers_to"]))
+                    out.write(row["chunk"])
+                    if row["last"]:
+                        out.write(b"\r\n\r\n")
+                        n += 1
         if out is not None:
             out.close()
             done.append((path, n))
@@ -156,7 +171,7 @@ def read_archives(archives: DataFrame, chunk_bytes: int = CHUNK_BYTES, keep_chun
                 if rows:
                     yield pack(rows)
 
-    files = archives.select("path").repartition("path")
+    files = archives.select("path").repartition(max(1, archives.count()))  # a task an archive; AQE leaves a given number
     return files.mapInArrow(run, _CHUNKS)
 
 

@@ -189,8 +189,10 @@ def test_urls(spark):
 
 def test_warc_round_trip(spark):
     big = "é" * 700_000
-    rows = [(1, "http://a/%\r\n", big), (2, "http://b", big), (3, None, None), (4, "u", ""), (5, "u", "s" * 999), (6, "u", "s" * 999), (7, "v", "WARC/1.1\r\n\r\n" * 200)]
-    archives = warc.write_archives(warc.records(spark.createDataFrame(rows, "page_id long, url string, html string")), file_bytes=1000)
+    rows = [(1, "http://a/%\r\n", big), (2, "http://b", big), (3, None, None), (4, "u", ""), (5, "u", "s" * 999), (6, "u", "s" * 999), (7, "v", "WARC/1.1\r\n\r\n" * 200), (None, "n", "z" * 2000), (9, "n", "z" * 2000)]
+    rows += [(10 + i, "u", f"{i}" * 1200) for i in range(30)]
+    pages = spark.createDataFrame([(*r, "k", 0) for r in rows], "page_id long, url string, html string, key string, n int")
+    archives = warc.write_archives(warc.records(pages, chunk_chars=50_000), file_bytes=1000)
     chunks = defaultdict(list)
     for r in warc.read_archives(archives).collect():
         chunks[r.page_id].append(r)
@@ -198,11 +200,14 @@ def test_warc_round_trip(spark):
         own = sorted(chunks[i], key=lambda r: r.chunk_no)
         data = (t or "").encode()
         assert own[0].url == url and (own[0].payload_bytes, own[0].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
-        if i == 1:
-            assert own[0].record_type == "revisit" and own[0].refers_to == 2
+        if i in (1, None):
+            assert own[0].record_type == "revisit" and own[0].refers_to == {1: 2, None: 9}[i]
         else:
             assert own[0].record_type == "response" and b"".join(r.chunk for r in own) == data and own[-1].digest_so_far == own[-1].payload_digest
             assert max(len(r.chunk) for r in own) <= warc.CHUNK_BYTES
+    assert archives.count() > 2
+    tasks = warc.read_archives(archives, keep_chunks=False).select(warc.F.spark_partition_id()).distinct().count()
+    assert tasks > archives.count() / 2
     assert warc.read_archives(warc.write_archives(warc.records(spark.createDataFrame([], "page_id long, url string, html string")))).count() == 0
 
 
