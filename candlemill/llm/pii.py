@@ -1,13 +1,18 @@
 """Personal data by base patterns and bootstrapped contextual extraction, with DataFrame functions alone.
 
-Base spans (e-mail, IP, card, phone) are seeds. A seed's left and right neighbour word are lexical
-patterns. Identifier-like tokens that are no seed are the unknown instances. Scores pass over the
-graph of patterns and instances: a pattern's confidence for a kind is the mean score of its
-instances, an instance's score the noisy-or of its patterns. After ROUNDS, patterns with enough
-distinct seeds and high confidence name the unknown tokens of a seed's shape that stand in them.
-
-Null or empty text has no spans. Offsets are code points, ends exclusive. A document's results
-depend on the corpus through the patterns only. Equal rows get equal results.
+Base spans (e-mail, IP, card, phone) are seeds. A seed's lexical patterns are the word on its left, the
+two words on its left, the word on its right, all lower-cased, and its own shape (letters and digits
+run together). Identifier-like strings of one or several tokens that touch no seed (numbers in groups
+however spaced or bracketed, addresses with "at" and "dot" spelled out, words with digits or @) are
+the unknown instances. Scores pass over the graph of patterns and instances: a pattern's confidence
+for a kind is the mean score of its instances, less by PRIOR doubtful ones, an instance's score the
+noisy-or of its patterns. After ROUNDS, context patterns with MIN_SEEDS distinct seeds and enough
+confidence name the unknown instances that stand in them; shapes only pass scores on.
+
+Null or empty text has no spans, nor has an empty table. Offsets are code points, ends exclusive. A
+document's results depend on the corpus through the patterns only; equal rows get equal results. Of
+kinds that tie in confidence the last by name is taken. Texts, contexts and shapes are read whole,
+however long. Other columns pass through; those named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlemill.llm.common import let, read, small, table
+from candlemill.llm.common import boxed, let, read, row_key, small, table
 
 #: Base patterns. A start is tried only where it can be leftmost, and what cannot give back is possessive.
 PATTERNS = {
@@ -25,11 +30,17 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-#: Tokens that could be identifiers.
-TOKEN = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
+#: Strings that could be identifiers: spelled-out addresses, else a token with a digit or @ and the groups of digits after it.
+_AT = r"(?: at | ?\(at\) ?| ?\[at\] ?)"
+_DOT = r"(?:\.| dot | ?\(dot\) ?| ?\[dot\] ?)"
+TOKEN = (
+    r"(?<![A-Za-z0-9@._%+-])(?:[A-Za-z0-9._%+-]++" + _AT + r"[A-Za-z0-9-]++(?:" + _DOT + r"[A-Za-z0-9-]++)++"
+    r"|\(?[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+(?:\)?[ /-]?\(?[0-9][A-Za-z0-9@._%+-]*+)*+)"
+)
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-ROUNDS, MIN_SEEDS, CONFIDENCE, PRIOR = 3, 5, 0.9, 1.0
-_SIDE = 48
+ROUNDS, MIN_SEEDS, CONFIDENCE, PRIOR = 3, 5, 0.9, 0.5
+#: Pattern nodes that may name an instance; the shape is one more, which only passes scores on.
+CONTEXTS = ("left", "left2", "right")
 
 
 def luhn(digits: Column) -> Column:
@@ -55,25 +66,34 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def _found(text: Column, kind: str, pattern: str) -> Column:
-    """Matches in order with the length of the gap before each and its neighbour words."""
+    """Matches in order with the length of the gap before each and its neighbour words.
+
+    A gap is cut into words once, from whole; a first or last word is what stands next to the match.
+    """
+
+    def gap(g):
+        words = F.split(F.lower(F.trim(F.regexp_replace(g, r"\s+", " "))), " ", -1)
+        return let(words, lambda w: F.struct(F.char_length(g).cast("long").alias("size"), F.get(w, F.lit(0)).alias("first"), F.element_at(w, -1).alias("last"), F.when(F.size(w) > 1, F.concat_ws(" ", F.element_at(w, -2), F.element_at(w, -1))).alias("last2")))
 
     def row(gaps):
         def one(m, i):
             before, after = F.get(gaps, i), F.get(gaps, i + 1)
-            left = F.lower(F.regexp_replace(F.regexp_extract(F.right(before, F.lit(_SIDE)), r"\S+\s*$", 0), r"\s+", " "))
-            right = F.lower(F.regexp_replace(F.regexp_extract(F.left(after, F.lit(_SIDE)), r"^\s*\S+", 0), r"\s+", " "))
-            return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.char_length(before).cast("long").alias("gap"), F.char_length(m).cast("long").alias("size"), m.alias("match"), left.alias("left"), right.alias("right"))
+            return F.struct(
+                F.lit(kind).alias("kind"), i.alias("i"), before["size"].alias("gap"), F.char_length(m).cast("long").alias("size"), m.alias("match"),
+                before["last"].alias("left"), before["last2"].alias("left2"), after["first"].alias("right"),
+            )
 
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one)
 
-    return let(F.split(text, pattern, -1), row)
+    parts = F.split(text, pattern, -1)
+    return let(F.when(F.size(parts) > 1, F.transform(parts, gap)), row)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(key, kind, start, end, match, left, right): base spans that hold, and other tokens under kind token."""
+    """(key, kind, start, end, match, left, left2, right): base spans that hold, and other strings under kind token."""
     text = F.col("text")
-    arrays = [_found(text, k, p) for k, p in (*PATTERNS.items(), ("token", TOKEN))]
-    rows = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("key"), F.explode(F.concat(*arrays)).alias("m")).select("key", "m.*")
+    arrays = [F.coalesce(_found(text, k, p), F.array()) for k, p in (*PATTERNS.items(), ("token", TOKEN))]
+    rows = docs.where("text is not null").select(row_key().alias("key"), F.explode(F.concat(*arrays)).alias("m")).select("key", "m.*")
     rows = rows.repartition("key").dropDuplicates(["key", "kind", "i"])
     upto = Window.partitionBy("key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto)).withColumn("start", F.col("end") - F.col("size"))
@@ -87,18 +107,19 @@ def candidates(docs: DataFrame) -> DataFrame:
     after = F.min(F.when(base, F.col("start"))).over(at.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.withColumns({"before": before, "after": after})
     free = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.col("after").isNull() | (F.col("after") >= F.col("end")))
-    return rows.where(base | free).select("key", "kind", "start", "end", "match", "left", "right")
+    return rows.where(base | free).select("key", "kind", "start", "end", "match", *CONTEXTS)
 
 
 def shape(match: Column) -> Column:
-    return F.left(F.regexp_replace(F.regexp_replace(match, "[A-Za-z]+", "a"), "[0-9]+", "0"), F.lit(24))
+    return F.regexp_replace(F.regexp_replace(match, "[A-Za-z]+", "a"), "[0-9]+", "0")
 
 
 def learn(found: DataFrame) -> DataFrame:
-    """(side, word, kind, confidence) of the patterns that name unknown tokens."""
-    sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("word")), F.struct(F.lit("right").alias("side"), F.col("right").alias("word"))))
-    edges = found.select(F.xxhash64("match").alias("who"), "kind", sides.alias("p")).select("who", "kind", "p.side", "p.word")
-    edges = table(edges.where(F.trim("word") != "").groupBy("side", "word", "who").agg(F.max(F.when(F.col("kind") != "token", F.col("kind"))).alias("seed")), "pattern-graph")
+    """(side, word, kind, confidence) of the context patterns that name unknown instances."""
+    nodes = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("word")) for c in CONTEXTS), F.struct(F.lit("shape").alias("side"), shape(F.col("match")).alias("word"))))
+    edges = found.select(F.md5("match").alias("who"), "kind", nodes.alias("p")).select("who", "kind", "p.side", "p.word")
+    edges = edges.where("word is not null and word <> ''").withColumn("word", F.md5("word"))
+    edges = table(edges.groupBy("side", "word", "who").agg(F.max(F.when(F.col("kind") != "token", F.col("kind"))).alias("seed")), "pattern-graph")
     size = edges.groupBy("side", "word").agg(F.count("*").alias("size"))
     score = edges.where("seed is not null").select("who", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
     seeds, patterns = score, None
@@ -109,21 +130,15 @@ def learn(found: DataFrame) -> DataFrame:
         doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
         new = edges.where("seed is null").join(small(patterns, 500_000), ["side", "word"]).groupBy("who", "kind").agg((1 - F.exp(doubt)).alias("score"))
         score = seeds.unionByName(new)
-    return patterns.where(F.col("confidence") >= CONFIDENCE).select("side", "word", "kind", "confidence")
+    return patterns.where((F.col("confidence") >= CONFIDENCE) & (F.col("side") != "shape")).select("side", "word", "kind", "confidence")
 
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, kind, start, end, base) of all spans, and the patterns behind those that are not base."""
+    """(key, kind, start, end, base) of all spans, and the patterns behind those that are not base; word is a digest there."""
     found = table(candidates(docs), "candidates")
     patterns = table(learn(found), "sure-patterns")
-    shapes = table(found.where("kind <> 'token'").select("kind", shape(F.col("match")).alias("shape")).distinct(), "shapes")
-    open_ = found.where("kind = 'token'").withColumn("shape", shape(F.col("match"))).drop("kind")
-    named = None
-    for side in ("left", "right"):
-        p = small(table(patterns.where(F.col("side") == side).select(F.col("word").alias(side), "kind", "confidence"), "side"), 500_000)
-        part = open_.join(p, side).select("key", "start", "end", "shape", "kind", "confidence")
-        named = part if named is None else named.unionByName(part)
-    named = named.join(small(shapes, 500_000), ["kind", "shape"])
+    unknown = found.where("kind = 'token'").select("key", "start", "end", F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.md5(c).alias("word")) for c in CONTEXTS))).alias("p"))
+    named = unknown.select("key", "start", "end", "p.*").join(small(patterns, 500_000), ["side", "word"])
     best = named.groupBy("key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     spans = found.where("kind <> 'token'").select("key", "kind", "start", "end", F.lit(True).alias("base"))
     return spans.unionByName(best.withColumn("base", F.lit(False))), patterns
@@ -138,10 +153,11 @@ def digest(docs: DataFrame) -> DataFrame:
     item = F.struct(F.col("start"), rank.alias("rank"), said.alias("said"))
     counts = [F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"__{k}") for k in KINDS]
     per = spans.groupBy("key").agg(*counts, line(F.when(F.col("base"), item)).alias("__base"), line(item).alias("__all"))
-    per = small(table(per, "spans").withColumnRenamed("key", "__key"), 200_000)
-    out = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(per, "__key", "left")
+    per = small(table(per, "spans"), 200_000)
+    names = (*(f"n_{k}" for k in KINDS), "base_sha256", "spans")
+    out = boxed(docs, row_key().alias("key"), without=names).join(per, "key", "left")
     return out.select(
-        *docs.columns,
+        "row.*",
         *(F.coalesce(f"__{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS),
         F.sha2(F.coalesce("__base", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("__all", F.lit("")).alias("spans"),

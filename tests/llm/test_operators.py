@@ -174,6 +174,34 @@ def test_pii_finds_seeds_and_learns_contexts(spark):
     assert got[53].n_ip == 1 and got[53].n_email == 3 and got[53].n_card == 0
 
 
+def test_pii_learns_forms_that_no_base_pattern_has(spark):
+    rows = [(i, f"write to me under mail: a{i}@x{i}.org today or ring phone +49 30 1234{i:03} {'now' if i % 2 else 'then'}", "k", 5) for i in range(30)]
+    rows += [(100, "ring phone (030) 555-0199 please", "k", 5), (101, "under mail: jane at example dot org if you like", "k", 5), (102, "page 17 of 20 and room 12b", "k", 5), (103, "x " * 30_000 + "phone 030 555 0188", "k", 5)]
+    rows += [(104, "x" * 100_000 + " 1", "k", 5)]
+    got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string, key string, n_email int")).collect()}
+    assert got[0].n_email == 1 and got[0].n_phone == 1 and got[0].asDict().keys() == {"doc_id", "text", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"}
+    assert got[100].spans == "phone:11:25" and got[100].n_phone == 0
+    assert got[101].spans == "email:12:35" and got[102].spans == "" and got[103].spans == "phone:60006:60018" and got[104].spans == ""
+    none = pii.digest(spark.createDataFrame([], "doc_id long, text string"))
+    assert none.count() == 0
+
+
+def test_pii_base_spans_against_brute_force(spark, docs, texts):
+    more = ["+1 (212) 555-0101 4111 1111 1111 1111 4111111111111112", "a@b.c.d@e.f 1.2.3.4.5.6.7.8 300.1.1.1", "x+1 22-3 4..5 6789012345", "\U0001f600 a.b@c-d.e-f 00000000000000000000 0000000000000", "+1 +2 3456789012 .a@b.co. 01.002.0255.4"]
+    given = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *more])], "doc_id long, text string")
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def holds(kind, m):
+        d = [int(c) for c in m if c in "0123456789"]
+        luhn = sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(reversed(d))) % 10 == 0
+        return {"email": True, "ip": all(int(x) <= 255 for x in m.split(".")) if kind == "ip" else 0, "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]
+
+    for r in pii.digest(given).collect():
+        own = [(m.start(), list(patterns).index(k), f"{k}:{m.start()}:{m.end()}") for k, p in patterns.items() for m in re.finditer(p, r.text or "") if holds(k, m[0])]
+        assert r.base_sha256 == hashlib.sha256(",".join(x[2] for x in sorted(own)).encode()).hexdigest(), r.doc_id
+        assert [r[f"n_{k}"] for k in patterns] == [sum(x[2].startswith(k) for x in own) for k in patterns]
+
+
 def test_urls(spark):
     rows = [(0, "http://A.Example.org/es/1?q"), (1, "https://x.com/fr/"), (2, "https://x.com/de/2#t"), (3, "y.net/de"), (4, None), (5, "http://b.org"), (6, "ftp://example.org/en/12"), (7, "http://bad.net/1"), (7, "http://bad.net/1")]
     labels = [(7, 0, 1)] * 3 + [(k, 1, 0) for k in range(5)]
@@ -192,7 +220,7 @@ def test_warc_round_trip(spark):
     rows = [(1, "http://a/%\r\n", big), (2, "http://b", big), (3, None, None), (4, "u", ""), (5, "u", "s" * 999), (6, "u", "s" * 999), (7, "v", "WARC/1.1\r\n\r\n" * 200), (None, "n", "z" * 2000), (9, "n", "z" * 2000)]
     rows += [(10 + i, "u", f"{i}" * 1200) for i in range(30)]
     pages = spark.createDataFrame([(*r, "k", 0) for r in rows], "page_id long, url string, html string, key string, n int")
-    archives = warc.write_archives(warc.records(pages, chunk_chars=50_000), file_bytes=1000)
+    archives = warc.write_archives(warc.records(pages, chunk_bytes=50_000), file_bytes=1000)
     chunks = defaultdict(list)
     for r in warc.read_archives(archives).collect():
         chunks[r.page_id].append(r)
