@@ -10,7 +10,7 @@ from candlemill.llm.passages import op3_substring_dedup
 from candlemill.llm.pii import op6_pii
 from candlemill.llm.quality import op10_quality_rules
 from candlemill.llm.simhash import op9_simhash_near_dedup
-from candlemill.llm.urls import op8_url_filter
+from candlemill.llm.urls import OP8_SQL, op8_url_filter
 from candlemill.llm.warc import OP5_SQL, op5_warc
 
 
@@ -25,4 +25,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_benchmark_decontamination": OP2_SQL, "op5_warc": OP5_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op5_warc": OP5_SQL, "op8_url_filter": OP8_SQL}

@@ -296,3 +296,42 @@ def test_unlabelled_hosts_fall_back(spark):
     assert got[1000][0] == "block" and got[1000][1] > 0.9
     assert got[1001][0] == "allow" and got[1001][1] < 0.1
     assert [got[k][0] for k in (1002, 1003, 1004)] == ["allow"] * 3 and got[1003][1] == got[1004][1] == 0.5
+
+
+def test_beta_probability(spark):
+    import numpy as np
+
+    cases = [(0.03, 2.0), (0.5, 0.5), (1.0, 1.0), (3.0, 7.5), (40.2, 20.1), (900.0, 850.0), (5000.0, 4900.0), (1.5, 0.02)]
+    df = spark.createDataFrame(cases, "a double, b double")
+    z = np.linspace(-1000, 1000, 8_000_001)
+    for r in df.select("a", "b", urls.beta_cdf(urls.F.col("a"), urls.F.col("b"), 0.4).alias("p")).collect():
+        density = r.a * -np.logaddexp(0, -z) + r.b * -np.logaddexp(0, z)
+        w = np.exp(density - density.max())
+        assert abs(w[z <= np.log(0.4 / 0.6)].sum() / w.sum() - r.p) < 1e-3, r
+
+
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.example.com": ("com", "example.com"), "example.com": ("com", "example.com"), "1.2.3.4": ("1.2.3.4",) * 2, "u@h.a.org:80": ("org", "a.org"), "de": ("de", "de"), "a.b.de.": ("de", "b.de")}
+    keys = urls._keys(urls.F.col("h"))
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", keys["suffix"].alias("s"), keys["domain"].alias("d")).collect()
+    assert {r.h: (r.s, r.d) for r in got} == hosts
+
+
+def test_url_filter_sql(spark, tmp_path):
+    """Hosts that the posterior blocks, and unlabelled ones, against the query's SQL."""
+    from candlemill.llm.registry import oracle_sql
+    from tests.oracle import duck, spark_rows
+
+    rng = random.Random(8)
+    hosts = [f"{w}.{d}.{s}" for s in ("net", "co.uk", "io") for d in ("good", "bad", "odd") for w in ("a", "b", "c", "d")]
+    rows = [(k, f"https://{hosts[k % 36]}/p/{k}?q") for k in range(1500)] + [(2000 + k, f"http://{h}/") for k, h in enumerate(("new.bad.net", "e.bad.io", "x.else.net", "far.away.xyz", "Example.ORG"))] + [(3000, None), (3001, "no"), (None, "http://a.bad.net/")]
+    fails = lambda u: rng.random() < (0.9 if ".bad." in u else 0.5 if ".odd." in u else 0.02)
+    labels = [(k, 1 - f, 0) for k, u in rows[:1500] if k % 3 for f in [int(fails(u))]] + [(5, 0, 1), (None, 0, 1)]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    columns, want = duck(str(tmp_path), oracle_sql()["op8_url_filter"])
+    got_columns, got = spark_rows(urls.op8_url_filter(spark, str(tmp_path)))
+    assert got_columns == columns and got == want
+    blocked = {r[0] for r in want if r[-1] == "block"}
+    assert any(".bad." in h for h in blocked) and not any(".good." in h for h in blocked) and "new.bad.net" in blocked
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string, host string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
