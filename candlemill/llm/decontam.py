@@ -6,9 +6,10 @@ document and an item share one. Runs of document windows whose fingerprint an it
 extended: their ten-word windows are compared, as text, with the items' windows. Items of fewer
 than ten words are one window of their own length; documents are hashed at those lengths too.
 
-Null or wordless texts have no words and no hits; items without words or without item_id match
-nothing. Several rows of an item_id are one item. Equal documents get equal results; rows are
-told apart by doc_id and text.
+Null, empty or wordless texts have no words and no hits; items without words or without item_id match
+nothing, and empty tables of either give no hits or no rows. Several rows of an item_id are one item.
+Equal documents get equal results; rows are told apart by a 128-bit digest of doc_id and text. Texts
+are read whole, however long. Other columns pass through; those named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlemill.llm.common import let, lower_ascii, read, small, table
+from candlemill.llm.common import boxed, let, lower_ascii, read, row_key, small, table
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
@@ -116,33 +117,30 @@ def matched_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, prefix: str = "") -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated, each name after prefix."""
     of, windows = item_windows(items)
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = table(matched_windows(keyed.select(F.col("__key").alias("key"), "text").where("text is not null"), windows), "matches")
+    found = table(matched_windows(docs.where("text is not null").select(row_key().alias("key"), "text"), windows), "matches")
     spans = F.collect_list(F.struct("at", "size"))
     covered = F.size(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))))
     hit = found.distinct().groupBy("key").agg(covered.cast("long").alias("hit"))
     ids = found.select("key", "window", "size").distinct().join(small(of, 500_000), ["window", "size"])
     ids = ids.groupBy("key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
-    both = hit.join(ids, "key").select(F.col("key").alias("__key"), F.col("hit").alias("__hit"), F.col("ids").alias("__ids"))
-    out = keyed.join(small(table(both, "contaminated"), 500_000), "__key", "left")
+    both = small(table(hit.join(ids, "key"), "contaminated"), 500_000)
+    names = [prefix + n for n in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
     n = F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long")
-    out = out.withColumns({
-        prefix + "n_words": n,
-        prefix + "n_hit": F.coalesce("__hit", F.lit(0).cast("long")),
-        prefix + "n_items": F.when(F.col("__ids").isNull(), 0).otherwise(F.size("__ids")).cast("long"),
-        prefix + "items_sha256": F.sha2(F.coalesce(F.array_join("__ids", ","), F.lit("")), 256),
-        prefix + "contaminated": F.col("__hit").isNotNull(),
-    })
-    return out.drop("__key", "__hit", "__ids")
+    out = boxed(docs, row_key().alias("key"), n.alias("n"), without=tuple(names)).join(both, "key", "left")
+    none = F.lit(0).cast("long")
+    values = [
+        F.col("n"), F.coalesce("hit", none), F.coalesce(F.size("ids").cast("long"), none),
+        F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256), F.col("hit").isNotNull(),
+    ]
+    return out.select("row.*", *(v.alias(c) for v, c in zip(values, names)))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that hold a window of an item."""
     _, windows = item_windows(items)
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = matched_windows(keyed.select(F.col("__key").alias("key"), "text").where("text is not null"), windows)
-    bad = table(found.select(F.col("key").alias("__key")).distinct(), "contaminated")
-    return keyed.join(small(bad, 1_000_000), "__key", "left_anti").select(docs.columns)
+    found = matched_windows(docs.where("text is not null").select(row_key().alias("key"), "text"), windows)
+    bad = small(table(found.select("key").distinct(), "contaminated"), 1_000_000)
+    return boxed(docs, row_key().alias("key")).join(bad, "key", "left_anti").select("row.*")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,12 @@ near the threshold get exact distinct counts. Boilerplate is spread over at leas
 and at least as many classes: copies count once, so a line that only travels with a copied document
 is near-duplicate detection's work and stays, while a block repeated in differing documents goes.
 
-Null text stays null. Blank lines are never boilerplate. A null site counts as one site. Repeated
-lines in one document and repeated rows add nothing to sites or classes. Removal keeps the order
-of what stays; a document of boilerplate alone becomes empty.
+Null text stays null, empty text and an empty table stay empty. Blank lines are never boilerplate. A
+null site counts as one site. Repeated lines in one document and repeated rows add nothing to sites or
+classes. A line of exactly min_sites sites and classes is boilerplate. Removal keeps the order of what
+stays; a document of boilerplate alone becomes empty. Rows are told apart by a 128-bit digest of doc_id
+and text, lines and sites by 64-bit hashes. Texts are read whole. Other columns pass through; a column
+named n_removed is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlemill.llm.common import let, read, small, table
+from candlemill.llm.common import boxed, let, read, row_key, small, table
 from candlemill.llm.simhash import near_duplicates
 
 #: Least distinct sites, and least distinct classes of copies.
@@ -64,33 +67,34 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return sure.unionByName(exact).where((F.col("sites") >= min_sites) & (F.col("classes") >= min_sites))
 
 
-def remove_lines(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """docs with text less the lines whose hash is in bad(line), and __removed, their number."""
-    key = F.xxhash64("doc_id", "text")
-    hits = docs.where("text is not null").select(key.alias("__key"), F.explode(F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x))).alias("line"))
-    hits = hits.join(small(bad.select("line"), 1_000_000), "line").groupBy("__key").agg(F.collect_set("line").alias("__bad"))
+def remove_lines(docs: DataFrame, bad: DataFrame, removed: str = "n_removed") -> DataFrame:
+    """docs with text less the lines whose hash is in bad(line), and their number in a column named by removed."""
+    hits = docs.where("text is not null").select(row_key().alias("key"), F.explode(F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x))).alias("line"))
+    hits = hits.join(small(bad.select("line"), 1_000_000), "line").groupBy("key").agg(F.collect_set("line").alias("bad"))
     hits = small(table(hits, "line-hits"), 200_000)
 
     def cut(ls):
-        kept = F.filter(ls, lambda x: ~F.array_contains(F.col("__bad"), F.xxhash64(x)))
+        kept = F.filter(ls, lambda x: ~F.array_contains(F.col("bad"), F.xxhash64(x)))
         return F.struct(F.array_join(kept, "\n").alias("text"), (F.size(ls) - F.size(kept)).cast("long").alias("n"))
 
-    both = docs.withColumn("__key", key).join(hits, "__key", "left")
-    both = both.withColumn("__cut", F.when(F.col("__bad").isNotNull(), let(F.split("text", "\n", -1), cut)))
-    both = both.withColumn("text", F.when(F.col("__bad").isNull(), F.col("text")).otherwise(F.col("__cut.text")))
-    return both.withColumn("__removed", F.coalesce("__cut.n", F.lit(0).cast("long"))).drop("__key", "__bad", "__cut")
+    both = boxed(docs, row_key().alias("key"), without=(removed,)).join(hits, "key", "left")
+    cut_ = F.when(F.col("bad").isNotNull(), let(F.split("row.text", "\n", -1), cut))
+    both = both.select("row", cut_.alias("cut"))
+    text = F.when(F.col("cut").isNull(), F.col("row.text")).otherwise(F.col("cut.text"))
+    columns = [(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != removed]
+    return both.select(*columns, F.coalesce("cut.n", F.lit(0).cast("long")).alias(removed))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", **limits) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", removed: str = "n_removed", **limits) -> DataFrame:
     """docs with boilerplate lines removed and n_chars, where there is one, counted anew."""
     bad = table(boilerplate(docs, site, **limits), "boilerplate")
-    out = remove_lines(docs, bad)
+    out = remove_lines(docs, bad, removed)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text that stays as its SHA-256 and length, and how many lines went."""
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars"))
-    return out.select("doc_id", F.col("__removed").alias("n_removed"), F.char_length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_removed", F.char_length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))

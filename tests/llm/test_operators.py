@@ -127,6 +127,11 @@ def test_decontamination(spark, docs, texts):
                     own |= found
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(own), bool(hit)), r.doc_id
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
+    clash = spark.createDataFrame([(1, texts[3], "a", 5)], "doc_id long, text string, key string, n_hit int")
+    (r,) = decontam.contamination(clash, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert r.key == "a" and r.n_hit == r.n_words == 1
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert decontam.contamination(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontam.drop_contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == docs.count()
 
 
@@ -153,8 +158,12 @@ def test_line_dedup(spark):
     rows = [(i, f"own line {i}\nSubscribe now\nmore of {i}", f"s{i % 10}", 1) for i in range(40)]
     rows += [(100 + i, "copied one\ncopied two\ncopied three", f"s{i % 10}", 1) for i in range(40)]
     rows += [(200, None, None, 1), (201, "", "s1", 1), (202, "Subscribe now", "s2", 1)]
-    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"))
-    got = {r.doc_id: r.text for r in out.collect()}
+    rows += [(203, "long " * 60_000 + "\nSubscribe now", "s3", 1)]
+    given = spark.createDataFrame([(*r, "l", 1, 9) for r in rows], "doc_id long, text string, source string, n_chars long, line string, bad int, n_removed int")
+    out = lines.dedup_lines(given)
+    rows_out = out.collect()
+    assert {r.line for r in rows_out} == {"l"} and {r.bad for r in rows_out} == {1} and rows_out[0].n_removed in (0, 1)
+    got = {r.doc_id: r.text for r in rows_out}
     want = {i: None if t is None else "\n".join(x for x in t.split("\n") if x != "Subscribe now") for i, t, _, _ in rows}
     assert got == want
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string, source string, n_chars long")).count() == 0
