@@ -248,16 +248,67 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(warc.records(spark.createDataFrame([], "page_id long, url string, html string")))).count() == 0
 
 
-def test_passages(spark):
+def exact_links(own, n=50):
+    """Pairs of documents that share n equal words, and the words of each that an earlier document shares in such spans."""
+    where, links, words = defaultdict(list), set(), defaultdict(set)
+    for i in sorted(own):
+        for k in range(len(own[i]) - n + 1):
+            held = where[tuple(own[i][k : k + n])]
+            if held and held[0] < i:
+                words[i].update(range(k, k + n))
+            links |= {(i, j) for j in held if j != i}
+            if i not in held:
+                held.append(i)
+    return links, words
+
+
+def linked(rows, links):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in rows:
+        root[find(r.doc_id)] = find(r.other_id)
+    return all(find(a) == find(b) for a, b in links)
+
+
+def similar(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_passages(spark, monkeypatch, hot):
+    if hot:  # every seed that two documents hold is dealt over salts
+        monkeypatch.setattr(passages, "SAMPLE", 1)
+        monkeypatch.setattr(passages, "HOT_LEAST", 2)
     rng = random.Random(9)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     shared = words(70)
     edited = [w if k % 23 else "zz" for k, w in enumerate(shared)]
-    rows = [(i, " ".join(words(100) + (shared if i % 2 else edited) + words(40)), i) for i in range(10)]
-    rows += [(20 + i, " ".join(words(300)), 0) for i in range(10)] + [(40, None, 0), (41, "", 0), (None, rows[0][1], 0), (0, rows[0][1], 0)]
-    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string, seed int")).collect()
-    assert {r.doc_id for r in got} | {r.other_id for r in got} == set(range(10))
-    assert all(r.start_word >= 98 and r.end_word <= 172 and r.end_word - r.start_word >= 40 for r in got)
+    rows = [(i, " ".join(words(100) + (shared if i % 2 else edited) + words(40)), i, i) for i in range(10)]
+    rows += [(20 + i, " ".join(words(300)), 0, 0) for i in range(10)] + [(40, None, 0, 0), (41, "", 0, 0), (None, rows[0][1], 0, 0), (0, rows[0][1], 0, 0)]
+    rows += [(50, " ".join(words(9000)), 0, 0), (51, "x", 0, 0)]
+    rows.append((52, rows[-2][1], 0, 0))
+    loose = [" ".join(words(5)) for _ in range(5)]  # phrases in common 35 words apart are no passage
+    rows += [(60 + i, " ".join(p + " " + " ".join(words(35)) for p in loose), 0, 0) for i in range(6)]
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string, seed int, doc int")).collect()
+    own = {i: t.lower().split() for i, t, _, _ in rows if i is not None and t is not None}
+    assert {r.doc_id for r in got} | {r.other_id for r in got} == {*range(10), 50, 52}
+    assert all((r.start_word, r.end_word) == (0, 9000) for r in got if r.doc_id == 52)
+    assert all(98 <= r.start_word <= 102 and 168 <= r.end_word <= 172 for r in got if r.doc_id < 10)
+    for r in got:
+        if r.doc_id < 10:
+            assert abs(r.similarity - similar(own[r.doc_id][r.start_word : r.end_word], own[r.other_id][r.other_start : r.other_end])) < 1e-9
+    links, _ = exact_links(own)
+    assert links and linked(got, links)
     assert passages.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -270,17 +321,58 @@ def test_passages_with_differing_neighbours(spark):
     own[13] = ["loop"] * 400
     own[14] = ["loop"] * 300
     got = passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in own.items()], "doc_id long, text string")).collect()
-
-    # every 50-word span that an earlier document has too lies, up to a window at its ends, in passages of its document
-    spans = {i: {tuple(w[k : k + 50]) for k in range(len(w) - 49)} for i, w in own.items()}
-    for i, w in own.items():
+    links, spans = exact_links(own)
+    assert linked(got, links)
+    for i, want in spans.items():
         covered = {k for r in got if r.doc_id == i for k in range(r.start_word, r.end_word)}
-        for k in range(len(w) - 49):
-            if any(tuple(w[k : k + 50]) in spans[j] for j in own if j < i):
-                assert covered.issuperset(range(k + 5, k + 45)), (i, k)
+        assert covered >= want, i
     assert {(r.doc_id, r.other_id) for r in got} == {(9, 5), (12, 11), (14, 13)}
 
 
+def test_passages_of_the_table_against_brute_force(spark):
+    """Exact 50-word links of sf0.01: all are held by components, and the words that they cover are covered."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.select("doc_id", "text").collect()}
+    got = passages.passages(docs).collect()
+    links, spans = exact_links(own)
+    pairs = {(r.doc_id, r.other_id) for r in got}
+    assert len(links) > 50 and linked(got, links)
+    lost = sum(len(want - {k for r in got if r.doc_id == i for k in range(r.start_word, r.end_word)}) for i, want in spans.items())
+    assert lost <= 0.01 * sum(map(len, spans.values())), lost
+    assert all(r.similarity >= 0.8 and min(r.end_word - r.start_word, r.other_end - r.other_start) >= passages.RUN for r in got) and pairs
+
+
+def test_chain_against_all_pairs(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(passages, "SLACK", 0)
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(2, 30))
+        at = sorted({(int(a), -int(b)) for a, b in zip(rng.integers(0, 60, n), rng.integers(0, 60, n))})
+        x, y = np.array([a for a, _ in at]), np.array([-b for _, b in at])
+        best, weight = [], []
+        for i in range(len(x)):
+            steps = [x[i] - x[j] for j in range(i) if x[i] - x[j] == y[i] - y[j]]
+            weight.append(min(min(steps), passages.WINDOW) if steps and min(steps) <= passages.MAX_GAP else passages.GRAM)
+            before = [best[j] - passages.GAP_COST * (x[i] - x[j] + y[i] - y[j]) for j in range(i) if x[j] < x[i] and y[j] < y[i]]
+            best.append(weight[i] + max([0, *before]))
+        got = passages.chain(x, y)
+        assert sorted(i for own in got for i in own) == list(range(len(x)))
+        assert all((np.diff(x[own]) > 0).all() and (np.diff(y[own]) > 0).all() for own in got)
+        first = got[0]
+        cost = sum(x[j] - x[i] + y[j] - y[i] for i, j in zip(first, first[1:]))
+        assert len(got) == 1 or abs(sum(weight[i] for i in first) - passages.GAP_COST * cost - max(best)) < 1e-9
+
+
+def test_word_distance_against_the_table():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 80))] for _ in range(2))
+        if a or b:
+            assert abs(1 - passages.distance(a, b) / max(len(a), len(b)) - similar(a, b)) < 1e-9
+
+
 def test_line_dedup_of_blocks(spark):
     rng = random.Random(4)
     words = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
