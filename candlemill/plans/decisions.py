@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from candlemill.functions import options
 from candlemill.operators import decisions, indicators, regime, structure
-from candlemill.plans.market import BASICS, DAYW, IND, MERGED, ROUND, TRADES, _graded, _recursive, _trades, graded_sql, query, rounded
+from candlemill.plans.market import BASICS, DAYW, IND, MERGED, ROUND, TRADES, _graded, _recursive, _trades, graded_sql, phi, query, rounded
 from candlemill.sources import archive
 from candlemill.sources.testdata import BARS, VIX, bars, load, volatility
 
@@ -264,8 +264,31 @@ def _options(spark, d):
     )
 
 
-@query()
+def option_sql(f: str, k: str, t: str, vol: str, call: str) -> dict[str, str]:
+    """SQL of a Black-76 price, unsigned delta and decay a day, for a forward, strike, years and volatility above 0."""
+    root, off = f"({vol} * sqrt({t}))", f"exp(-{RATE} * ({t}))"
+    d1 = f"((ln({f} / {k}) + 0.5 * {vol} * {vol} * ({t})) / {root})"
+    s = f"(CASE WHEN {call} THEN 1.0 ELSE -1.0 END)"
+    return {
+        "price": f"({off} * {s} * ({f} * {phi(f'{s} * {d1}')} - {k} * {phi(f'{s} * ({d1} - {root})')}))", "delta": f"({off} * {phi(f'{s} * {d1}')})",
+        "theta": f"({f} * exp(-0.5 * {d1} * {d1}) * 0.3989422804014327 * {vol} / (2 * sqrt({t})) / 365.0)",
+    }
+
+
+OPTIONS = """options AS (SELECT l_orderkey AS id, l_linenumber AS line, CAST(l_extendedprice AS DOUBLE) / 4 + 20000 AS forward, round((CAST(l_extendedprice AS DOUBLE) / 4 + 20000) / 100) * 100 + (l_linenumber - 4) * 100 AS strike,
+  l_linenumber * 7 / 365.0::DOUBLE AS years, CAST(l_discount AS DOUBLE) * 2 + 0.08 AS vol, l_orderkey % 2 = 0 AS is_call FROM lineitem)"""
+_F9 = option_sql("forward", "strike", "years", "vol", "is_call")
+
+
+@query(f"WITH {OPTIONS} SELECT id, line, is_call, round({_F9['price']}, 4) AS price, round({_F9['delta']}, 6) AS delta, round({_F9['theta']}, 5) AS theta FROM options")
 def f9_option_prices(spark, d):
-    """Black-76 price, delta and decay (F9), and the volatility implied by that price."""
-    o = _options(spark, d).withColumn("m", options.black76(RATE)("forward", "strike", "years", "vol", "is_call")).select("*", "m.*").drop("m")
+    """Black-76 price, delta and decay."""
+    o = _options(spark, d).withColumn("m", options.black76(RATE)("forward", "strike", "years", "vol", "is_call"))
+    return o.select("id", "line", "is_call", F.round("m.price", 4).alias("price"), F.round("m.delta", 6).alias("delta"), F.round("m.theta", 5).alias("theta"))
+
+
+@query()
+def f10_implied_vol(spark, d):
+    """The volatility that the model's price implies; tests hold it to the volatility that made the price."""
+    o = _options(spark, d).withColumn("m", options.black76(RATE)("forward", "strike", "years", "vol", "is_call")).withColumn("price", F.col("m.price")).drop("m")
     return o.withColumn("implied", options.implied_vol(RATE)("price", "forward", "strike", "years", "is_call"))

@@ -34,6 +34,12 @@ BASICS = f"""{BARS}, b AS (SELECT *, row_number() OVER w AS n, CAST(floor((ts_ms
   lag(c) OVER w AS before, c - lag(c) OVER w AS change FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms))"""
 
 
+def phi(x: str) -> str:
+    """SQL of the normal distribution at x: Simpson's rule over 200 steps from 0, beyond nine deviations flat."""
+    z = f"greatest(least({x}, 9.0), -9.0)"
+    return f"(0.5 + {z} * list_sum(list_transform(range(0, 201), lambda i: (CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * pow({z} * i / 200.0, 2)))) / 600.0 * 0.3989422804014327)"
+
+
 def last(n: int) -> str:
     return f"OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
@@ -360,10 +366,14 @@ def e11_opening_breakouts(spark, d):
     return rounded(research.opening_breakouts(indicators.with_basics(bars(spark, d))))
 
 
-@query()
+@query(f"""WITH {TESTS}, f AS (SELECT *, CASE WHEN n < 2 OR sd = 0 THEN 0 ELSE (mean - base_mean) / (sd / sqrt(n)) END AS t FROM k), p AS (SELECT *, 2 * (1 - {phi('abs(t)')}) AS p, 0.05 / greatest(count(*) OVER (), 1) AS bar FROM f)
+SELECT symbol, test, n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(base_mean, 4) AS base_mean, round(t, 4) AS t, round(mean - 1.96 * sd / sqrt(n), 4) AS ci_low, round(mean + 1.96 * sd / sqrt(n), 4) AS ci_high, n < 30 AS few, round(p, 6) AS p, round(bar, 8) AS bar, p < bar AND n >= 30 AS survives FROM p""")
 def e3_bonferroni(spark, d):
-    """p-values and survivors of every test; DuckDB has no error function."""
-    return research.with_p_values(research.findings(research.hypotheses(daily(spark, d))))
+    """p-values, 95 % intervals, cases too few to judge, and survivors of every test."""
+    found = research.with_p_values(research.findings(research.hypotheses(daily(spark, d))))
+    half = F.col("sd") * 1.96 / F.sqrt("n")
+    values = {c: F.round(c, 4) for c in ("mean", "sd", "base_mean", "t")} | {"ci_low": F.round(F.col("mean") - half, 4), "ci_high": F.round(F.col("mean") + half, 4), "few": F.col("n") < 30, "p": F.round("p", 6), "bar": F.round("bar", 8)}
+    return found.select("symbol", "test", "n", *(v.alias(c) for c, v in values.items()), "survives")
 
 
 # regimes, filter, funds

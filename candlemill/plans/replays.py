@@ -9,7 +9,7 @@ from candlemill.functions import options
 from candlemill.functions.market import day_minutes
 from candlemill.operators import decisions, grading, indicators, option_trades, replay, signals, structure, trend
 from candlemill.plans.calls import CALLS
-from candlemill.plans.decisions import RATE, VOTES, _options, _votes, _vixed
+from candlemill.plans.decisions import RATE, VIXED, VOTES, _options, _votes, _vixed, option_sql
 from candlemill.plans.market import BASICS, MERGED, READINGS, _recursive, economics_sql, graded_sql, query, rounded
 from candlemill.sources.testdata import BARS, DAILY, bars, volatility
 
@@ -156,7 +156,14 @@ def f17_post_open_calls(spark, d):
     return trend.post_open_calls(trend.trend_calls(daily, volatility(spark, d)), sessions)
 
 
-# options on trades; DuckDB has no error function
+# options on trades
+
+_A, _B, _C = (option_sql(f, "24000.0", t, "iv", "TRUE") for f, t in (("24000.0", "t0"), ("(24000.0 + pts)", "t1"), ("24000.0", "t1")))
+PRICED = f"""{VIXED}, q0 AS (SELECT id, line, pool, CAST(pts AS DOUBLE) * 20 AS pts, line * 4.0 - 4 AS given, vix * 0.85::DOUBLE / 100 AS iv, 4.7::DOUBLE / 365 AS t0 FROM tv WHERE vix IS NOT NULL),
+q1 AS (SELECT *, CASE WHEN given > 0 THEN given ELSE 6.0 END AS hold_hours FROM q0), q2 AS (SELECT *, greatest(t0 - hold_hours / 24 / 365, 1e-6) AS t1 FROM q1),
+q3 AS (SELECT *, {_A['price']} AS entry, {_A['delta']} AS delta, {_B['price']} AS xit, {_C['price']} AS mid, {_C['delta']} AS later FROM q2),
+q4 AS (SELECT *, xit - entry AS gross, mid - entry AS theta, entry * 75 AS buy, greatest(xit, 0) * 75 AS sell FROM q3 WHERE entry > 0 AND delta > 0.01), q5 AS (SELECT *, (buy + sell) * 0.0003503::DOUBLE AS ex, (buy + sell) * 0.000001::DOUBLE AS sebi FROM q4),
+q6 AS (SELECT *, (40.0 + sell * 0.001::DOUBLE + ex + sebi + buy * 0.00003::DOUBLE + (40.0 + ex + sebi) * 0.18::DOUBLE + 6.0::DOUBLE * 0.05::DOUBLE * 75 * 2) / 75 AS cost, gross - theta - pts * later AS gamma FROM q5), priced AS (SELECT *, (gross - cost) / delta AS net_pts FROM q6)"""
 
 
 def _priced(spark, d):
@@ -164,15 +171,17 @@ def _priced(spark, d):
     return option_trades.price_trades(t.withColumn("pts", F.col("pts") * 20), RATE)
 
 
-@query()
+@query(f"WITH {PRICED} SELECT id, line, pool, round(hold_hours, 4) AS hold_hours, " + ", ".join(f"round({e}, 3) AS {c}" for c, e in {"entry": "entry", "exit": "xit", "delta": "delta", "gross": "gross", "theta": "theta", "gamma": "gamma", "cost": "cost", "net_pts": "net_pts"}.items()) + " FROM priced")
 def f8_option_trades(spark, d):
     """Trades as bought calls at the volatility of their day."""
-    return _priced(spark, d)
+    kept = ("entry", "exit", "delta", "gross", "theta", "gamma", "cost", "net_pts")
+    return _priced(spark, d).select("id", "line", "pool", F.round("hold_hours", 4).alias("hold_hours"), *(F.round(c, 3).alias(c) for c in kept))
 
 
-@query()
+@query(f"WITH {PRICED} SELECT pool, count(*) AS trades, round(avg(pts), 3) AS index_net, round(avg(net_pts), 3) AS option_net, round(median(hold_hours), 4) AS median_hold, round(avg(theta / delta), 3) AS theta_pts, round(avg(gamma / delta), 3) AS gamma_pts, round(-avg(cost / delta), 3) AS cost_pts, round(sum(net_pts), 1) AS total_net FROM priced GROUP BY pool")
 def e30_option_summary(spark, d):
-    return rounded(option_trades.repriced(_priced(spark, d), ["pool"]), 4)
+    s = option_trades.repriced(_priced(spark, d), ["pool"])
+    return s.select("pool", "trades", *(F.round(c, 4 if c == "median_hold" else 1 if c == "total_net" else 3).alias(c) for c in s.columns if c not in ("pool", "trades")))
 
 
 def _chain(spark, d):
