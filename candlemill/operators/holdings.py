@@ -186,3 +186,48 @@ def merge_logs(server: DataFrame, local: DataFrame, newest: int | None = None) -
 
     kept = copies.select("id", F.aggregate("x", F.element_at("x", 1), better).alias("e")).select("id", "e.log", "e.pos", "e.status", "e.updates", "e.peak", "e.ts_ms")
     return kept if newest is None else kept.orderBy(F.desc("ts_ms"), "id").limit(newest)
+
+
+#: What the balance of recent headlines and the fundamentals score do to a call; fixed values.
+NEWS_ITEMS, NEWS_SURE, NEWS_MOST = 8, 2, 92
+FUNDAMENTAL_WEIGHT = {"scalp": 3, "swing": 3, "longterm": 7}
+
+
+def news_balance(news: DataFrame, key: str = "symbol", items: int = NEWS_ITEMS) -> DataFrame:
+    """(key, n_news, news_score): positive less negative of each key's newest headlines of news(key, ts, mood)."""
+    k = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts")))
+    recent = news.withColumn("__k", k).where(F.col("__k") <= items)
+    score = F.sum(F.when(F.col("mood") == "positive", 1).when(F.col("mood") == "negative", -1).otherwise(0))
+    return recent.groupBy(key).agg(F.count("*").alias("n_news"), score.cast("int").alias("news_score"))
+
+
+def holding_view(calls: DataFrame, mode: str = "swing") -> DataFrame:
+    """calls(action, confidence, n_news, news_score, fundamental_score) turned by headlines, then by fundamentals; nulls turn nothing.
+
+    Two headlines or more against a call make it a HOLD, as many with it make it surer. A score of two
+    or worse against a BUY makes it a HOLD; long-term holdings follow the score further.
+    """
+    score, conf, action = F.coalesce("news_score", F.lit(0)), F.col("confidence").cast("double"), F.col("action")
+    against = ((score <= -NEWS_SURE) & (action == "BUY")) | ((score >= NEWS_SURE) & (action == "SELL"))
+    along = ((score >= NEWS_SURE) & (action == "BUY")) | ((score <= -NEWS_SURE) & (action == "SELL"))
+    less = F.greatest(F.lit(40.0), conf - F.when(action == "BUY", 15).otherwise(12))
+    conf = F.when(against, less).when(along, F.least(F.lit(float(NEWS_MOST)), conf + 8)).otherwise(conf)
+    d = calls.withColumns({"confidence": conf, "action": F.when(against, "HOLD").otherwise(action)})
+    f, held = F.col("fundamental_score"), F.col("action")
+    moved = F.col("confidence") + F.floor(F.least(F.greatest(f, F.lit(-3.0)), F.lit(3.0)) * FUNDAMENTAL_WEIGHT[mode] + 0.5)
+    conf = F.when(f.isNotNull(), F.least(F.greatest(moved, F.lit(30.0)), F.lit(95.0))).otherwise(F.col("confidence"))
+    if mode == "longterm":
+        held = F.when((f >= 2) & (held == "HOLD"), "BUY").otherwise(held)
+        held = F.when((f >= 1.5) & (held == "SELL"), "HOLD").otherwise(held)
+        held = F.when((f <= -2) & (held == "BUY"), "HOLD").otherwise(held)
+        held = F.when(f <= -3, "SELL").otherwise(held)
+    else:
+        held = F.when((f <= -2) & (held == "BUY"), "HOLD").otherwise(held)
+    return d.withColumns({"confidence": F.floor(conf + 0.5).cast("int"), "action": held})
+
+
+def gated_view(levelled: DataFrame) -> DataFrame:
+    """Calls with their own levels: what is not viable becomes a HOLD at 12 points less, 30 at least."""
+    lost = F.col("action").isin("BUY", "SELL") & ~F.col("viable")
+    conf = F.when(lost, F.greatest(F.lit(30), F.least(F.lit(95), F.col("confidence") - 12))).otherwise(F.col("confidence"))
+    return levelled.withColumns({"confidence": conf.cast("int"), "gated": lost, "action": F.when(lost, "HOLD").otherwise(F.col("action"))})
