@@ -436,3 +436,40 @@ def test_url_filter_sql(spark, tmp_path):
     blocked = {r[0] for r in want if r[-1] == "block"}
     assert any(".bad." in h for h in blocked) and not any(".good." in h for h in blocked) and "new.bad.net" in blocked
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, host string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_line_dedup_query_against_brute_force(spark):
+    from tests.llm import brute
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    for least in (8, 3):
+        bad = brute.boilerplate([r[1:] for r in rows], least)
+        got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(docs, min_sites=least).collect()}
+        want = {i: (brute.strip_lines(t, bad), sum(x in bad for x in (t or "").split("\n"))) for i, t, _ in rows}
+        assert got == want and (least == 8 or bad)
+
+
+def test_quality_query_against_brute_force(spark):
+    from tests.llm import brute
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    want, least = brute.quality([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.quality, r.toxic) for r in labels.collect()])
+    got = quality.verdict(docs.select("doc_id", "text"), labels).collect()
+    assert len(got) == len(want) and {r.kept for r in got} == {True, False}
+    for r in got:
+        failed, score = want[r.doc_id]
+        assert r.base_failed == failed and abs(r.score - score) < 1e-9 and r.kept == (not failed and score >= least)
+
+
+def test_simhash_query_against_brute_force(spark):
+    from tests.llm import brute
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    prints = {i: brute.simhash(t) for i, t in rows}
+    of, least = brute.components(prints.values()), {}
+    for i, f in prints.items():
+        least[of[f]] = min(i, least.get(of[f], i))
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op9_simhash_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: (f"{f:016x}", least[of[f]]) for i, f in prints.items()}

@@ -1,5 +1,7 @@
 import pytest
 
+from tests.llm import brute
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 SF = "/root/testdata/sf0.01"  # 200 documents, as at sf0.001, are too few for the quality model to tell all bad ones
@@ -33,3 +35,53 @@ def test_stages_against_plain_python(spark):
     assert kept["best-fit packing"] == kept["benchmark decontamination"]
     fill = docs.groupBy("sequence_id").sum("length").collect()
     assert max(r[1] for r in fill) <= 4096
+
+
+def test_run_against_brute_force(spark):
+    """Every stage's rows and texts against plain Python on its own predecessor's, and run() against the last."""
+    labels = [tuple(r) for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    scored, least = brute.quality([r[:2] for r in rows], labels)
+    edge = {i for i, (_, x) in scored.items() if abs(x - least) < 1e-9}
+    rows = [r for r in rows if not scored[r[0]][0] and scored[r[0]][1] >= least]
+    bad = brute.boilerplate([r[1:] for r in rows], 8)
+    rows = [(i, brute.strip_lines(t, bad), s) for i, t, s in rows]
+    kept = brute.keep_one([r[:2] for r in rows])
+    rows = [r for r in rows if r[0] in kept]
+    hit = brute.contaminated([r[:2] for r in rows], items)
+    want = {i: t for i, t, _ in rows if i not in hit}
+    assert not edge
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in got} == set(want)
+    from candlemill.llm import packing
+
+    encode = packing.encoder(packing.vocabulary(), False).encode
+    total = {i: len(encode(t or "")) // 4 + 1 for i, t in want.items()}
+    held = dict.fromkeys(total, 0)
+    for r in got:
+        held[r.doc_id] += r.length
+    assert held == total
+
+
+def test_no_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0
+        docs = docs if name == "best-fit packing" else out.select(docs.columns)
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and columns of clashing names pass every stage."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, key string, row int, n_removed int, fp long, hit int, __key string"
+    text = " ".join(f"w{k}" for k in range(80))
+    docs = spark.createDataFrame([(None, None, None, None, None, None, None, None, None, None, None), (1, "", "x", "s", 0, "k", 1, 5, 2, 3, "z"), (2, text, "x", None, 9, "k", 1, 5, 2, 3, "z"), (2, text, "x", None, 9, "k", 1, 5, 2, 3, "z"), (3, "long " * 120_000, None, "s", 1, "k", 1, 5, 2, 3, "z"), (None, text + " more", "x", "s", 1, "k", 1, 5, 2, 3, "z")], columns)
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.table(stage(spark, docs, SF), "odd")
+        if name == "best-fit packing":
+            assert out.where("doc_id = 2 or doc_id is null").count() >= 2
+            continue
+        assert out.columns == docs.columns, name
+        assert out.where("doc_id = 2").count() >= 1 and out.where("key = 'k' and row = 1").count() >= 2, name
+        docs = out if name != "quality rules" else docs
