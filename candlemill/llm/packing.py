@@ -35,7 +35,7 @@ from candlemill.llm.common import read, table
 CAPACITY, END = 4096, 1
 SHARD_TOKENS = 4096 * 4096
 #: Words, and pieces of words, whose ids a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 
 
 def vocabulary() -> str:
