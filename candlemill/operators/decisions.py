@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlemill.functions.quantile import at_shares
+
 # Shares and floors of the trade levels by mode (target share, stop share, least stop share, least reward to risk, ATR floor).
 LEVELS = {"scalp": (0.015, 0.008, 0.002, 1.5, 0.8), "swing": (0.0375, 0.016, 0.005, 1.5, 0.6), "longterm": (0.10, 0.06, 0.01, 1.2, 0.6)}
 
@@ -90,13 +92,14 @@ def stress(trades: DataFrame, by: list[str], net: str = "net", best: int = 3) ->
     """
     top = trades.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(net)))).where(F.col("__k") <= best)
     top = top.groupBy(*by).agg(F.sum(net).alias("best"))
-    g = trades.groupBy(*by).agg(F.count("*").alias("trades"), F.sum((F.col(net) > 0).cast("long")).alias("winners"), F.avg(net).alias("mean"), F.median(net).alias("median"), F.sum(net).alias("total"))
+    g = trades.groupBy(*by).agg(F.count("*").alias("trades"), F.sum((F.col(net) > 0).cast("long")).alias("winners"), F.avg(net).alias("mean"), F.sum(net).alias("total"))
+    g = g.join(at_shares(trades, by, net, {"median": 0.5}, middle=True), by)
     return g.join(top, by).withColumn("without_best", F.when(F.col("trades") > best, (F.col("total") - F.col("best")) / (F.col("trades") - best)).otherwise(0.0))
 
 
 def votes(scored: DataFrame, key: list[str], keep: float, seeds: int) -> DataFrame:
     """Rows of scored(seed, score) kept by more than half the seeds, each at its own threshold."""
-    cut = scored.groupBy("seed").agg(F.expr(f"percentile_disc({1 - keep}) within group (order by score)").alias("cut"))
+    cut = at_shares(scored, ["seed"], "score", {"cut": 1 - keep})
     return scored.join(F.broadcast(cut), "seed").where("score >= cut").groupBy(*key).agg(F.count("*").alias("votes")).where(F.col("votes") > seeds / 2)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candlemill.functions.market import DAY_MS
 
-DAY_WINDOW_MS = 86_400_000
+DAY_WINDOW_MS, HOUR_MS = 86_400_000, 3_600_000
 
 
 def grade(signals: DataFrame, bars: DataFrame, window_ms: int = DAY_WINDOW_MS, now_ms=None, min_points: float = 0.0) -> DataFrame:
@@ -44,23 +44,35 @@ def grade(signals: DataFrame, bars: DataFrame, window_ms: int = DAY_WINDOW_MS, n
 
 
 def summarize(graded: DataFrame, by: list[str], cost: float = 6.0, count_expired: bool = False) -> DataFrame:
-    """Economics of graded signals: win rate, gross and net expectancy, profit factor, drawdown."""
+    """Economics of graded signals: win rate, gross and net expectancy, profit factor, drawdown.
+
+    Equity is summed within each hour of a group, and the hours' sums, peaks and lows are then put
+    together, so no task holds the trades of a whole group.
+    """
     settled = F.col("status").isin("target", "stop", *(["expired"] if count_expired else []))
     sign = F.when(F.col("action") == "BUY", 1.0).otherwise(-1.0)
     t = graded.where(settled).withColumn("gross", (F.col("resolved_price") - F.col("entry")) * sign).withColumn("net", F.col("gross") - cost)
-    order = Window.partitionBy(*by).orderBy("ts_ms", "sid").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("equity", F.sum("net").over(order))
-    t = t.withColumn("drop", F.greatest(F.max("equity").over(order), F.lit(0.0)) - F.col("equity"))
-    win = F.col("gross") > 0
-    up, down = F.sum(F.when(win, F.col("gross"))), F.abs(F.sum(F.when(~win, F.col("gross"))))
-    return t.groupBy(*by).agg(
-        F.count("*").alias("resolved"),
-        F.round(F.avg(win.cast("double")) * 100, 4).alias("win_pct"),
-        F.round(F.avg("gross"), 4).alias("gross_pts"),
-        F.round(F.avg("net"), 4).alias("net_pts"),
-        F.round(F.sum("net"), 4).alias("total_net"),
-        F.round(F.when(down > 0, F.coalesce(up, F.lit(0.0)) / down), 2).alias("profit_factor"),
-        F.round(F.greatest(F.max("drop"), F.lit(0.0)), 4).alias("max_drawdown"),
+    t = t.withColumn("hour", F.floor(F.col("ts_ms") / HOUR_MS))
+    order = Window.partitionBy(*by, "hour").orderBy("ts_ms", "sid").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("equity", F.sum("net").over(order)).withColumn("drop", F.max("equity").over(order) - F.col("equity"))
+    win, total = F.col("gross") > 0, F.sum
+    hours = t.groupBy(*by, "hour").agg(
+        F.count("*").alias("n"), total(win.cast("long")).alias("wins"), total("gross").alias("gross"), total("net").alias("net"), total(F.when(win, F.col("gross"))).alias("up"), total(F.when(~win, F.col("gross"))).alias("down"),
+        F.max("equity").alias("peak"), F.min("equity").alias("low"), F.max("drop").alias("drop"),
+    )
+    past = Window.partitionBy(*by).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.withColumn("before", F.coalesce(total("net").over(past), F.lit(0.0)))
+    peak = F.greatest(F.max(F.col("before") + F.col("peak")).over(past), F.lit(0.0))
+    hours = hours.withColumn("drop", F.greatest("drop", peak - F.col("before") - F.col("low")))
+    n, up, down = total("n"), F.coalesce(total("up"), F.lit(0.0)), F.abs(total("down"))
+    return hours.groupBy(*by).agg(
+        n.alias("resolved"),
+        F.round(total("wins") / n * 100, 4).alias("win_pct"),
+        F.round(total("gross") / n, 4).alias("gross_pts"),
+        F.round(total("net") / n, 4).alias("net_pts"),
+        F.round(total("net"), 4).alias("total_net"),
+        F.round(F.when(down > 0, up / down), 2).alias("profit_factor"),
+        F.round(F.max("drop"), 4).alias("max_drawdown"),
     )
 
 

@@ -30,7 +30,7 @@ def walk_forward(samples: DataFrame, features: list[str], order: list[str], seed
     Folds are those of regime.folds over all samples; a fold or past with one class only is left
     out. One fit a fold and seed, each of them a distributed job.
     """
-    given = folds(samples.withColumn("__all", F.lit(1)), ["__all"], order, **sizes).drop("__all").persist()
+    given = folds(samples, [], order, **sizes).persist()
     blocks = sorted(r[0] for r in given.select("fold").distinct().collect() if r[0] is not None)
     classes = {r.fold: (r.n, r.k) for r in given.groupBy(F.coalesce("fold", F.lit(-1)).alias("fold")).agg(F.count("*").alias("n"), F.sum("label").alias("k")).collect()}
     out = None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candlemill.functions import options
 from candlemill.functions.market import option_buy_cost
+from candlemill.functions.quantile import at_shares
 
 # Days to expiry, spread in points, units of a lot, tick, and the hold of a trade without one in hours.
 DAYS, SPREAD, LOT, TICK, HOLD = 4.7, 0.60, 75, 0.05, 6.0
@@ -34,10 +35,11 @@ def price_trades(trades: DataFrame, rate: float, index: float = 24000.0) -> Data
 def repriced(priced: DataFrame, by: list[str]) -> DataFrame:
     """Means of priced trades in index points, and the median hold."""
     pts = lambda c, sign=1: F.avg(sign * F.col(c) / F.col("delta"))
-    return priced.groupBy(*by).agg(
-        F.count("*").alias("trades"), F.avg("pts").alias("index_net"), F.avg("net_pts").alias("option_net"), F.median("hold_hours").alias("median_hold"),
+    means = priced.groupBy(*by).agg(
+        F.count("*").alias("trades"), F.avg("pts").alias("index_net"), F.avg("net_pts").alias("option_net"),
         pts("theta").alias("theta_pts"), pts("gamma").alias("gamma_pts"), pts("cost", -1).alias("cost_pts"), F.sum("net_pts").alias("total_net"),
     )
+    return means.join(at_shares(priced, by, "hold_hours", {"median_hold": 0.5}, middle=True), by)
 
 
 def measure(chain: DataFrame, rate: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlemill.functions.quantile import at_shares
+
 #: Lower bounds of the volatility bands.
 BANDS = (0.0, 12.0, 14.0, 18.0, 25.0)
 
@@ -62,16 +64,32 @@ def auc(scored: DataFrame, by: list[str]) -> DataFrame:
 
 def folds(samples: DataFrame, by: list[str], order: list[str], least: int = 400, blocks: int = 4, least_block: int = 20) -> DataFrame:
     """samples with fold, 0-based, of the expanding walk-forward blocks after the first `least` rows; null before and where blocks are too small."""
-    w = Window.partitionBy(*by)
-    s = samples.withColumns({"i": F.row_number().over(w.orderBy(*order)) - 1, "n": F.count("*").over(w)})
+    s = numbered(samples, by, order)
     block = F.floor((F.col("n") - least) / blocks)
     fold = F.least(F.floor((F.col("i") - least) / block), F.lit(blocks - 1))
     return s.withColumn("fold", F.when((block >= least_block) & (F.col("i") >= least), fold.cast("int"))).drop("i", "n")
 
 
+def numbered(samples: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """samples with i, the 0-based place in the group by order, and n, the group's size.
+
+    Rows are counted by the first column of order, the counts summed, and rows placed within one of its
+    values only, so no task sorts a group.
+    """
+    head = order[0]
+    counts = samples.groupBy(*by, head).agg(F.count("*").alias("__here"))
+    w = Window.partitionBy(*(by or [F.lit(1)]))
+    before = F.sum("__here").over(w.orderBy(head).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__here")
+    counts = counts.select(*(F.col(c).alias(f"__{c}") for c in (*by, head)), before.alias("__before"), F.sum("__here").over(w).alias("n"))
+    met = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, head)]
+    within = F.row_number().over(Window.partitionBy(*by, head).orderBy(*order)) - 1
+    s = samples.withColumn("__within", within).join(counts, met)
+    return s.withColumn("i", F.col("__before") + F.col("__within")).drop("__before", "__within", *(f"__{c}" for c in (*by, head)))
+
+
 def keep_economics(scored: DataFrame, fractions=(0.5, 0.4, 0.3, 0.2, 0.1)) -> DataFrame:
     """(keep, threshold, trades, win_pct, net) of scored(score, pts) kept at each fraction's threshold."""
-    cuts = scored.agg(*(F.expr(f"percentile_disc({1 - f}) within group (order by score)").alias(f"k{k}") for k, f in enumerate(fractions)))
+    cuts = at_shares(scored, [], "score", {f"k{k}": 1 - f for k, f in enumerate(fractions)})
     long = cuts.select(F.explode(F.array(*(F.struct(F.lit(f).alias("keep"), F.col(f"k{k}").alias("threshold")) for k, f in enumerate(fractions)))).alias("x")).select("x.*")
     kept = scored.crossJoin(F.broadcast(long)).where("score >= threshold")
     return kept.groupBy("keep", "threshold").agg(F.count("*").alias("trades"), F.round(F.avg((F.col("pts") > 0).cast("double")) * 100, 6).alias("win_pct"), F.round(F.avg("pts"), 6).alias("net"))

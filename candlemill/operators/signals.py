@@ -25,31 +25,27 @@ def merge_signals(readings: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
 
     A reading is appended if its action is new or the last stored reading lies more than gap_ms
     back; it updates the last entry if its confidence differs; else it is skipped and does not
-    move the stored time. An action change or a gap between neighbours always appends, so islands
-    between those are independent and each is folded by itself. An entry keeps the id and first
-    time of its first reading, the values of its last update, the peak confidence and the count.
+    move the stored time. An entry keeps the id and first time of its first reading, the values of
+    its last update, the peak confidence and the count.
+
+    What is skipped equals the stored confidence, so a reading whose confidence differs from its
+    neighbour's is always stored, and only runs of one confidence have to be walked from reading to
+    reading. All steps keep the partitioning by symbol: one shuffle.
     """
     w = Window.partitionBy("symbol").orderBy("ts_ms")
-    cut = F.lag("ts_ms").over(w).isNull() | (F.lag("action").over(w) != F.col("action")) | (F.col("ts_ms") - F.lag("ts_ms").over(w) > gap_ms)
-    r = readings.withColumn("island", F.sum(cut.cast("int")).over(w))
+    before = lambda c: F.lag(c).over(w)
+    cut = before("ts_ms").isNull() | (before("action") != F.col("action")) | (F.col("ts_ms") - before("ts_ms") > gap_ms)
+    r = readings.withColumns({"cut": cut, "turn": cut | (before("confidence") != F.col("confidence"))})
+    r = r.withColumns({"island": F.sum(F.col("cut").cast("int")).over(w), "run": F.sum(F.col("turn").cast("int")).over(w)})
     row = F.struct("ts_ms", "confidence", "entry", "target", "stop")
-    islands = r.groupBy("symbol", "island", "action").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-
-    def entry(x, first, updates, peak):
-        return F.struct(first.alias("first_ms"), x["ts_ms"].alias("ts_ms"), updates.cast("int").alias("updates"), x["confidence"].alias("confidence"), peak.alias("peak"), x["entry"].alias("entry"), x["target"].alias("target"), x["stop"].alias("stop"))
-
-    def start(x):
-        return entry(x, x["ts_ms"], F.lit(1), x["confidence"])
-
-    def step(log, x):
-        head = F.element_at(log, -1)
-        moved = entry(x, head["first_ms"], head["updates"] + 1, F.greatest(head["peak"], x["confidence"]))
-        return (
-            F.when(x["ts_ms"] - head["ts_ms"] > gap_ms, F.concat(log, F.array(start(x))))
-            .when(x["confidence"] != head["confidence"], F.concat(F.slice(log, 1, F.size(log) - 1), F.array(moved)))
-            .otherwise(log)
-        )
-
-    first = F.array(start(F.element_at("rows", 1)))
-    rest = F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))
-    return islands.select("symbol", "action", F.explode(F.aggregate(rest, first, step)).alias("e")).select("symbol", "action", "e.*")
+    runs = r.groupBy("symbol", "run").agg(F.first("action").alias("action"), F.first("island").alias("island"), F.array_sort(F.collect_list(row)).alias("rows"))
+    later = F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))
+    kept = F.aggregate(later, F.slice("rows", 1, 1), lambda log, x: F.when(x["ts_ms"] - F.element_at(log, -1)["ts_ms"] > gap_ms, F.concat(log, F.array(x))).otherwise(log))
+    stored = runs.select("symbol", "action", "island", F.explode(kept).alias("x")).select("symbol", "action", "island", "x.*")
+    new = before("ts_ms").isNull() | (before("island") != F.col("island")) | (F.col("ts_ms") - before("ts_ms") > gap_ms)
+    stored = stored.withColumn("new", new).withColumn("id", F.sum(F.col("new").cast("int")).over(w))
+    newest = lambda c: F.max_by(c, "ts_ms").alias(c)
+    log = stored.groupBy("symbol", "action", "id").agg(
+        F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("at"), F.count("*").cast("int").alias("updates"), newest("confidence"), F.max("confidence").alias("peak"), newest("entry"), newest("target"), newest("stop"),
+    )
+    return log.select("symbol", "action", "first_ms", F.col("at").alias("ts_ms"), "updates", "confidence", "peak", "entry", "target", "stop")

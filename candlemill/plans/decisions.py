@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candlemill.functions import options
+from candlemill.functions.quantile import at_shares
 from candlemill.operators import decisions, indicators, regime, structure
 from candlemill.plans.market import BASICS, DAYW, IND, MERGED, ROUND, TRADES, _graded, _recursive, _trades, graded_sql, phi, query, rounded
 from candlemill.sources import archive
@@ -136,7 +137,7 @@ SELECT arm, count(*) AS trades, round(avg(pts), 6) AS mean_pts, round(sum(pts),
 def e18_gate_and_filter(spark, d):
     """Trades under neither rule, the volatility gate, the score filter, and both."""
     t = _vixed(spark, d)
-    cut = t.agg(F.expr("percentile_disc(0.5) within group (order by score)").alias("cut"))
+    cut = at_shares(t, [], "score", {"cut": 0.5})
     calm, kept = F.coalesce(F.col("vix") <= 18, F.lit(False)), F.col("score") >= F.col("cut")
     arms = F.array(F.lit("neither"), F.when(calm, "gate"), F.when(kept, "filter"), F.when(calm & kept, "both"))
     x = t.crossJoin(F.broadcast(cut)).select("pts", F.explode(F.filter(arms, lambda a: a.isNotNull())).alias("arm"))
@@ -200,7 +201,7 @@ def _seeded(spark, d):
 @query(f"WITH {SEEDED}, s AS (SELECT seed, avg(pts) AS net FROM kept GROUP BY seed) SELECT count(*) AS seeds, round(avg(net), 6) AS mean, round(stddev_pop(net), 6) AS sd, round(min(net), 6) AS worst, round(max(net), 6) AS best, count(*) FILTER (net > 0) AS positive FROM s")
 def e24_seed_spread(spark, d):
     x = _seeded(spark, d)
-    cut = x.groupBy("seed").agg(F.expr("percentile_disc(0.8) within group (order by score)").alias("cut"))
+    cut = at_shares(x, ["seed"], "score", {"cut": 0.8})
     s = x.join(F.broadcast(cut), "seed").where("score >= cut").groupBy("seed").agg(F.avg("pts").alias("net"))
     return rounded(s.agg(F.count("*").alias("seeds"), F.avg("net").alias("mean"), F.stddev_pop("net").alias("sd"), F.min("net").alias("worst"), F.max("net").alias("best"), F.count(F.when(F.col("net") > 0, 1)).alias("positive")))
 

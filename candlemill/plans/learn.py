@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from candlemill.functions.quantile import at_shares
 from candlemill.operators import learn, regime
 from candlemill.plans.market import query, rounded
 from candlemill.sources.testdata import load, volatility
@@ -25,7 +26,7 @@ def f22_walk_forward(spark, d):
     """AUC of each fold and seed, and of the fifth that the model rates highest the mean points."""
     s = learn.walk_forward(_samples(spark, d), FEATURES, ORDER, seeds=(0, 1))
     a = regime.auc(s, ["fold", "seed"])
-    cut = s.groupBy("fold", "seed").agg(F.expr("percentile_disc(0.8) within group (order by score)").alias("cut"))
+    cut = at_shares(s, ["fold", "seed"], "score", {"cut": 0.8})
     kept = s.join(cut, ["fold", "seed"]).where("score >= cut").groupBy("fold", "seed").agg(F.count("*").alias("kept"), F.avg("pts").alias("pts"))
     return rounded(a.join(kept, ["fold", "seed"]))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlemill.functions import market as m
@@ -423,8 +423,7 @@ def e22_keep_fractions(spark, d):
 SELECT pool, fold, count(*) AS n, min(i) AS first FROM (SELECT *, CAST(CASE WHEN floor((n - 400) / 4) >= 20 AND i >= 400 THEN least(floor((i - 400) / floor((n - 400) / 4)), 3) END AS INT) AS fold FROM i) GROUP BY pool, fold""")
 def f21_folds(spark, d):
     f = regime.folds(_trades(spark, d), ["pool"], ["day", "id", "line"])
-    i = F.row_number().over(Window.partitionBy("pool").orderBy("day", "id", "line")) - 1
-    return f.withColumn("i", i).groupBy("pool", "fold").agg(F.count("*").alias("n"), F.min("i").cast("long").alias("first"))
+    return regime.numbered(f, ["pool"], ["day", "id", "line"]).drop("n").groupBy("pool", "fold").agg(F.count("*").alias("n"), F.min("i").cast("long").alias("first"))
 
 
 @query(f"""WITH {DAILY}, p AS (SELECT a.symbol || b.symbol AS fund, a.day, a.c AS f, b.c AS x FROM daily a JOIN daily b ON a.day = b.day AND a.symbol <> b.symbol WHERE a.c > 0 AND b.c > 0), k AS (SELECT *, f / x AS r, row_number() OVER (PARTITION BY fund ORDER BY day DESC) AS k FROM p),
