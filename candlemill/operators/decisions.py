@@ -31,21 +31,25 @@ def vote(df: DataFrame, factors: str = "factors", change: str = "change_pct", th
     return d.withColumn("action", action).withColumn("confidence", F.when(F.col("action") != "HOLD", raw).when(held, F.greatest(F.lit(35), hold - 5)).otherwise(hold).cast("int"))
 
 
-def levels(df: DataFrame, mode: str = "scalp") -> DataFrame:
+def levels(df: DataFrame, mode: str = "scalp", floor_share: Column | None = None, atr_target: Column | None = None, atr_stop: Column | None = None) -> DataFrame:
     """Adds target, stop, rr and viable to rows of (c, action, atr, support, resistance).
 
     The target stops short of the next structure, the stop is as wide as the least reward to risk
-    allows and at least the volatility floor; where that is impossible nothing is viable.
+    allows and at least the volatility floor; where that is impossible nothing is viable. A row's
+    floor_share replaces the mode's least stop, atr_target and atr_stop its shares of the price by
+    multiples of the range; where they are null, or the range is not above 0, the mode's count.
     """
     goal_pct, stop_pct, least_stop, least_rr, atr_share = LEVELS[mode]
-    buy, c = F.col("action") == "BUY", F.col("c")
-    up = F.when(F.col("resistance") > c, F.least(c + c * goal_pct, F.col("resistance") * 0.999)).otherwise(c + c * goal_pct)
-    down = F.when((F.col("support") > 0) & (F.col("support") < c), F.greatest(c - c * goal_pct, F.col("support") * 1.001)).otherwise(c - c * goal_pct)
+    buy, c, atr = F.col("action") == "BUY", F.col("c"), F.coalesce("atr", F.lit(0.0))
+    ranged = lambda times, share: c * share if times is None else F.when((times > 0) & (atr > 0), atr * times).otherwise(c * share)
+    wide, base = ranged(atr_target, goal_pct), ranged(atr_stop, stop_pct)
+    up = F.when(F.col("resistance") > c, F.least(c + wide, F.col("resistance") * 0.999)).otherwise(c + wide)
+    down = F.when((F.col("support") > 0) & (F.col("support") < c), F.greatest(c - wide, F.col("support") * 1.001)).otherwise(c - wide)
     d = df.withColumn("__goal", F.when(buy, up).otherwise(down))
-    floor = F.greatest(F.coalesce("atr", F.lit(0.0)) * atr_share, c * least_stop)
+    floor = F.greatest(atr * atr_share, c * (least_stop if floor_share is None else F.coalesce(floor_share, F.lit(least_stop))))
     d = d.withColumns({"__reward": F.abs(F.col("__goal") - c), "__floor": floor})
     ok = F.col("action").isin("BUY", "SELL") & (F.col("__reward") > 0) & (F.col("__reward") / least_rr >= F.col("__floor"))
-    risk = F.least(F.col("__reward") / least_rr, F.greatest(c * stop_pct, F.col("__floor")))
+    risk = F.least(F.col("__reward") / least_rr, F.greatest(base, F.col("__floor")))
     d = d.withColumns({"viable": F.coalesce(ok, F.lit(False)), "__risk": risk})
     return d.withColumns(
         {"target": F.when(F.col("viable"), F.col("__goal")), "stop": F.when(F.col("viable"), F.when(buy, c - F.col("__risk")).otherwise(c + F.col("__risk"))), "rr": F.when(F.col("viable"), F.col("__reward") / F.col("__risk"))}
@@ -141,11 +145,13 @@ def with_factors(df: DataFrame) -> DataFrame:
     return df.withColumn("factors", F.filter(said, lambda x: x.isNotNull()))
 
 
-#: Columns of a feature row, in the order that models are fitted with.
+# Columns of a feature row, in the order that models are fitted with.
 FEATURES = (
-    "action_buy confidence rr target_dist_pct stop_dist_pct buy_weight sell_weight hold_weight weight_margin n_factors rsi macd_h_pct macd_v_pct stoch bb_pct bb_width_pct ema20_dist_pct ema50_dist_pct "
-    "ema_spread_pct atr_pct vol_ratio vwap_dist_pct or_pos or_ready res_dist_pct sup_dist_pct fvg_inside fvg_bull chg_pct minutes_from_open dow session_bars ret_5_pct ret_20_pct realized_vol_pct bar_range_pct streak vix_level vix_vs_20d vix_pctile_1y"
-).split()
+    "action_buy", "confidence", "rr", "target_dist_pct", "stop_dist_pct", "buy_weight", "sell_weight", "hold_weight", "weight_margin", "n_factors", "rsi",
+    "macd_h_pct", "macd_v_pct", "stoch", "bb_pct", "bb_width_pct", "ema20_dist_pct", "ema50_dist_pct", "ema_spread_pct", "atr_pct", "vol_ratio",
+    "vwap_dist_pct", "or_pos", "or_ready", "res_dist_pct", "sup_dist_pct", "fvg_inside", "fvg_bull", "chg_pct", "minutes_from_open", "dow",
+    "session_bars", "ret_5_pct", "ret_20_pct", "realized_vol_pct", "bar_range_pct", "streak", "vix_level", "vix_vs_20d", "vix_pctile_1y",
+)
 
 
 def features(df: DataFrame) -> DataFrame:

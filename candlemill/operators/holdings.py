@@ -110,13 +110,40 @@ def search(names: DataFrame, held: DataFrame, query: str, top: int = 8) -> DataF
     return free.orderBy(F.when(F.col("name").startswith(q), 0).otherwise(1), "name").limit(top)
 
 
+#: Most assets whose patterns become literals of one scan; more are joined by the pattern.
+LITERAL_ASSETS = 200
+
+
 def relevant(news: DataFrame, assets: DataFrame) -> DataFrame:
     """(asset, ts, headline, mood) of news(ts, headline, tags, mood) that an asset(asset, pattern) is tagged in or that fits its pattern.
 
-    assets is a table of names, far smaller than news; Spark broadcasts it when it is small enough.
+    Up to LITERAL_ASSETS names are tested as literals in one scan of the news, without a join; a
+    larger table of names is joined by the same rule.
+    """
+    known = assets.limit(LITERAL_ASSETS + 1).collect()
+    if len(known) > LITERAL_ASSETS:
+        fits = F.array_contains("tags", F.col("asset")) | F.regexp_like(F.lower("headline"), F.col("pattern"))
+        return news.join(assets, fits).select("asset", "ts", "headline", "mood")
+    low = F.lower("headline")
+    tests = [F.when(F.array_contains("tags", a.asset) | low.rlike(a.pattern), a.asset) for a in known if a.asset is not None and a.pattern is not None]
+    met = F.filter(F.array(*tests).cast("array<string>"), lambda a: a.isNotNull())
+    return news.select(F.explode(met).alias("asset"), "ts", "headline", "mood")
+
+
+def dedupe(holdings: DataFrame, owner: str, position: list[str]) -> DataFrame:
+    """One row of holdings(owner, id, type, name, sector, buy) an owner, type and name in any case: the first with a cost, else the first.
+
+    A type that is not mf is stock, a placeholder for a sector is null, rows without a name go. An id
+    that is null or that an earlier row of the owner has is replaced by one above all the owner's.
     """
-    fits = F.array_contains("tags", F.col("asset")) | F.regexp_like(F.lower("headline"), F.col("pattern"))
-    return news.join(assets, fits).select("asset", "ts", "headline", "mood")
+    h = holdings.where("name <> ''").withColumns({"type": F.when(F.lower("type") == "mf", "mf").otherwise("stock"), "sector": sector_name(F.col("sector")), "__name": F.upper("name")})
+    key = Window.partitionBy(owner, "type", "__name")
+    best = F.row_number().over(key.orderBy((F.coalesce("buy", F.lit(0)) > 0).desc(), *position))
+    h = h.withColumns({"__k": best, "__first": F.min(F.struct(*position)).over(key), "__most": F.coalesce(F.max("id").over(Window.partitionBy(owner)), F.lit(0))}).where("__k = 1")
+    taken = F.col("id").isNull() | (F.row_number().over(Window.partitionBy(owner, "id").orderBy("__first")) > 1)
+    h = h.withColumn("__new", taken)
+    fresh = F.col("__most") + F.sum(F.col("__new").cast("long")).over(Window.partitionBy(owner).orderBy("__first"))
+    return h.withColumn("id", F.when(F.col("__new"), fresh).otherwise(F.col("id"))).drop("__name", "__k", "__first", "__most", "__new")
 
 
 def explain_moves(prices: DataFrame, matched: DataFrame, top: int = 2) -> DataFrame:

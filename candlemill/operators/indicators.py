@@ -100,6 +100,17 @@ def streaks(bars: DataFrame, cap: int = 20) -> DataFrame:
     return b.withColumn("streak", F.when(F.col("n") == 1, 0).otherwise(F.when(up, size).otherwise(-size))).drop("turn", "island")
 
 
+def windowed_liquidity(bars: DataFrame, window: int = 375) -> DataFrame:
+    """Adds the mean of the last five traded volumes over the mean of those traded in the last window bars, and its label; ratio 1 under five."""
+    v = F.when(F.col("v") > 0, F.col("v"))
+    w = series().rowsBetween(1 - window, 0)
+    five = F.avg("v").over(Window.partitionBy("symbol", F.col("v") > 0).orderBy("ts_ms").rowsBetween(-4, 0))
+    t = bars.withColumn("own", F.when(F.col("v") > 0, five)).withColumns({"k": F.count(v).over(w), "mean": F.avg(v).over(w), "recent": F.last("own", ignorenulls=True).over(series())})
+    t = t.withColumn("liq_ratio", F.when(F.col("k") >= 5, F.floor(F.col("recent") / F.col("mean") * 100 + 0.5) / 100).otherwise(1.0))
+    label = F.when(F.col("k") < 5, "Unknown").when(F.col("liq_ratio") >= 1.25, "High").when(F.col("liq_ratio") <= 0.75, "Low").otherwise("Normal")
+    return t.withColumn("liq_label", label).drop("own", "k", "mean", "recent")
+
+
 def liquidity(bars: DataFrame) -> DataFrame:
     """Adds the mean of the last five traded volumes over the mean of all traded so far, and its label.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candlemill.functions.quantile import at_shares
 
-#: Lower bounds of the volatility bands.
+# Lower bounds of the volatility bands.
 BANDS = (0.0, 12.0, 14.0, 18.0, 25.0)
 
 

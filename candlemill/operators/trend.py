@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candlemill.functions.market import percent
 from candlemill.functions.scan import ema
-from candlemill.operators.decisions import half_up, vote
+from candlemill.operators.decisions import final_call, half_up, levels, vote
 
 # Which strategy a factor's name belongs to; the first match wins.
 STRATEGIES = ((r"^(macd|ema|supertrend)\b", "momentum"), (r"^(rsi|bollinger|stochastic)\b|^(support|resistance) zone$|^s/r mid-range$", "reversion"), (r"^vwap\b|^opening range$|^liquidity$", "session"), (r"^fair value gap$", "imbalance"))
@@ -15,6 +15,20 @@ STRATEGIES = ((r"^(macd|ema|supertrend)\b", "momentum"), (r"^(rsi|bollinger|stoc
 TOPICS = (("earn|quarter|revenue|profit", "Earnings"), ("gold|silver|bullion|mcx", "Commodity"), ("bank|auto|it |pharma|sector", "Sector"), ("rbi|gdp|inflation|fed|crude|oil|rupee", "Global"), ("deal|jv|merger|ipo", "Corporate"))
 GOOD, BAD = "surge|rally|gain|beat|buy|inflow|jump|up ", "fall|drop|miss|cut|down |loss|outflow|slump|slide"
 
+# What a headline means for the market; the first pattern wins, the first text is for its mood, the second for any other.
+IMPACTS = (
+    ("rbi|repo rate|interest rate|mpc", "negative", "Bearish for banks short-term; NIFTY may see 0.3–0.8% pressure if rate hike fears persist.", "Supportive for rate-sensitive sectors (auto, realty); NIFTY banks may rally."),
+    ("fii|foreign|inflow|outflow", "positive", "Bullish for NIFTY — FII buying typically lifts index heavyweights.", "Bearish near-term — FII selling often drags NIFTY and BANK NIFTY."),
+    ("crude|oil|opec", "any", "", "Mixed for India: energy stocks up, but inflation fears can hurt broader NIFTY."),
+    ("earnings|quarter|revenue|profit|guidance", "negative", "Negative for IT/large-cap earnings sentiment; may weigh on NIFTY.", "Positive earnings surprise supports index; sector peers may follow."),
+    ("bank|credit|npa", "positive", "BANK NIFTY positive; NIFTY gets ~30% weight from financials.", "Banking weakness typically pulls NIFTY down 0.2–0.5%."),
+    ("global|fed|us |china|war", "negative", "Risk-off globally — NIFTY often opens gap-down on such headlines.", "Global risk-on supports emerging markets including India."),
+)
+PLAIN = {
+    "positive": "Mildly bullish — supports positive sentiment in related stocks and index.", "negative": "Mildly bearish — may add selling pressure in related sectors.",
+    "neutral": "Neutral headline — limited direct NIFTY impact unless volume spikes.",
+}
+
 
 def strategy(name: Column) -> Column:
     """The strategy of a factor's name, null for none."""
@@ -36,6 +50,44 @@ def by_strategy(df: DataFrame, change: str) -> DataFrame:
     return d.withColumns({c: F.when(F.col("available"), F.col(c)) for c in ("action", "confidence")})
 
 
+def flagged_calls(df: DataFrame, change: str) -> DataFrame:
+    """The final call of each row of (c, factors, thin, atr, support, resistance and flags).
+
+    flags is a struct: opening_range (false leaves that factor out), long_only (a SELL holds, before
+    levels are looked for), strategy (its factors alone vote, and the change in momentum alone; null:
+    all), least_stop, atr_target and atr_stop (see levels(); null: the mode's).
+    """
+    own = F.col("flags.strategy").isNull() | (F.col("flags.strategy") == "momentum")
+    heard = F.filter("factors", lambda f: (F.col("flags.opening_range") | (f["name"] != "Opening range")) & (F.col("flags.strategy").isNull() | (strategy(f["name"]) == F.col("flags.strategy"))))
+    d = vote(df.withColumns({"factors": heard, "__drift": F.when(own, F.col(change))}), change="__drift").drop("__drift")
+    d = d.withColumn("action", F.when(F.col("flags.long_only") & (F.col("action") == "SELL"), "HOLD").otherwise(F.col("action")))
+    return final_call(levels(d, floor_share=F.col("flags.least_stop"), atr_target=F.col("flags.atr_target"), atr_stop=F.col("flags.atr_stop")))
+
+
+def consensus(split: DataFrame, by: list[str]) -> DataFrame:
+    """How the available strategies of by_strategy() agree: counts, lean (NONE, one side, HOLD or MIXED), and whether they conflict."""
+    n = lambda side: F.count(F.when(F.col("available") & (F.col("action") == side), 1))
+    g = split.groupBy(*by).agg(F.count(F.when(F.col("available"), 1)).alias("total"), n("BUY").alias("buy"), n("SELL").alias("sell"), n("HOLD").alias("hold"))
+    buys, sells = F.col("buy") > 0, F.col("sell") > 0
+    lean = F.when(F.col("total") == 0, "NONE").when(buys & sells, "MIXED").when(buys, "BUY").when(sells, "SELL").otherwise("HOLD")
+    return g.withColumn("lean", lean).withColumn("conflict", buys & sells)
+
+
+def setups(rsi: Column, macd: Column, close: Column, lower: Column, upper: Column, zone: Column, inside: Column, profit: float = 1.5, stop: float = 0.8) -> Column:
+    """The setups of a bar as an array: the gap zone it trades at, if any, and its rung, each with target, stop and reward to risk."""
+    struct = lambda tag, kind, strength, prob: F.struct(F.lit(tag).alias("tag"), kind.alias("type"), strength.alias("strength"), prob.alias("prob"))
+    gap = F.when(zone.isNotNull(), struct("gap", zone, F.when(inside, "STRONG").otherwise("MODERATE"), F.when(inside, 68).otherwise(60)))
+    rung = setup(rsi, macd, close, lower, upper)
+    said = F.filter(F.array(gap, F.when(rung.isNotNull(), struct("ladder", rung["type"], rung["strength"], rung["prob"]))), lambda x: x.isNotNull())
+
+    def levelled(x):
+        way = F.when(x["type"] == "BUY", 1).otherwise(-1)
+        goal, out = close * (1 + way * profit / 100), close * (1 - way * stop / 100)
+        return F.struct(x["tag"].alias("tag"), x["type"].alias("type"), x["strength"].alias("strength"), x["prob"].alias("prob"), goal.alias("target"), out.alias("stop"), (F.abs(goal - close) / F.abs(close - out)).alias("rr"))
+
+    return F.transform(said, levelled)
+
+
 def setup(rsi: Column, macd: Column, close: Column, lower: Column, upper: Column) -> Column:
     """The rung of the momentum ladder that a bar stands on: struct(type, strength, prob), null for none."""
     rung = lambda kind, strength, prob: F.struct(F.lit(kind).alias("type"), F.lit(strength).alias("strength"), F.lit(prob).alias("prob"))
@@ -82,6 +134,23 @@ def scorecard(calls: DataFrame) -> DataFrame:
     return g.crossJoin(F.broadcast(long)).select("action", "days", mean.alias("mean"), hit.alias("hit_pct"), (mean - F.col("long")).alias("against_long"))
 
 
+def buckets(calls: DataFrame) -> DataFrame:
+    """(bucket, days, mean, hit_pct) of UP and DOWN calls traded in their direction: all of them, and by confidence."""
+    signed = F.when(F.col("action") == "UP", F.col("ret")).otherwise(-F.col("ret"))
+    kind = F.when(F.col("confidence") < 60, "50-59").when(F.col("confidence") < 70, "60-69").otherwise("70+")
+    t = calls.where("action <> 'FLAT' and ret is not null").select(F.explode(F.array(F.lit("all"), kind)).alias("bucket"), signed.alias("r"))
+    return t.groupBy("bucket").agg(F.count("*").alias("days"), F.avg("r").alias("mean"), (F.avg((F.col("r") > 0).cast("double")) * 100).alias("hit_pct"))
+
+
+def impact(headline: Column, mood: Column) -> Column:
+    """The first of IMPACTS whose pattern fits, worded by whether its mood holds."""
+    low = F.lower(headline)
+    out = F.when(mood == "positive", PLAIN["positive"]).when(mood == "negative", PLAIN["negative"]).otherwise(PLAIN["neutral"])
+    for pattern, tested, so, else_ in reversed(IMPACTS):
+        out = F.when(low.rlike(pattern), F.when(mood == tested, so).otherwise(else_)).otherwise(out)
+    return out
+
+
 def topic(headline: Column) -> Column:
     low, out = F.lower(headline), F.lit("Market")
     for pattern, name in reversed(TOPICS):

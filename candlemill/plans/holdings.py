@@ -147,16 +147,14 @@ def h3_universe_search(spark, d):
 
 # headlines
 
-NEWS = f"""news AS (SELECT doc_id AS ts, {HEAD} AS headline, upper(lang) AS tag, CASE WHEN regexp_matches(lower({HEAD}), '{trend.BAD}') OR doc_id % 3 = 0 THEN 'negative' WHEN regexp_matches(lower({HEAD}), '{trend.GOOD}') OR doc_id % 3 = 1 THEN 'positive' ELSE 'neutral' END AS mood FROM documents WHERE {HEAD} <> ''),
+NEWS = f"""news AS (SELECT doc_id AS ts, {HEAD} AS headline, upper(lang) AS tag, CASE WHEN regexp_matches(lower({HEAD}), '{trend.BAD}') THEN 'negative' WHEN regexp_matches(lower({HEAD}), '{trend.GOOD}') THEN 'positive' ELSE 'neutral' END AS mood FROM documents WHERE {HEAD} <> ''),
 assets AS (SELECT DISTINCT upper(lang) AS asset, '(^|[ .,])' || lang || '([ .,]|$)' AS pattern FROM documents WHERE lang IS NOT NULL), rel AS (SELECT asset, ts, headline, mood FROM news JOIN assets ON tag = asset OR regexp_matches(lower(headline), pattern))"""
 
 
 def _relevant(spark, d):
     """Headlines with the language as tag, and languages as assets whose code is also looked for as a word."""
     docs, head = load(spark, d, "documents"), F.substring_index("text", "\n", 1)
-    mood = trend.mood(head)
-    mood = F.when((mood == "negative") | (F.col("doc_id") % 3 == 0), "negative").when((mood == "positive") | (F.col("doc_id") % 3 == 1), "positive").otherwise("neutral")
-    news = docs.select(F.col("doc_id").alias("ts"), head.alias("headline"), F.array(F.upper("lang")).alias("tags"), mood.alias("mood")).where("headline <> ''")
+    news = docs.select(F.col("doc_id").alias("ts"), head.alias("headline"), F.array(F.upper("lang")).alias("tags"), trend.mood(head).alias("mood")).where("headline <> ''")
     assets = docs.where("lang is not null").select(F.upper("lang").alias("asset"), F.concat(F.lit("(^|[ .,])"), "lang", F.lit("([ .,]|$)")).alias("pattern")).distinct()
     return holdings.relevant(news, assets)
 
