@@ -30,21 +30,25 @@ def merge_signals(readings: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
 
     What is skipped equals the stored confidence, so a reading whose confidence differs from its
     neighbour's is always stored, and only runs of one confidence have to be walked from reading to
-    reading. All steps keep the partitioning by symbol: one shuffle.
+    reading. All steps keep the partitioning by symbol: one shuffle. Readings of one time keep the
+    order that the first sort gave them.
     """
     w = Window.partitionBy("symbol").orderBy("ts_ms")
     before = lambda c: F.lag(c).over(w)
     cut = before("ts_ms").isNull() | (before("action") != F.col("action")) | (F.col("ts_ms") - before("ts_ms") > gap_ms)
-    r = readings.withColumns({"cut": cut, "turn": cut | (before("confidence") != F.col("confidence"))})
-    r = r.withColumns({"island": F.sum(F.col("cut").cast("int")).over(w), "run": F.sum(F.col("turn").cast("int")).over(w)})
-    row = F.struct("ts_ms", "confidence", "entry", "target", "stop")
+    r = readings.withColumns({"place": F.row_number().over(w), "cut": cut, "turn": cut | (before("confidence") != F.col("confidence"))})
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumns({"island": F.sum(F.col("cut").cast("int")).over(so_far), "run": F.sum(F.col("turn").cast("int")).over(so_far)})
+    row = F.struct("place", "ts_ms", "confidence", "entry", "target", "stop")
     runs = r.groupBy("symbol", "run").agg(F.first("action").alias("action"), F.first("island").alias("island"), F.array_sort(F.collect_list(row)).alias("rows"))
     later = F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))
     kept = F.aggregate(later, F.slice("rows", 1, 1), lambda log, x: F.when(x["ts_ms"] - F.element_at(log, -1)["ts_ms"] > gap_ms, F.concat(log, F.array(x))).otherwise(log))
     stored = runs.select("symbol", "action", "island", F.explode(kept).alias("x")).select("symbol", "action", "island", "x.*")
-    new = before("ts_ms").isNull() | (before("island") != F.col("island")) | (F.col("ts_ms") - before("ts_ms") > gap_ms)
-    stored = stored.withColumn("new", new).withColumn("id", F.sum(F.col("new").cast("int")).over(w))
-    newest = lambda c: F.max_by(c, "ts_ms").alias(c)
+    placed = Window.partitionBy("symbol").orderBy("place")
+    last = lambda c: F.lag(c).over(placed)
+    new = last("ts_ms").isNull() | (last("island") != F.col("island")) | (F.col("ts_ms") - last("ts_ms") > gap_ms)
+    stored = stored.withColumn("new", new).withColumn("id", F.sum(F.col("new").cast("int")).over(placed))
+    newest = lambda c: F.max_by(c, "place").alias(c)
     log = stored.groupBy("symbol", "action", "id").agg(
         F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("at"), F.count("*").cast("int").alias("updates"), newest("confidence"), F.max("confidence").alias("peak"), newest("entry"), newest("target"), newest("stop"),
     )
