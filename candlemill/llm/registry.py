@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from candlemill.llm.decontam import OP2_SQL, op2_benchmark_decontamination
 from candlemill.llm.html import op1_html_extraction
+from candlemill.llm.jaccard import op12_ngram_jaccard_join
 from candlemill.llm.lines import op7_line_dedup
 from candlemill.llm.packing import op4_best_fit_packing
 from candlemill.llm.passages import op3_substring_dedup
@@ -20,6 +21,7 @@ def queries():
         for f in (
             op1_html_extraction, op2_benchmark_decontamination, op3_substring_dedup, op4_best_fit_packing, op5_warc,
             op6_pii, op7_line_dedup, op8_url_filter, op9_simhash_near_dedup, op10_quality_rules,
+            op12_ngram_jaccard_join,
         )
     }
 
