@@ -2,8 +2,10 @@
 
 A small tag reader cuts a page into blocks of text and notes where each stands. Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are junk by their
-element, role or whole class or id word; a box that holds an article or main element is never junk by
-its own marks. Plain blocks of an article (or of a main element, where there is no article) are the
+element, role or whole class or id word. An article in a junk box is a teaser and goes, unless the page
+has no other: then class words and forms around it prove nothing, as layouts name their wrappers so
+(LIFTS gives the order); menus, headers, footers and sidebars by element or role stay junk. So does a
+header inside the article, title included. Plain blocks of an article (or of a main element, where there is no article) are the
 text, whole, whatever repeats. The rest is open: on a page without article or main every block that
 is not junk, elsewhere blocks in boxes of the article whose compound class or id holds a junk word
 (ad-free, menu-board), and blocks of main beside the article. For these the token streams of the
@@ -74,12 +76,14 @@ def _marks(attributes: str) -> tuple[set, str]:
 class _Box:
     """An element that is junk, is hinted to be, or is an article or main."""
 
-    __slots__ = ("junk", "comments", "hint", "main")
+    __slots__ = ("junk", "comments", "hint", "main", "weak", "holds")
 
     def __init__(self, tag: str, attributes: str):
         words, role = _marks(attributes) if "=" in attributes else ((), "")
         self.comments = tag in _BOX and not _COMMENTS.isdisjoint(words)
-        self.junk = self.comments or tag in _DROP or role in _ROLES or (tag in _BOX and not _JUNK.isdisjoint(words))
+        strong = (tag in _DROP and tag != "form") or role in _ROLES
+        self.junk = self.comments or strong or tag == "form" or (tag in _BOX and not _JUNK.isdisjoint(words))
+        self.weak, self.holds = not (strong or self.comments), False
         self.main = "" if self.junk else "article" if tag == "article" or role in ("article", "articlebody") else "main" if tag == "main" or role == "main" else ""
         self.hint = not self.junk and not self.main and tag in _BOX and any(not _PARTS.isdisjoint(re.split(r"[^a-z0-9]+", w)) for w in words)
 
@@ -145,8 +149,8 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         if box:
             end()
             if box.main and not any(b.comments or b.main == "article" for b in boxes):
-                for b in boxes:  # what holds the article is neither junk nor open
-                    b.junk = b.hint = False
+                for b in boxes:
+                    b.holds = True
             boxes = (*boxes, box)
         stack.append((tag, box))
         opened[tag] = opened.get(tag, 0) + 1
@@ -157,14 +161,31 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     return _placed(found)
 
 
+#: Order in which a page's text is looked for: whether weak marks of boxes around an article or main are lifted, the element, and the one around it.
+LIFTS = ((False, "article", ""), (True, "article", "main"), (False, "main", ""), (True, "article", ""), (True, "main", ""))
+
+
+def _kind(boxes: tuple, lift: bool) -> tuple[bool, str, bool, bool]:
+    """(junk, article or main or neither, hinted, whether an article lies in a main) of a block in boxes."""
+    lifted = [lift and b.holds and b.weak for b in boxes]
+    mains = {b.main for b in boxes}
+    return (
+        any(b.junk and not x for b, x in zip(boxes, lifted)), "article" if "article" in mains else "main" if "main" in mains else "",
+        any(b.hint and not x for b, x in zip(boxes, lifted)), {"article", "main"} <= mains,
+    )
+
+
 def _placed(found: list[tuple[tuple, str]]) -> list[tuple[str, str]]:
-    kinds = []
-    for boxes, _ in found:
-        junk, mains = any(b.junk for b in boxes), {b.main for b in boxes} - {""}
-        kinds.append((junk, "article" if "article" in mains else "main" if mains else "", any(b.hint for b in boxes)))
-    best = max((k[1] for k in kinds if not k[0]), key=("", "main", "article").index, default="")
+    plain = [_kind(boxes, False) for boxes, _ in found]
+    lifted = [_kind(boxes, True) for boxes, _ in found] if any(b.holds for boxes, _ in found for b in boxes) else plain
+    kinds, best = lifted, ""
+    for lift, main, around in LIFTS:
+        of = lifted if lift else plain
+        if any(not junk and own == main and (not hint or lift) and (inside or not around) for junk, own, hint, inside in of):
+            kinds, best = of, main
+            break
     out = []
-    for (junk, main, hint), (_, words) in zip(kinds, found):
+    for (junk, main, hint, _), (_, words) in zip(kinds, found):
         out.append(("junk" if junk or (best and not main) else "open" if hint or main != best or not best else "article", words))
     return out
 

@@ -89,3 +89,13 @@ def test_extra_columns_and_nulls(spark):
     rows = [(None, None, "<article>x", "h", "t"), (1, "u", None, "h", "t")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, places string")).collect()
     assert sorted((r.page_id or 0, r.text) for r in got) == [(0, "x"), (1, "")]
+
+
+def test_teasers_in_junk_stay_out():
+    teaser = '<article><p>Teaser'
+    for junk in (f'<aside class="related">{teaser}</article></aside>', f"<footer>{teaser}</article></footer>", f"<nav>{teaser}</article></nav>", f'<div class="related-posts">{teaser}</article></div>'):
+        for page in (f"<main><article><p>Body text</p></article></main>{junk}", f"{junk}<article><p>Body text</p></article>", f"<main><p>Body text</p></main>{junk}", f'<div class="no-sidebar"><article><p>Body text</p></article></div><nav>{teaser}</article></nav>'):
+            assert texts(page) == ["Body text"], page
+    cards = "".join(f'<div class="related-cards">{teaser} {k}</article></div>' for k in range(3))
+    assert html.blocks(f"<article><p>Body text</p></article>{cards}") == [("article", "Body text"), *(("open", f"Teaser {k}") for k in range(3))]
+    assert texts("<main><h1>Title</h1><div class='search'><article><p>Body text</p></article></div></main>") == ["Body text"]
