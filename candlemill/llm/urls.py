@@ -4,8 +4,8 @@ Each labelled page is a trial that fails if it is toxic or of low quality. Failu
 level by level: a host's beta prior has its registered domain's posterior mean, a domain's its
 suffix's, a suffix's the overall rate; each level's prior weight comes from the spread of that
 level's rates (method of moments). A page is blocked if its host's failure rate lies above MAX_RATE
-with a posterior probability of 1 - RISK or more, by the beta distribution itself (above MANY trials
-by its normal limit), unless a rule decides. A host without labels has the prior that the nearest
+with a posterior probability of 1 - RISK or more, by the beta distribution itself at any number of
+trials, unless a rule decides. A host without labels has the prior that the nearest
 level with labels gives it, with the prior weight of the level below: its domain's, else its suffix's,
 else the overall rate. The suffix is the last label, or the last two where a country's label stands
 behind one of SECOND_LEVEL; the registered domain has one label more. A host that is no more than a
@@ -28,8 +28,8 @@ from candlemill.llm.common import let, lower_ascii, read, small, table
 #: (host and path prefix, verdict), as the query's contract lists them.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 MAX_RATE, RISK = 0.5, 0.05
-#: Trials from which a beta posterior is taken for its normal limit, and steps of the continued fraction below it.
-MANY, STEPS = 20_000, 400
+#: Steps of the continued fraction: some, and so many a root of the trials, as its convergence asks for at any size.
+STEPS, STEPS_ROOT = 100, 6
 #: Bounds of a prior's weight in trials, and its value where rates show no spread to fit.
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1000.0
 LEVELS = ("suffix", "domain", "host")
@@ -92,7 +92,7 @@ def _fraction(a: Column, b: Column, x: float) -> Column:
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         return half(half(s, even), odd)
 
-    steps = F.transform(F.sequence(F.lit(1), F.lit(STEPS)), lambda m: m.cast("double"))
+    steps = F.transform(F.sequence(F.lit(1), F.lit(STEPS) + F.ceil(STEPS_ROOT * F.sqrt(a + b)).cast("int")), lambda m: m.cast("double"))
     return F.aggregate(steps, state(F.lit(1.0), first, first), step)["h"]
 
 
@@ -100,10 +100,7 @@ def beta_cdf(a: Column, b: Column, x: float) -> Column:
     """Probability of at most x, 0 < x < 1, under beta(a, b) with a, b > 0."""
     front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * F.log(F.lit(x)) + b * F.log(F.lit(1 - x)))
     exact = F.when(x < (a + 1) / (a + b + 2), front * _fraction(a, b, x) / a).otherwise(1 - front * _fraction(b, a, 1 - x) / b)
-    z = (a / (a + b) - x) / F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))
-    # the normal tail by its logistic form: far from RISK's quantile it only has to be on the right side
-    limit = 1 / (1 + F.exp(1.5976 * z + 0.070566 * F.pow(z, 3)))
-    return F.when((a <= 0) | (b <= 0), F.when(a <= 0, 1.0).otherwise(0.0)).when(a + b > MANY, limit).otherwise(exact)
+    return F.when((a <= 0) | (b <= 0), F.when(a <= 0, 1.0).otherwise(0.0)).otherwise(exact)
 
 
 def reputation(outcomes: DataFrame) -> tuple[DataFrame, float, float]:
