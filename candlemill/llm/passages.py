@@ -53,6 +53,8 @@ RUN = MIN_WORDS - (WINDOW - 1)
 MARGIN = 64
 #: One document in SAMPLE is looked at for hot seeds: those that a HOT_SHARE of them and HOT_LEAST at least hold.
 SAMPLE, HOT_SHARE, HOT_LEAST = 64, 0.005, 50
+#: Documents a salt of hot seeds: salts hang on the documents alone, so rows are the same under any settings.
+SALT_DOCS = 50_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _UNDO = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -344,18 +346,19 @@ def _aligned_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
 
-def hot_seeds(given: DataFrame) -> np.ndarray:
-    """Sorted keys that a share of the sampled documents hold; at most the seeds of 1 / HOT_SHARE documents."""
+def hot_seeds(given: DataFrame) -> tuple[np.ndarray, int]:
+    """Sorted keys that a share of the sampled documents hold, at most the seeds of 1 / HOT_SHARE documents, and the salts that their documents are dealt over."""
     some = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    least = max(HOT_LEAST, HOT_SHARE * some.count())
+    n = some.count()
+    least = max(HOT_LEAST, HOT_SHARE * n)
     rows = some.mapInArrow(_seed_rows(np.empty(0, np.int64), 1), _OCCURRENCE).groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r[0] for r in rows.select("seed").collect()], np.int64))
+    return np.sort(np.array([r[0] for r in rows.select("seed").collect()], np.int64)), max(16, n * SAMPLE // SALT_DOCS)
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, other_id, other_start, other_end, n_anchors, similarity) of passages shared with an earlier document."""
     given = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    hot, salts = hot_seeds(given), max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+    hot, salts = hot_seeds(given)
     occurrences = given.mapInArrow(_seed_rows(hot, salts), _OCCURRENCE)
     meet = lambda rows: rows.repartition("seed").sortWithinPartitions("seed", "doc", "pos").mapInArrow(_match_rows, _MATCH)
     matches = meet(occurrences)

@@ -342,6 +342,39 @@ def test_passages_of_the_table_against_brute_force(spark):
     assert all(r.similarity >= 0.8 and min(r.end_word - r.start_word, r.other_end - r.other_start) >= passages.RUN for r in got) and pairs
 
 
+def test_passages_do_not_hang_on_the_session(spark, monkeypatch):
+    """The same rows under any number of shuffle partitions, hot seeds included, and the recall of planted edited passages."""
+    monkeypatch.setattr(passages, "SAMPLE", 1)
+    monkeypatch.setattr(passages, "HOT_LEAST", 4)
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(20_000)}" for _ in range(n)]
+    rows, family = [], {}
+    for f in range(30):
+        base, every = words(120), (40, 25, 15)[f % 3]
+        for _ in range(6):
+            at = rng.randrange(every)
+            own = [w if k % every != at else words(1)[0] for k, w in enumerate(base)]
+            family[len(rows)] = f
+            rows.append((len(rows), " ".join(words(rng.randrange(60)) + own + words(rng.randrange(60)))))
+    rows += [(1000 + k, " ".join(words(200))) for k in range(60)]
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string"), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("8", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(tuple, passages.passages(docs).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+    assert all(family.get(r[0]) == family.get(r[3]) is not None for r in got[0])
+    root = dict(zip(family, family))
+    for r in sorted(got[0]):
+        a, b = (min(root[r[0]], root[r[3]]), max(root[r[0]], root[r[3]]))
+        root = {i: a if x == b else x for i, x in root.items()}
+    pairs = [(i, j) for i in family for j in family if i < j and family[i] == family[j]]
+    for every in range(3):
+        own = [(i, j) for i, j in pairs if family[i] % 3 == every]
+        assert sum(root[i] == root[j] for i, j in own) >= 0.95 * len(own), every
+
+
 def test_chain_against_all_pairs(monkeypatch):
     import numpy as np
 
@@ -402,10 +435,16 @@ def test_unlabelled_hosts_fall_back(spark):
 def test_beta_probability(spark):
     import numpy as np
 
-    cases = [(0.03, 2.0), (0.5, 0.5), (1.0, 1.0), (3.0, 7.5), (40.2, 20.1), (900.0, 850.0), (5000.0, 4900.0), (1.5, 0.02)]
+    cases = [(0.03, 2.0), (0.5, 0.5), (1.0, 1.0), (3.0, 7.5), (40.2, 20.1), (900.0, 850.0), (5000.0, 4900.0), (1.5, 0.02), (8010.0, 11_980.0), (8030.0, 11_985.0), (40_300.0, 59_900.0), (1.0, 40_000.0)]
     df = spark.createDataFrame(cases, "a double, b double")
     z = np.linspace(-1000, 1000, 8_000_001)
+    from math import lgamma, log
     for r in df.select("a", "b", urls.beta_cdf(urls.F.col("a"), urls.F.col("b"), 0.4).alias("p")).collect():
+        if r.a + r.b > 10_000:  # as a binomial tail
+            n = int(r.a + r.b) - 1
+            tail = sum(np.exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(0.4) + (n - k) * log(0.6)) for k in range(int(r.a), n + 1))
+            assert abs(tail - r.p) < 1e-6, r
+            continue
         density = r.a * -np.logaddexp(0, -z) + r.b * -np.logaddexp(0, z)
         w = np.exp(density - density.max())
         assert abs(w[z <= np.log(0.4 / 0.6)].sum() / w.sum() - r.p) < 1e-3, r
