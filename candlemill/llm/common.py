@@ -69,6 +69,13 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
     return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("\x01")), F.lit("\x00"), F.col(text)))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, or name with more underscores, such that no column begins with it in any case."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name += "_"
+    return name
+
+
 def boxed(df: DataFrame, *more, without: tuple[str, ...] = ()) -> DataFrame:
     """All columns of df, less some, in one struct column row, and more beside it, so that no name can clash."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in without)).alias("row"), *more)

@@ -10,7 +10,9 @@ any input.
 
 Null text has no words and fails the base rules. Without trusted documents, or without
 documents, every weight is zero and the base rules decide alone. Several labels of a document
-count as trusted when its highest quality is 1 and none is toxic. Equal rows get equal results.
+count as trusted when its highest quality is 1 and none is toxic. Equal rows get equal results. Texts are
+read whole, however long. Other columns pass through whatever their names: the rules' own columns stand
+under names that none of them begins with.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlemill.llm.common import SPACE, read, small, table
+from candlemill.llm.common import SPACE, fresh, read, small, table
 
 BUCKETS = 1 << 16
 #: Additive smoothing of both multinomials, in counts a bucket.
@@ -131,7 +133,7 @@ def score(docs: DataFrame, weights: np.ndarray, prefix: str = "") -> DataFrame:
             arrays = [*b.columns[:-1], *(pa.array(x, k) for x, k in zip(new, kinds))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    given = docs.withColumn("__data", F.col("text").cast("binary"))
+    given = docs.select("*", F.col("text").cast("binary").alias(fresh(docs.columns, "data")))
     schema = T.StructType([*docs.schema])
     for c in COUNTS:
         schema = schema.add(prefix + c, "long")
@@ -162,7 +164,8 @@ def verdict(docs: DataFrame, labels: DataFrame, prefix: str = "", without: tuple
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of docs that the rules keep, with their columns as they were."""
-    return verdict(docs, labels, "__q_").where("__q_kept").select(docs.columns)
+    mark = fresh(docs.columns, "q_")
+    return verdict(docs, labels, mark).where(mark + "kept").select(docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,14 +74,17 @@ def test_no_documents(spark):
 
 def test_stages_take_odd_rows(spark):
     """Nulls in any column, empty and very long texts, repeated rows and columns of clashing names pass every stage."""
-    columns = "doc_id long, text string, lang string, source string, n_chars long, key string, row int, n_removed int, fp long, hit int, __key string"
+    columns = "doc_id long, text string, lang string, source string, n_chars long, key string, row int, n_removed int, fp long, hit int, __key string, __data string, q_score int"
     text = " ".join(f"w{k}" for k in range(80))
-    docs = spark.createDataFrame([(None, None, None, None, None, None, None, None, None, None, None), (1, "", "x", "s", 0, "k", 1, 5, 2, 3, "z"), (2, text, "x", None, 9, "k", 1, 5, 2, 3, "z"), (2, text, "x", None, 9, "k", 1, 5, 2, 3, "z"), (3, "long " * 120_000, None, "s", 1, "k", 1, 5, 2, 3, "z"), (None, text + " more", "x", "s", 1, "k", 1, 5, 2, 3, "z")], columns)
+    extra = ("k", 1, 5, 2, 3, "z", "d", 9)
+    rows = [(1, "", "x", "s", 0), (2, text, "x", None, 9), (2, text, "x", None, 9), (3, "long " * 120_000, None, "s", 1), (None, text + " more", "x", "s", 1)]
+    docs = spark.createDataFrame([(None,) * 13, *(r + extra for r in rows)], columns)
     for name, stage in corpus_pipeline.STAGES:
         out = corpus_pipeline.table(stage(spark, docs, SF), "odd")
         if name == "best-fit packing":
             assert out.where("doc_id = 2 or doc_id is null").count() >= 2
             continue
-        assert out.columns == docs.columns, name
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        assert {tuple(r)[5:] for r in out.collect()} <= {extra, (None,) * 8}, name
         assert out.where("doc_id = 2").count() >= 1 and out.where("key = 'k' and row = 1").count() >= 2, name
         docs = out if name != "quality rules" else docs
