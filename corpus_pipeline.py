@@ -1,14 +1,17 @@
 """Pipeline over documents: quality rules, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents, extra ones of any
+name with their values. Null and empty texts fail the quality rules; rows with a null doc_id stay
+through the rest and are packed; repeated rows are judged alike and near-dedup keeps all rows of a
+doc_id it keeps; an empty table gives an empty one at every stage. Texts are read whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlemill.llm.common import read, table
+from candlemill.llm.common import fresh, read, table
 from candlemill.llm.decontam import drop_contaminated
 from candlemill.llm.lines import dedup_lines
 from candlemill.llm.packing import pack_documents
@@ -21,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs).select(docs.columns)
+    return dedup_lines(docs, removed=fresh(docs.columns, "n_removed")).select(docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
