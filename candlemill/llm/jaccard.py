@@ -26,7 +26,6 @@ Shingles are told apart by 64-bit hashes, sets by 128-bit digests.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from candlemill.llm.bitset import bit_set, has
 from candlemill.llm.common import read, row_key, small, table
 from candlemill.llm.components import connected_components
-from candlemill.llm.wordhash import WordHashes, mix, shingles
+from candlemill.llm.wordhash import mix, shingles_by_text, slices
 
 SHINGLE, PERCENT = 4, 85
 #: Growth of the size bands, whose first holds the smallest sets that may link to others.
@@ -47,8 +47,6 @@ GROWTH = 1.4
 SEGMENT_BITS, FOLD = 16, 1024
 #: Most sets that are compared at once, and most of a centre's pairs that one task verifies.
 BLOCK, PAIRS = 1024, 2000
-#: Bits of the filter of shared keys; a full filter costs a larger shuffle and loses nothing.
-FILTER_BITS = 1 << 28
 
 
 def most_apart(total: int) -> int:
@@ -77,29 +75,27 @@ def segments(band: int) -> int:
     return most_apart(2 * (BOUNDS[band + 1] - 1)) + 1 + spare(band)
 
 
-def bands(n: int) -> list[int]:
-    """Bands in which a set of n shingles takes part."""
-    own = bisect_right(BOUNDS, n) - 1
-    out = [own] if own >= 0 else []
-    return out + ([own + 1] if n and 100 * n >= PERCENT * BOUNDS[own + 1] else [])
-
-
-def segment_keys(h: np.ndarray, band: int) -> np.ndarray:
-    """Key of each segment of a sorted set's parity sketch; the band is in a key's low six bits."""
-    m = segments(band)
-    seg = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+def segment_keys(h: np.ndarray, size: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the segments of sorted sets' parity sketches, one set after the other, and how many each has; the band is in a key's low six bits."""
+    m = np.array([segments(j) for j in range(len(BOUNDS) - 1)])[band]
+    seg = ((h >> np.uint64(32)) * np.repeat(m, size).astype(np.uint64)) >> np.uint64(32)
     bit = (seg << np.uint64(SEGMENT_BITS)) | (h & np.uint64((1 << SEGMENT_BITS) - 1))
-    first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-    odd = np.zeros(m, np.uint64)  # XOR of the hashes of a segment's bits: bits met twice cancel, as in the sketch
-    odd[seg[first].astype(np.int64)] = np.bitwise_xor.reduceat(mix(bit + np.uint64(1)), first)
-    key = mix(odd + np.arange(m, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(band))
-    return ((key >> np.uint64(14)) << np.uint64(6) | np.uint64(band)).view(np.int64)
+    base = np.cumsum(m) - m
+    at = np.repeat(base, size) + seg.astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+    odd = np.zeros(int(m.sum()), np.uint64)  # XOR of the hashes of a segment's bits: bits met twice cancel, as in the sketch
+    if len(at):
+        odd[at[first]] = np.bitwise_xor.reduceat(mix(bit + np.uint64(1)), first)
+    of = np.repeat(band, m).astype(np.uint64)
+    place = (np.arange(len(odd)) - np.repeat(base, m)).astype(np.uint64)
+    key = mix(odd + place * np.uint64(0xD1342543DE82EF95) + of)
+    return ((key >> np.uint64(14)) << np.uint64(6) | of).view(np.int64), m
 
 
-def folded(h: np.ndarray) -> bytes:
-    """Parity sketch of FOLD bits."""
-    odd = np.bincount(((h >> np.uint64(20)) & np.uint64(FOLD - 1)).astype(np.int64), minlength=FOLD) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
+def folded(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Parity sketches of FOLD bits, a row of bytes a set."""
+    at = np.repeat(np.arange(len(size)), size) * FOLD + ((h >> np.uint64(20)) & np.uint64(FOLD - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=len(size) * FOLD) & 1).astype(bool).reshape(-1, FOLD), axis=1)
 
 
 def digest(h: np.ndarray) -> bytes:
@@ -110,17 +106,25 @@ def _node(d: bytes) -> int:
     return int.from_bytes(d[:8], "little", signed=True)
 
 
+def _digests(h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(size)
+    return [digest(h[e - n : e]) for e, n in zip(ends.tolist(), size.tolist())]
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
     for b in batches:
-        rows = []
-        for data in b.column(2).to_pylist():
-            h = shingles(data, SHINGLE, known)
-            d = digest(h)
-            rows.append((len(h), d.hex() if len(h) else None, _node(d), folded(h) if len(h) else None))
-        n, cls, node, fold = zip(*rows) if rows else ((),) * 4
-        new = [pa.array(n, pa.int64()), pa.array(cls, pa.string()), pa.array(node, pa.int64()), pa.array(fold, pa.binary())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new], names=["doc_id", "key", "n", "cls", "node", "fold"])
+        at = 0
+        for part in slices(b.column(2).to_pylist()):
+            h, size = shingles_by_text(part, SHINGLE)
+            marks, fold = _digests(h, size), folded(h, size)
+            none = size == 0
+            new = [
+                pa.array(size), pa.array([d.hex() for d in marks], pa.string(), mask=none), pa.array([_node(d) for d in marks], pa.int64()),
+                pa.array([x.tobytes() for x in fold], pa.binary(), mask=none),
+            ]
+            given = b.slice(at, len(part))
+            yield pa.RecordBatch.from_arrays([given.column(0), given.column(1), *new], names=["doc_id", "key", "n", "cls", "node", "fold"])
+            at += len(part)
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -131,55 +135,32 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def _emit(held_by):
-    """Task that gives (key, node) of every text; held_by() gives the filter of shared keys or None."""
+    """Task that gives (key, node) of every text; held_by() gives the bit set of shared keys or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = WordHashes(), held_by()
-        keys, nodes, size = [], [], 0
-
-        def out():
-            cols = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (keys, nodes)]
-            return pa.RecordBatch.from_arrays(cols, names=["key", "node"])
-
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                h = shingles(data, SHINGLE, known)
-                of = [segment_keys(h, band) for band in bands(len(h))]
-                if of:
-                    k = np.concatenate(of)
-                    if held is not None:
-                        k = k[held[_slot(k) >> 6] >> (_slot(k) & 63).astype(np.uint64) & np.uint64(1) != 0]
-                    keys.append(k)
-                    nodes.append(np.full(len(k), _node(digest(h)), np.int64))
-                    size += len(k)
-                if size > 1 << 16:
-                    yield out()
-                    keys, nodes, size = [], [], 0
-        yield out()
+        held = held_by()
+        for part in (p for b in batches for p in slices(b.column(0).to_pylist())):
+            h, size = shingles_by_text(part, SHINGLE)
+            node = np.fromiter(map(_node, _digests(h, size)), np.int64, len(size))
+            own = np.searchsorted(BOUNDS, size, side="right") - 1
+            following = np.array(BOUNDS)[own + 1]
+            for band, takes in ((own, own >= 0), (own + 1, (size > 0) & (100 * size >= PERCENT * following))):
+                keys, m = segment_keys(h[np.repeat(takes, size)], size[takes], band[takes])
+                of = np.repeat(node[takes], m)
+                if held is not None:
+                    ok = has(held, keys)
+                    keys, of = keys[ok], of[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(of)], names=["key", "node"])
 
     return run
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (key >> 6) & (FILTER_BITS - 1)
-
-
-def shared_filter(shared: DataFrame) -> np.ndarray:
-    """Bit set of the keys in shared(key), FILTER_BITS wide; at most a row a 64-bit word reaches the driver."""
-    slot = F.shiftright("key", 6).bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = shared.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast((shiftright(key, 6) & {FILTER_BITS - 1}) & 63 as int))").alias("bit"))
-    got = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def shared_rows(docs: DataFrame) -> DataFrame:
     """(key, node, n) of every key that several texts have; n is how many."""
     texts = docs.where("text is not null").select(F.col("text").cast("binary"))
     counted = texts.mapInArrow(_emit(lambda: None), "key long, node long").groupBy("key").agg(F.count("*").alias("n"))
     shared = table(counted.where("n > 1"), "shared-keys")
-    held = docs.sparkSession.sparkContext.broadcast(shared_filter(shared))
+    held = docs.sparkSession.sparkContext.broadcast(bit_set(shared.select("key")))
     rows = texts.mapInArrow(_emit(lambda: held.value), "key long, node long")
     return table(rows.join(small(shared, 1_000_000), "key").distinct(), "shared-rows")
 
@@ -203,11 +184,11 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    for b in batches:
-        sets = [shingles(x, SHINGLE, known) for x in b.column(0).to_pylist()]
-        marks = [digest(h) for h in sets]
-        cols = [pa.array([_node(d) for d in marks], pa.int64()), pa.array([d.hex() for d in marks], pa.string()), pa.array([h.tobytes() for h in sets], pa.binary())]
+    for part in (p for b in batches for p in slices(b.column(0).to_pylist())):
+        h, size = shingles_by_text(part, SHINGLE)
+        marks, ends = _digests(h, size), np.cumsum(size)
+        hashes = [h[e - n : e].tobytes() for e, n in zip(ends.tolist(), size.tolist())]
+        cols = [pa.array([_node(d) for d in marks], pa.int64()), pa.array([d.hex() for d in marks], pa.string()), pa.array(hashes, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, names=["node", "cls", "hashes"])
 
 

@@ -20,6 +20,7 @@ ranked by phrase. Columns other than text and lang play no part, whatever their
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from xxhash import xxh3_64_intdigest
 
 from candlemill.llm.bitset import bit_set, has
 from candlemill.llm.common import UPPER, read, small, table
-from candlemill.llm.wordhash import WordHashes, mix, runs_of
+from candlemill.llm.wordhash import mix, runs_of, slices, word_hashes
 
 MOST, LEAST, TOP = 5, 100, 2000
 #: A candidate goes if a longer one around it has at least this percentage of its frequency.
@@ -40,28 +42,43 @@ OVERLAP, PERIOD = MOST - 1, 16
 #: Distinct chunks a parser holds, and words and phrases that a counter holds, before they are passed on.
 HELD_CHUNKS, HELD_GRAMS = 1 << 17, 1 << 21
 _CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-
-
-def chunks(data: bytes | None, known: WordHashes) -> Iterator[tuple[bool, bytes, int]]:
-    """(last of its piece, words joined by spaces, phrase starts that it counts) of each chunk of a text."""
-    pieces = [w for p in (data or b"").lower().translate(_CUTS).split(b"\n") if (w := p.split())]
-    long = [w for w in pieces if len(w) > OVERLAP + 1]
-    hit = runs_of(known.of([x for w in long for x in w]), OVERLAP) % np.uint64(PERIOD) == 0 if long else ()
-    at = np.flatnonzero(hit)
-    first = 0
-    for w in pieces:
-        n, begin = len(w), 0
-        if n > OVERLAP + 1:
-            cuts = at[np.searchsorted(at, first + 1) : np.searchsorted(at, first + n - OVERLAP)] - first
-            for cut in cuts.tolist():
-                yield False, b" ".join(w[begin : cut + OVERLAP]), cut - begin
-                begin = cut
-            first += n
-        yield True, b" ".join(w[begin:]), n - begin
+_BLANKS = re.compile(rb"[ \t]+")
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, bool, bytes, int]]:
+    """(number of the text, last of its piece, words joined by spaces, phrase starts that it counts) of each chunk of texts."""
+    parts = [t.lower().translate(_CUTS) for t in texts]
+    data = b"\n".join(parts)
+    if b"\t" in data or b"  " in data:
+        parts = [_BLANKS.sub(b" ", t) for t in parts]
+        data = b"\n".join(parts)
+    h, first = word_hashes(data)
+    if not len(h):
+        return
+    x = np.frombuffer(data + b"\n", np.uint8)
+    solid = ~np.isin(x, (32, 10))
+    end = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
+    piece = np.searchsorted(np.flatnonzero(x == 10), first)
+    opens = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+    closes = np.r_[opens[1:], len(h)]
+    size = closes - opens
+    at = np.arange(len(h)) - np.repeat(opens, size)
+    left = np.repeat(size, size) - at
+    cut = np.zeros(len(h), bool)
+    windows = runs_of(h, OVERLAP) % np.uint64(PERIOD) == 0
+    cut[: len(windows)] = windows
+    cut &= (at > 0) & (left > OVERLAP)
+    begin = np.flatnonzero(cut | (at == 0))
+    after = np.r_[begin[1:], len(h)]
+    last = ~np.r_[cut, False][after]
+    stop = end[after - 1 + np.where(last, 0, OVERLAP)]
+    text = np.searchsorted(np.cumsum(np.fromiter((len(t) + 1 for t in parts), np.int64, len(parts))), first[begin], side="right")
+    for i, no, a, b, n in zip(text.tolist(), last.tolist(), first[begin].tolist(), stop.tolist(), (after - begin).tolist()):
+        yield i, no, data[a:b], n
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, seen = WordHashes(), Counter()
+    seen: Counter = Counter()
 
     def out():
         rows = [(lang, last, chunk, starts, n) for (lang, last, chunk, starts), n in seen.items()]
@@ -70,9 +87,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(cols, names=["lang", "last", "chunk", "starts", "n"])
 
     for b in batches:
-        for lang, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for x in chunks(data, known):
-                seen[lang, *x] += 1
+        langs, done = b.column(0).to_pylist(), 0
+        for part in slices(b.column(1).to_pylist()):
+            seen.update((langs[done + i], last, chunk, n) for i, last, chunk, n in chunks(part))
+            done += len(part)
             if len(seen) > HELD_CHUNKS:
                 yield out()
                 seen.clear()
@@ -86,17 +104,17 @@ def parsed(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "last", "chunk").agg(F.max("starts").alias("starts"), F.sum("n").alias("n"))
 
 
-def _places(b: pa.RecordBatch, known: WordHashes):
-    """Words of all chunks of a batch, their hashes mixed with the language's, and for each word: words left in its chunk, whether phrases that begin there count, the chunk's frequency."""
+def _places(b: pa.RecordBatch):
+    """Text of all chunks of a batch, and for each word: its hash, its chunk, the language's hash, words left in the chunk, whether phrases that begin there count, the chunk's frequency."""
     texts = b.column(2).to_pylist()
-    words = b" ".join(texts).split(b" ")
+    data = b" ".join(texts)
     size = np.fromiter((t.count(b" ") + 1 for t in texts), np.int64, len(texts))
-    first = np.cumsum(size) - size
-    at = np.arange(len(words)) - np.repeat(first, size)
-    left = np.repeat(size, size) - at
-    counted = at < np.repeat(b.column(3).to_numpy(), size)
-    lang = np.fromiter((known[x.encode()] for x in b.column(0).to_pylist()), np.uint64, len(texts))
-    return words, known.of(words), np.repeat(lang, size), left, counted, np.repeat(b.column(4).to_numpy(), size)
+    row, first = np.repeat(np.arange(len(texts)), size), np.cumsum(size) - size
+    at = np.arange(len(row)) - first[row]
+    langs = b.column(0).to_pylist()
+    of = {x: xxh3_64_intdigest(x) for x in set(langs)}
+    lang = np.fromiter((of[x] for x in langs), np.uint64, len(texts))
+    return data, word_hashes(data)[0], row, lang[row], size[row] - at, at < b.column(3).to_numpy()[row], b.column(4).to_numpy()[row]
 
 
 def _keys(h: np.ndarray, lang: np.ndarray, left: np.ndarray, counted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +134,9 @@ def _count(sizes: tuple[int, ...], held_by):
     """Task that counts hashes of phrases of such sizes, those of three words or more only where all their pairs are in the bit set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, keys, weights, size = WordHashes(), held_by(), [], [], 0
+        held, keys, weights, size = held_by(), [], [], 0
         for b in (b for b in batches if b.num_rows):
-            _, h, lang, left, counted, n = _places(b, known)
+            _, h, _, lang, left, counted, n = _places(b)
             if held is not None:
                 pair = np.zeros(len(h) + MOST, bool)
                 at, key = _keys(h, lang, left, np.ones(len(h), bool), 2)
@@ -143,19 +161,18 @@ def _spell(held_by):
     """Task that counts, as text, the phrases whose hashes are in the bit set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = WordHashes(), held_by()
+        held = held_by()
         for b in (b for b in batches if b.num_rows):
-            words, h, lang, left, counted, n = _places(b, known)
-            langs = b.column(0).to_pylist()
-            row = np.repeat(np.arange(b.num_rows), np.fromiter((t.count(b" ") + 1 for t in b.column(2).to_pylist()), np.int64, b.num_rows))
-            out: Counter = Counter()
+            data, h, row, lang, left, counted, n = _places(b)
+            words, langs, out = data.split(b" "), b.column(0).to_pylist(), []
             for k in range(1, MOST + 1):
                 at, key = _keys(h, lang, left, counted, k)
                 ok = has(held, key)
-                at, key = at[ok], key[ok]
-                for i, w in zip(at.tolist(), n[at].tolist()):
-                    out[langs[row[i]], b" ".join(words[i : i + k])] += w
-            lang_, phrase, total = zip(*((a, p, w) for (a, p), w in out.items())) if out else ((),) * 3
+                key, one, of = np.unique(key[ok], return_index=True, return_inverse=True)
+                total = np.zeros(len(key), np.int64)
+                np.add.at(total, of, n[at[ok]])
+                out += [(langs[row[i]], b" ".join(words[i : i + k]), w) for i, w in zip(at[ok][one].tolist(), total.tolist())]
+            lang_, phrase, total = zip(*out) if out else ((),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(lang_, pa.string()), pa.array(phrase, pa.binary()), pa.array(total, pa.int64())], names=["lang", "phrase", "f"])
 
     return run
