@@ -67,20 +67,24 @@ def black76(rate: float):
     return price
 
 
+def implied(p, f, k, t, call, rate: float) -> np.ndarray:
+    """Volatility of premiums by halving; nan at or below intrinsic or beyond 500 %."""
+    low, high = np.full(len(p), 1e-4), np.full(len(p), 5.0)
+    least = np.maximum(0.0, np.where(call, f - k, k - f)) * np.exp(-rate * t)
+    ok = (p > 0) & (t > 0) & (p > least) & (measures(f, k, t, high, call, rate)[0] >= p)
+    for _ in range(80):
+        mid = (low + high) / 2
+        under = measures(f, k, t, mid, call, rate)[0] < p
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return np.where(ok, (low + high) / 2, np.nan)
+
+
 def implied_vol(rate: float):
     """Column function (premium, forward, strike, years, is_call) to the volatility; null at or below intrinsic or beyond 500 %."""
 
     @F.pandas_udf("double")
     def solve(p: pd.Series, f: pd.Series, k: pd.Series, t: pd.Series, call: pd.Series) -> pd.Series:
         p, f, k, t = (x.to_numpy(dtype=float) for x in (p, f, k, t))
-        call = call.fillna(False).to_numpy(dtype=bool)
-        low, high = np.full(len(p), 1e-4), np.full(len(p), 5.0)
-        least = np.maximum(0.0, np.where(call, f - k, k - f)) * np.exp(-rate * t)
-        ok = (p > 0) & (t > 0) & (p > least) & (measures(f, k, t, high, call, rate)[0] >= p)
-        for _ in range(80):
-            mid = (low + high) / 2
-            under = measures(f, k, t, mid, call, rate)[0] < p
-            low, high = np.where(under, mid, low), np.where(under, high, mid)
-        return pd.Series(np.where(ok, (low + high) / 2, np.nan)).replace({np.nan: None}).astype("Float64")
+        return pd.Series(implied(p, f, k, t, call.fillna(False).to_numpy(dtype=bool), rate)).replace({np.nan: None}).astype("Float64")
 
     return solve
