@@ -32,3 +32,42 @@ def ema(df: DataFrame, value: str, period: int, out: str, by: str = "symbol", or
     run = F.aggregate("points", seed, lambda ys, p: F.concat(ys, F.array(F.struct(p["at"].alias("at"), (F.element_at(ys, -1)["y"] * (1 - k) + p["x"] * k).alias("y")))))
     values = chunks.select(by, F.explode(F.slice(run, 2, F.size("points"))).alias("v")).select(by, F.col("v.at").alias(order), F.col("v.y").alias(out))
     return df.join(values, [by, order])
+
+
+def trailing(df: DataFrame, value: str, period: int, bars: int, out: str, by: str = "symbol", order: str = "ts_ms") -> DataFrame:
+    """df with out, the average over the last bars values alone, seeded by the first of them.
+
+    Both averages follow one rule from the window's first value on, so their difference there, the
+    continuous average less the seed, has shrunk by 1 - k a bar since: one scan and one lag give what
+    a fold of every window would.
+    """
+    k, w = 2.0 / (period + 1), Window.partitionBy(by).orderBy(order)
+    rows = ema(df, value, period, "__y", by, order)
+    ago = F.lag(F.col("__y") - F.col(value), bars - 1).over(w)
+    return rows.withColumn(out, F.col("__y") - F.coalesce(ago * (1 - k) ** (bars - 1), F.lit(0.0))).drop("__y")
+
+
+def trailing_line(df: DataFrame, value: str, fast: int, slow: int, signal: int, bars: int, by: str = "symbol", order: str = "ts_ms") -> DataFrame:
+    """df with line and signal of the last bars values alone: the difference of two trailing averages and that difference's average within the window.
+
+    Within a window the line is the continuous one less two terms that shrink geometrically from the
+    window's first bar; the average of each term has a closed form, and the continuous line's is put right
+    as in trailing(), so again nothing is folded a window.
+    """
+    rates, m = [2.0 / (p + 1) for p in (fast, slow, signal)], bars - 1
+    rows = ema(ema(df, value, fast, "__f", by, order), value, slow, "__s", by, order).withColumn("__l", F.col("__f") - F.col("__s"))
+    rows = ema(rows, "__l", signal, "__g", by, order)
+    w = Window.partitionBy(by).orderBy(order)
+    ago = lambda c: F.coalesce(F.lag(c, m).over(w), F.lit(0.0))  # noqa: E731 - windows not yet full are the series so far
+    f0, s0, g0 = ago(F.col("__f") - F.col(value)), ago(F.col("__s") - F.col(value)), ago(F.col("__g") - F.col("__l"))
+    weights = []
+    for rate in rates[:2]:  # average, after m bars, of a term that begins at 1 and shrinks by its own rate
+        y, term = 1.0, 1.0
+        for _ in range(m):
+            term *= 1 - rate
+            y += (term - y) * rates[2]
+        weights.append((term, y))
+    (a, a_mean), (b, b_mean) = weights
+    line = F.col("__l") - f0 * a + s0 * b
+    mean = F.col("__g") - g0 * (1 - rates[2]) ** m - f0 * a_mean + s0 * b_mean
+    return rows.withColumns({"line": line, "signal": mean}).drop("__f", "__s", "__l", "__g")

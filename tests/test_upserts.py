@@ -39,8 +39,8 @@ def test_merges_keep_the_latest_and_survive_a_crash(spark, tmp_path):
     assert _live(log) == want
     log.compact()
     assert log.manifest()[1:] == (6, 1) and _live(log) == want
-    plan = log.read()._jdf.queryExecution().toString()
-    assert f"base/{log.manifest()[0]}" in plan and "> 6)" in plan  # batches of the past are pruned
+    assert any(log.manifest()[0] in f for f in log.read().inputFiles()) and not any(lost[0] in f for f in log.read().inputFiles())
+    assert "> 6)" in log.read()._jdf.queryExecution().toString()  # batches of the past are pruned
     assert log._log(log.manifest()[1]).count() == 0
     gone = log.vacuum()
     assert f"base/{lost[0]}" in gone and {"log/batch=0", "log/batch=2"} <= set(gone) and "log/batch=3" not in gone and _live(log) == want
