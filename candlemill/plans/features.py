@@ -60,15 +60,20 @@ def f3_full_vote(spark, d):
     return decisions.vote(b, change="ret_5").select("symbol", "ts_ms", "buy_w", "sell_w", "action", "confidence")
 
 
-def feature_rows(b: DataFrame, vix: DataFrame) -> DataFrame:
-    """Feature rows of bars(symbol, ts_ms, o, h, l, c, v) with the volatility context of their day."""
+def called_bars(b: DataFrame, vix: DataFrame) -> DataFrame:
+    """Bars(symbol, ts_ms, o, h, l, c, v) with factors, the final call and its levels, and the volatility context of their day."""
     keys = ["symbol", "ts_ms"]
     a = decisions.with_factors(analyzed(b)).withColumn("thin", F.col("liq_label") == "Low")
     a = a.join(indicators.previous_close(b).select(*keys, F.col("day_change").alias("change_pct")), keys).join(indicators.streaks(b).select(*keys, "streak"), keys)
     a = decisions.final_call(decisions.levels(decisions.vote(a)))
     a = a.withColumns({"minutes": day_minutes(F.col("ts_ms")), "weekday": F.pmod(F.col("day") + 3, F.lit(7)), "dn": F.row_number().over(Window.partitionBy("symbol", "day").orderBy("ts_ms"))})
     context = regime.context(vix).select(F.unix_date("day").alias("day"), F.col("level").alias("vix"), F.col("ratio").alias("vix_ratio"), F.col("rank").alias("vix_rank"))
-    return decisions.features(a.join(context, "day", "left"))
+    return a.join(context, "day", "left")
+
+
+def feature_rows(b: DataFrame, vix: DataFrame) -> DataFrame:
+    """Feature rows of bars(symbol, ts_ms, o, h, l, c, v) with the volatility context of their day."""
+    return decisions.features(called_bars(b, vix))
 
 
 @query()
