@@ -38,7 +38,7 @@ from candlemill.llm.wordhash import mix, runs_of, slices, word_hashes
 MOST, LEAST, TOP = 5, 100, 2000
 #: A candidate goes if a longer one around it has at least this percentage of its frequency.
 INSIDE_PERCENT = 100
-OVERLAP, PERIOD = MOST - 1, 16
+OVERLAP, PERIOD = MOST - 1, 64
 #: Distinct chunks a parser holds, and words and phrases that a counter holds, before they are passed on.
 HELD_CHUNKS, HELD_GRAMS = 1 << 17, 1 << 21
 _CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
@@ -125,8 +125,7 @@ def _keys(h: np.ndarray, lang: np.ndarray, left: np.ndarray, counted: np.ndarray
 
 def _sums(key: list[np.ndarray], weight: list[np.ndarray]) -> pa.RecordBatch:
     k, at = np.unique(np.concatenate([*key, np.empty(0, np.uint64)]), return_inverse=True)
-    n = np.zeros(len(k), np.int64)
-    np.add.at(n, at, np.concatenate([*weight, np.empty(0, np.int64)]))
+    n = np.bincount(at, weights=np.concatenate([*weight, np.empty(0, np.int64)]), minlength=len(k)).astype(np.int64)  # exact below 2^53
     return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "n"])
 
 
@@ -169,8 +168,7 @@ def _spell(held_by):
                 at, key = _keys(h, lang, left, counted, k)
                 ok = has(held, key)
                 key, one, of = np.unique(key[ok], return_index=True, return_inverse=True)
-                total = np.zeros(len(key), np.int64)
-                np.add.at(total, of, n[at[ok]])
+                total = np.bincount(of, weights=n[at[ok]], minlength=len(key)).astype(np.int64)
                 out += [(langs[row[i]], b" ".join(words[i : i + k]), w) for i, w in zip(at[ok][one].tolist(), total.tolist())]
             lang_, phrase, total = zip(*out) if out else ((),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(lang_, pa.string()), pa.array(phrase, pa.binary()), pa.array(total, pa.int64())], names=["lang", "phrase", "f"])
