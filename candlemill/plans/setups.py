@@ -60,7 +60,7 @@ _GOAL = "CASE action WHEN 'BUY' THEN CASE WHEN resistance > c THEN least(c + c *
 @query(f"""WITH {VOTES}, fc AS (SELECT symbol, ts_ms, c, atr, support, resistance, CASE WHEN viable THEN action ELSE 'HOLD' END AS action, CASE WHEN action <> 'HOLD' AND NOT viable THEN greatest(35, confidence - 20) WHEN viable AND rr >= 2 THEN least(94, confidence + 3) ELSE confidence END AS confidence FROM lev),
 nw AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'][doc_id % 5 + 1] AS symbol, doc_id AS ts, CASE WHEN max(toxic) = 1 THEN -1 WHEN max(quality) = 1 THEN 1 ELSE 0 END AS mood FROM documents LEFT JOIN labels USING (doc_id) GROUP BY doc_id),
 nk AS (SELECT * FROM nw QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 8), nb AS (SELECT symbol, count(*) AS n_news, CAST(sum(mood) AS INT) AS news FROM nk GROUP BY symbol),
-fs AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'][id] AS symbol, score FROM ({ORACLE['b12_fundamentals']}) WHERE id BETWEEN 1 AND 5),
+fs AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'][id % 5 + 1] AS symbol, CAST(floor(avg(score) + 0.5) AS INT) AS score FROM ({ORACLE['b12_fundamentals']}) GROUP BY 1),
 a1 AS (SELECT fc.*, n_news, coalesce(news, 0) AS news, score FROM fc LEFT JOIN nb USING (symbol) LEFT JOIN fs USING (symbol)),
 a2 AS (SELECT * EXCLUDE (action, confidence), CASE WHEN news <= -2 AND action = 'BUY' OR news >= 2 AND action = 'SELL' THEN 'HOLD' ELSE action END AS action,
   CASE WHEN news <= -2 AND action = 'BUY' THEN greatest(40, confidence - 15) WHEN news >= 2 AND action = 'SELL' THEN greatest(40, confidence - 12) WHEN news >= 2 AND action = 'BUY' OR news <= -2 AND action = 'SELL' THEN least(92, confidence + 8) ELSE confidence END AS confidence FROM a1),
@@ -68,13 +68,13 @@ a3 AS (SELECT * EXCLUDE (action, confidence), CASE WHEN score <= -2 AND action =
 a4 AS (SELECT *, {_GOAL} AS goal, greatest(atr * 0.6::DOUBLE, c * 0.005::DOUBLE) AS fl FROM a3), a5 AS (SELECT *, action <> 'HOLD' AND abs(goal - c) > 0 AND abs(goal - c) / 1.5::DOUBLE >= fl AS viable FROM a4)
 SELECT symbol, ts_ms, n_news, news AS news_score, score AS fundamental_score, CASE WHEN viable OR action = 'HOLD' THEN action ELSE 'HOLD' END AS action, CAST(CASE WHEN action <> 'HOLD' AND NOT viable THEN greatest(30, least(95, confidence - 12)) ELSE confidence END AS INT) AS confidence, action <> 'HOLD' AND NOT viable AS gated FROM a5""")
 def f7_holding_calls(spark, d):
-    """Final calls of each bar turned by the symbol's newest headlines (their mood from labels) and a company's figures, then gated by swing levels."""
+    """Final calls of each bar turned by the symbol's newest headlines (their mood from labels) and the figures of its companies, then gated by swing levels."""
     calls = decisions.final_call(decisions.levels(_votes(spark, d))).drop("target", "stop", "rr", "viable")
     own = F.array(*(F.lit(s) for s in SYMBOLS))
     mood = load(spark, d, "labels").groupBy("doc_id").agg(F.when(F.max("toxic") == 1, "negative").when(F.max("quality") == 1, "positive").alias("mood"))
     news = load(spark, d, "documents").select("doc_id").join(mood, "doc_id", "left").select(F.get(own, (F.col("doc_id") % 5).cast("int")).alias("symbol"), F.col("doc_id").alias("ts"), "mood")
-    firms = load(spark, d, "customer").where("c_custkey between 1 and 5").select(F.get(own, (F.col("c_custkey") - 1).cast("int")).alias("symbol"), *(F.expr(e).cast("string" if k == "rating" else "double").alias(k) for k, e in FIGURES.items()))
-    scores = firms.select("symbol", decisions.fundamentals({k: F.col(k) for k in FIGURES}, F.lit(100.0)).alias("fundamental_score"))
+    firms = load(spark, d, "customer").select(F.get(own, (F.col("c_custkey") % 5).cast("int")).alias("symbol"), *(F.expr(e).cast("string" if k == "rating" else "double").alias(k) for k, e in FIGURES.items()))
+    scores = firms.groupBy("symbol").agg(F.floor(F.avg(decisions.fundamentals({k: F.col(k) for k in FIGURES}, F.lit(100.0))) + 0.5).cast("int").alias("fundamental_score"))
     x = calls.join(holdings.news_balance(news), "symbol", "left").join(scores, "symbol", "left")
     x = holdings.gated_view(decisions.levels(holdings.holding_view(x), "swing"))
     return x.select("symbol", "ts_ms", "n_news", F.coalesce("news_score", F.lit(0)).alias("news_score"), "fundamental_score", "action", "confidence", "gated")

@@ -27,6 +27,17 @@ def test_shares_equal_sorted_values(spark, monkeypatch):
     assert quantile.at_shares(df.where("false"), ["g"], "v", {"m": 0.5}).count() == 0
 
 
+@pytest.mark.parametrize("edges", [(50.0, 60.0), (1.0, 2.0), (90.0, 95.0)])
+def test_a_missed_bracket_is_an_error(spark, monkeypatch, edges):
+    """A bracket that lies above or below its rank never gives a value."""
+    df = spark.createDataFrame([("g", float(k)) for k in range(100)], "g string, v double")
+    given = iter(edges * 2)
+    monkeypatch.setattr(quantile, "_edge", lambda p: F.max(F.lit(next(given))))
+    for share, middle in ((0.3, False), (0.3, True)):
+        with pytest.raises(Exception, match="missed its rank"):
+            quantile.at_shares(df, ["g"], "v", {"m": share}, middle).collect()
+
+
 def test_rows_are_numbered_across_days(spark):
     rows = [(k % 3, k % 7, k) for k in range(200)] + [(1, None, 500)]
     df = spark.createDataFrame(rows, "g long, day long, k long")
