@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from candlemill.functions.market import SQUARE_OFF, day_minutes
 from candlemill.functions.scan import ema
 from candlemill.operators.indicators import last, of_day
+from candlemill.operators.setups import grid
 from candlemill.operators.structure import running_vwap
 
 
@@ -78,8 +79,8 @@ def cross_trades(bars: DataFrame, variants: DataFrame, period: int = 9, look: in
     side, time (after the cutoff, or no bar left to fill on), level (the target lies behind the
     entry) or reward. A trade fills at the next bar's open, targets the extreme of the last bars
     across sessions, and ends at the stop before the target, at square-off or with the session.
-    Sessions with a bar without volume, or with few bars, are left out. A session and variant is
-    one group: at most a day of bars.
+    Sessions with a bar without volume, or with few bars, are left out. A session, at most a day of
+    bars, is one group and goes through the variants inside its task.
     """
     b = running_vwap(ema(bars, "c", period, "ema"))
     b = b.withColumns({"low": F.min("l").over(last(look)), "high": F.max("h").over(last(look)), "k": F.row_number().over(of_day()) - 1})
@@ -88,12 +89,15 @@ def cross_trades(bars: DataFrame, variants: DataFrame, period: int = 9, look: in
     whole = Window.partitionBy("symbol", "day")
     b = b.withColumns({"side": F.when(F.col("k") >= warmup, side).otherwise(0), "minutes": day_minutes(F.col("ts_ms"))})
     b = b.withColumns({"bars": F.count("*").over(whole), "thin": F.min(F.coalesce("v", F.lit(0.0))).over(whole)}).where((F.col("bars") >= least_bars) & (F.col("thin") > 0))
-    b = b.select("symbol", "day", "ts_ms", "o", "h", "l", "c", "low", "high", "side", "minutes").crossJoin(F.broadcast(variants))
+    b = b.select("symbol", "day", "ts_ms", "o", "h", "l", "c", "low", "high", "side", "minutes")
+    given = [(v.variant, v.sides, float(v.stop_pts), float(v.min_rr)) for v in grid(variants).itertuples(index=False)]
 
     def session(key: tuple, s: pd.DataFrame) -> pd.DataFrame:
         s = s.sort_values("ts_ms")
+        return pd.DataFrame([r for v in given for r in trades((*key, v[0]), s, *v[1:])], columns=[x.split()[0] for x in CROSS_TRADE.split(", ")]).astype({"entry_ms": "Int64", "exit_ms": "Int64"})
+
+    def trades(key: tuple, s: pd.DataFrame, sides: str, stop_pts: float, min_rr: float) -> list:
         at, o, h, low, c, lo, hi, cross, minutes = (s[x].to_numpy() for x in ("ts_ms", "o", "h", "l", "c", "low", "high", "side", "minutes"))
-        sides, stop_pts, min_rr = s["sides"].iloc[0], float(s["stop_pts"].iloc[0]), float(s["min_rr"].iloc[0])
         n, busy, out = len(s), -1, []
         for i in np.flatnonzero(cross).tolist():
             way = int(cross[i])
@@ -125,6 +129,6 @@ def cross_trades(bars: DataFrame, variants: DataFrame, period: int = 9, look: in
             status = "stop" if stopped[j] else "target" if reached[j] else "squareoff"
             busy = i + 1 + j
             out.append([*row, verdict, entry, target, stop, at[i + 1], at[busy], {"stop": stop, "target": target}.get(status, c[busy]), status])
-        return pd.DataFrame(out, columns=[x.split()[0] for x in CROSS_TRADE.split(", ")]).astype({"entry_ms": "Int64", "exit_ms": "Int64"})
+        return out
 
-    return b.groupBy("symbol", "day", "variant").applyInPandas(session, CROSS_TRADE)
+    return b.groupBy("symbol", "day").applyInPandas(session, CROSS_TRADE)

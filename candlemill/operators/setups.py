@@ -35,6 +35,18 @@ def with_sessions(bars: DataFrame, span: int, least_bars: int) -> DataFrame:
     return b.join(before, ["symbol", "day"]).withColumn("minutes", day_minutes(F.col("ts_ms")))
 
 
+#: Most variants of one grid.
+MOST_VARIANTS = 10_000
+
+
+def grid(table: DataFrame) -> pd.DataFrame:
+    """The rows of a table of variants, which are parameters and few."""
+    rows = table.limit(MOST_VARIANTS + 1).toPandas()
+    if len(rows) > MOST_VARIANTS:
+        raise ValueError(f"more than {MOST_VARIANTS} variants")
+    return rows
+
+
 class _Day:
     """A session's arrays and what is known of its structure at a bar. way is 1 for longs, -1 for shorts."""
 
@@ -44,6 +56,7 @@ class _Day:
         self.tops, self.bottoms = np.flatnonzero(s["swing_high"].to_numpy(bool)), np.flatnonzero(s["swing_low"].to_numpy(bool))
         hi, lo, close = (float(s[x].iloc[0]) for x in ("old_hi", "old_lo", "old_lc"))
         self.old = [(hi, 1, "previous high"), (lo, -1, "previous low"), (close, 1, "previous close"), (close, -1, "previous close")]
+        self.deepest: dict[int, tuple[float, int, str] | None] = {}  # by bar, for all variants
 
     def known(self, where: np.ndarray, i: int) -> np.ndarray:
         return where[: np.searchsorted(where, i - self.span, side="right")]
@@ -55,13 +68,16 @@ class _Day:
 
     def sweep(self, i: int, least: float) -> tuple[float, int, str] | None:
         """(depth, way of the reversal, pool) of the deepest pool that bar i trades through and closes back from."""
-        best = None
-        for price, side, name in self.pools(i - 1):
-            depth = self.h[i] - price if side > 0 else price - self.l[i]
-            back = self.c[i] < price if side > 0 else self.c[i] > price
-            if depth > 0 and back and depth >= least and (best is None or depth > best[0]):
-                best = (float(depth), -side, name)
-        return best
+        if i not in self.deepest:
+            best = None
+            for price, side, name in self.pools(i - 1):
+                depth = self.h[i] - price if side > 0 else price - self.l[i]
+                back = self.c[i] < price if side > 0 else self.c[i] > price
+                if depth > 0 and back and (best is None or depth > best[0]):
+                    best = (float(depth), -side, name)
+            self.deepest[i] = best
+        best = self.deepest[i]
+        return best if best is not None and best[0] >= least else None
 
     def reference(self, i: int, way: int) -> float:
         """The level whose break by the close confirms the way: the last swing known at bar i, else the day's extreme so far."""
@@ -178,19 +194,20 @@ def sweep_events(bars: DataFrame, table: DataFrame, span: int = 2, least_bars: i
     entry_bars. It goes unfilled when price runs to the target or closes beyond the stop first. No sweep
     counts after the cutoff, none waits while a trade is open or once most_trades are done. Counts by
     event are the funnel; trades have their exit. Bars without a value, and sessions of few bars or
-    after one of few, are left out. A group is one session and variant: at most a day of bars.
+    after one of few, are left out. A group is one session, at most a day of bars, and goes through the
+    variants inside its task; they are parameters and reach it as such.
     """
     b = with_sessions(bars.dropna(subset=["o", "h", "l", "c"]), span, least_bars)
-    b = b.select("symbol", "day", "ts_ms", "o", "h", "l", "c", "minutes", "swing_high", "swing_low", "old_hi", "old_lo", "old_lc").crossJoin(F.broadcast(table))
+    b = b.select("symbol", "day", "ts_ms", "o", "h", "l", "c", "minutes", "swing_high", "swing_low", "old_hi", "old_lo", "old_lc")
+    given = list(grid(table).itertuples(index=False))
 
     def session(key: tuple, s: pd.DataFrame) -> pd.DataFrame:
-        s = s.sort_values("ts_ms")
-        day = _Day(s, span)
+        day = _Day(s.sort_values("ts_ms"), span)
         names = {1: "LONG", -1: "SHORT"}
-        rows = [(*key, day.at[e[0]], e[1], names[e[2]], *e[3:]) for e in _walk(day, s.iloc[0])]
+        rows = [(*key, v.variant, day.at[e[0]], e[1], names[e[2]], *e[3:]) for v in given for e in _walk(day, v)]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in EVENT.split(", ")])
 
-    return b.groupBy("symbol", "day", "variant").applyInPandas(session, EVENT)
+    return b.groupBy("symbol", "day").applyInPandas(session, EVENT)
 
 
 def funnel(events: DataFrame, cost: float = 6.0) -> DataFrame:
