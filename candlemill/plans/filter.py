@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from candlemill.operators import boost, decisions, grading, regime
 from candlemill.plans.features import called_bars
 from candlemill.plans.market import query, rounded
+from candlemill.sources.shared import written
 from candlemill.sources.testdata import bars, volatility
 
 ORDER, SEEDS, KEEPS = ["ts_ms", "symbol"], (0, 1, 2), (0.5, 0.4, 0.3, 0.2, 0.1)
@@ -21,7 +22,8 @@ def samples(spark, d):
     b = bars(spark, d)
     way = F.when(F.col("buy_w") >= F.col("sell_w"), 1.0).otherwise(-1.0)
     a = called_bars(b, volatility(spark, d)).where("atr > 0")
-    a = a.withColumns({"action": F.when(way > 0, "BUY").otherwise("SELL"), "target": F.col("c") + way * F.col("atr"), "stop": F.col("c") - way * F.col("atr"), "rr": F.lit(1.0)}).persist()
+    a = a.withColumns({"action": F.when(way > 0, "BUY").otherwise("SELL"), "target": F.col("c") + way * F.col("atr"), "stop": F.col("c") - way * F.col("atr"), "rr": F.lit(1.0)})
+    a = written(a, "signals")
     signals = a.select(F.concat_ws("/", "symbol", "ts_ms").alias("sid"), "symbol", "ts_ms", "action", F.col("c").alias("entry"), "target", "stop")
     graded = grading.grade(signals, b).where("status in ('target', 'stop')")
     said = graded.select("symbol", "ts_ms", (F.col("status") == "target").cast("int").alias("label"), ((F.col("resolved_price") - F.col("entry")) * F.when(F.col("action") == "BUY", 1.0).otherwise(-1.0)).alias("pts"))
@@ -68,7 +70,7 @@ def e25_filter_selection(spark, d):
 @query()
 def e31_filter_after_gate(spark, d):
     """The filter validated on signals of small ranges alone, and on all of them: the loose pool."""
-    s, out = samples(spark, d), None
+    s, out = written(samples(spark, d), "samples"), None
     at = s.select(F.percentile_approx(F.get("features", F.lit(decisions.FEATURES.index("atr_pct"))), 0.75).alias("gate")).first()["gate"]
     for pool, own in (("gated", s.where(F.get("features", F.lit(decisions.FEATURES.index("atr_pct"))) <= (at or 0.0))), ("all", s)):
         auc = regime.auc(boost.walk_forward(own, ORDER, (7,)).where("test"), ["of"]).select(F.lit(pool).alias("pool"), F.col("of").alias("fold"), "auc")

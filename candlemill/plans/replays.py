@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from candlemill.functions import options
 from candlemill.functions.market import day_minutes
 from candlemill.operators import decisions, grading, indicators, option_trades, replay, signals, structure, trend
+from candlemill.operators.supertrend import supertrend
 from candlemill.plans.calls import CALLS
 from candlemill.plans.decisions import RATE, VIXED, VOTES, _options, _votes, _vixed, option_sql
 from candlemill.plans.market import BASICS, MERGED, READINGS, _recursive, economics_sql, graded_sql, query, rounded
@@ -22,7 +23,7 @@ r AS (SELECT symbol, n, first AS atr, mid + 3 * first AS upper, mid - 3 * first
  LATERAL (SELECT CASE WHEN r.c > r.upper THEN x.mid + 3 * natr ELSE least(r.upper, x.mid + 3 * natr) END AS nu, CASE WHEN r.c < r.lower THEN x.mid - 3 * natr ELSE greatest(r.lower, x.mid - 3 * natr) END AS nl) q)
 SELECT r.symbol, t.ts_ms, round(CASE WHEN up THEN lower ELSE upper END, 6) AS value, up AS rising FROM r JOIN t ON t.symbol = r.symbol AND t.n = r.n""")
 def c13_supertrend(spark, d):
-    return rounded(replay.supertrend(bars(spark, d)))
+    return rounded(supertrend(bars(spark, d)))
 
 
 ZONES = """w AS (SELECT symbol, n AS mid, c, lag(h) OVER k AS h0, lag(l) OVER k AS l0, lead(h) OVER k AS h2, lead(l) OVER k AS l2 FROM b WINDOW k AS (PARTITION BY symbol ORDER BY ts_ms)),
