@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlemill.plans import calls, decisions, features, filter, holdings, learn, market, replays, setups, stored, trailing, variants  # noqa: F401 - they add their queries to market's
+from candlemill.plans import calls, decisions, features, filter, holdings, learn, market, replays, setups, stored, surface, trailing, variants  # noqa: F401 - they add their queries to market's
 
 FLAGSHIP = "e13_trade_economics"
 
