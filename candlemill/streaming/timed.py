@@ -205,12 +205,23 @@ def paper_timed(rows: DataFrame, rate: float = 0.065, window_ms: int = DAY_WINDO
 
 
 class TimedCrossBook(CrossBook):
-    """The cross book whose trades end at square-off, at the last close, also where no bar comes then."""
+    """The cross book whose trades end at square-off, at the last close, also where no bar comes then.
 
-    def __init__(self, state, *given):
+    With fill_bar the target is the extreme of the last bars up to the one that fills, as a live book sees
+    them when it rules; else up to the cross, as the replay's.
+    """
+
+    def __init__(self, state, fill_bar: bool, *given):
         super().__init__(state, *given)
+        self.fill_bar = fill_bar
         self.s.setdefault("last", None)
 
+    def _rule(self, bar, signal: dict) -> list[tuple]:
+        if self.fill_bar:
+            seen = [*self.s["highs"], float(bar.h)] if signal["way"] > 0 else [*self.s["lows"], float(bar.l)]
+            signal = {**signal, "target": (max if signal["way"] > 0 else min)(seen[-self.look :])}
+        return super()._rule(bar, signal)
+
     def state(self):
         return self.s
 
@@ -238,7 +249,7 @@ class TimedCrossBook(CrossBook):
         return [(*e[:3], "LONG" if e[3] > 0 else "SHORT", *e[4:]) for e in said]
 
 
-def cross_timed(bars: DataFrame, period: int = 9, look: int = 20, warmup: int = 3, stop_pts: float = 20.5, min_rr: float = 1.5, cutoff: int = 900, late: str = "10 minutes") -> DataFrame:
-    """Events of books.cross_book by event time: bars in order however they arrive, and trades closed at square-off without a bar."""
+def cross_timed(bars: DataFrame, period: int = 9, look: int = 20, warmup: int = 3, stop_pts: float = 20.5, min_rr: float = 1.5, cutoff: int = 900, fill_bar: bool = True, late: str = "10 minutes") -> DataFrame:
+    """Events of books.cross_book by event time: bars in order however they arrive, trades closed at square-off without a bar, targets that see the bar of the fill (fill_bar) or not."""
     clean = bars.dropna(subset=["symbol", "ts_ms", "o", "h", "l", "c"])
-    return follow(clean, lambda s: TimedCrossBook(s, period, look, warmup, stop_pts, min_rr, cutoff), "ts_ms long, o double, h double, l double, c double, v double", CROSS_EVENT, lambda r: r[1:5], late)
+    return follow(clean, lambda s: TimedCrossBook(s, fill_bar, period, look, warmup, stop_pts, min_rr, cutoff), "ts_ms long, o double, h double, l double, c double, v double", CROSS_EVENT, lambda r: r[1:5], late)

@@ -123,7 +123,7 @@ def test_cross_book_ends_at_square_off_without_a_bar(spark, tmp_path):
     dip = [110, 108, 104, 100, 97, 96, 99, 104, 109, 112, 108, 102, 97, 99, 106, 111, 104, 98, 95, 101, 108, 106, 107, 107.5]
     bar = "symbol string, ts_ms long, o double, h double, l double, c double, v double"
     rows = [(s, OPEN + k * 5 * MIN, float(c), c + 1.0, c - 1.0, float(c), 1.0) for s in "AB" for k, c in enumerate(dip)]
-    f = lambda r: timed.cross_timed(r, period=3, warmup=2, stop_pts=9.0, min_rr=0.1)
+    f = lambda r: timed.cross_timed(r, period=3, warmup=2, stop_pts=9.0, min_rr=0.1, fill_bar=False)
     whole = sorted(map(tuple, f(spark.createDataFrame(rows, bar)).collect()), key=repr)
     plain = books.CrossBook(None, 3, 20, 2, 9.0, 0.1, 900)
     own = [("A", *timed.TimedCrossBook._named([e])[0]) for r in rows[: len(dip)] for e in plain.bar(timed.SimpleNamespace(**dict(zip(("ts_ms", "o", "h", "l", "c", "v"), r[1:]))))]
@@ -134,3 +134,18 @@ def test_cross_book_ends_at_square_off_without_a_bar(spark, tmp_path):
     given = _jumbled(rows, 1, 8, rng)
     seen, _ = _stream(spark, tmp_path, [given[:20], given[20:], later[:1], later[1:2], later[2:]], bar, f)
     assert sorted((r for r in seen[-1] if r[0] != "Z"), key=repr) == whole
+
+
+def test_a_live_target_sees_the_bar_of_the_fill():
+    prices = [110, 108, 104, 100, 97, 96, 99, 104, 109, 114, 118]
+    bars = [(OPEN + k * 5 * MIN, float(c), c + 1.0, c - 1.0, float(c), 1.0) for k, c in enumerate(prices)]
+    target = {}
+    for fill_bar in (True, False):
+        book = timed.TimedCrossBook(None, fill_bar, 3, 4, 2, 9.0, 0.1, 900)
+        said = [e for b in bars for e in book.row(b) if e[2] in ("opened", "refused")]
+        assert said and len({e[0] for e in said}) == 1
+        k = (said[0][0] - OPEN) // (5 * MIN)
+        target[fill_bar] = {e[5] for e in said}
+        seen = [b[2] for b in bars[: k + 1]][-4:] if fill_bar else [b[2] for b in bars[:k]][-4:]
+        assert target[fill_bar] == {max(seen)}
+    assert target[True] != target[False]
