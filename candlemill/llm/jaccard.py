@@ -14,7 +14,8 @@ goes; no key and no pair is capped.
 Sets of a kept key meet in two steps. Each is first held against the least set of its keys, which
 joins families of copies. Keys whose sets then lie in more than one component are compared in blocks
 of at most BLOCK sets, by a folded sketch of FOLD bits, between components only; a block's own memory
-is bounded however large the key. Every pair found is verified on the whole sets.
+is bounded however large the key. A pair of several common keys is named at the least one. Every pair
+found is verified on the whole sets.
 
 Equal sets are one node, so copies never multiply. Null, empty and wordless texts have an empty set
 and link with nothing, copies of them included. A null doc_id takes part but is never a component's id.
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from candlemill.llm.bitset import bit_set, has
-from candlemill.llm.common import read, row_key, small, table
+from candlemill.llm.common import UPPER, read, row_key, small, table
 from candlemill.llm.components import connected_components
 from candlemill.llm.wordhash import mix, shingles_by_text, slices
 
@@ -47,6 +48,8 @@ GROWTH = 1.4
 SEGMENT_BITS, FOLD = 16, 1024
 #: Most sets that are compared at once, and most of a centre's pairs that one task verifies.
 BLOCK, PAIRS = 1024, 2000
+#: A set's least keys, by which two sets of several common keys are named once.
+LISTED = 32
 
 
 def most_apart(total: int) -> int:
@@ -226,7 +229,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs inside runs of equal (key, s, t); a run holds block s and block t of its key."""
 
     def pairs(cols):
-        key, s, t, block, node, comp, n, fold = cols
+        key, s, t, block, node, comp, n, fold, listed = cols
         run = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1])]) - 1
         size, u, v = np.bincount(run), [], []
         few = np.flatnonzero(size[run] <= 64)
@@ -245,13 +248,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 v.append(j)
         u, v = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (u, v))
         ok = ((s[u] == t[u]) | (block[u] != block[v])) & _near(n, fold, comp, u, v)
-        a, b = np.minimum(node[u[ok]], node[v[ok]]), np.maximum(node[u[ok]], node[v[ok]])
+        u, v = u[ok], v[ok]
+        held = {i: frozenset(listed[i]) for i in {*u.tolist(), *v.tolist()}}
+        # named at the least of the common keys that both list; at each where they list none in common
+        once = np.fromiter((min(held[i] & held[j], default=k) == k for i, j, k in zip(u.tolist(), v.tolist(), key[u].tolist())), bool, len(u))
+        u, v = u[once], v[once]
+        a, b = np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
         a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
     def arrays(b):
         ints = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-        return [*ints, np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, FOLD // 64)]
+        listed = np.empty(b.num_rows, object)
+        for i, x in enumerate(b.column(8).to_pylist()):
+            listed[i] = x
+        return [*ints, np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, FOLD // 64), listed]
 
     held = None
     for b in batches:
@@ -278,8 +289,11 @@ def _between(kept: DataFrame, own: DataFrame, roots: DataFrame) -> DataFrame:
     mixed = of.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
     mixed = table(mixed.select("key", F.ceil(F.col("rows") / (BLOCK // 2)).cast("int").alias("blocks")), "mixed-keys")
     rows = of.join(small(mixed, 1_000_000), "key").select("key", "node", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "blocks")
+    rows = table(rows, "mixed-rows")
+    listed = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LISTED).alias("listed"))
+    facts = table(comp.join(listed, "node"), "mixed-facts")
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.join(small(comp, 200_000), "node").select("key", F.least("block", "with").alias("s"), F.greatest("block", "with").alias("t"), "block", "node", "comp", "n", "fold")
+    rows = rows.join(small(facts, 100_000), "node").select("key", F.least("block", "with").alias("s"), F.greatest("block", "with").alias("t"), "block", "node", "comp", "n", "fold", "listed")
     met = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t")
     return met.mapInArrow(_compare, "u long, v long").distinct()
 
@@ -311,3 +325,27 @@ def near_sets(docs: DataFrame) -> DataFrame:
 
 def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_sets(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE} + 2), lambda i: array_to_string(list_slice(w, i, i + {SHINGLE} - 1), ' '))) END AS g FROM words
+), grams AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS g FROM sets
+), met AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS both_
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM met WHERE 100 * both_ >= {PERCENT} * (n + m - both_)
+), ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT u AS doc_id, u AS seen FROM ways UNION SELECT r.doc_id, w.v FROM reach r JOIN ways w ON w.u = r.seen
+), least_ AS (
+  SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id FROM sets s LEFT JOIN least_ c ON c.doc_id = s.doc_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from candlemill.llm.decontam import OP2_SQL, op2_benchmark_decontamination
 from candlemill.llm.html import op1_html_extraction
-from candlemill.llm.jaccard import op12_ngram_jaccard_join
+from candlemill.llm.jaccard import OP12_SQL, op12_ngram_jaccard_join
 from candlemill.llm.lines import op7_line_dedup
 from candlemill.llm.packing import op4_best_fit_packing
 from candlemill.llm.passages import op3_substring_dedup
@@ -31,5 +31,5 @@ def queries():
 def oracle_sql():
     return {
         "op2_benchmark_decontamination": OP2_SQL, "op5_warc": OP5_SQL, "op8_url_filter": OP8_SQL, "op11_spelling_variants": OP11_SQL,
-        "op13_phrase_collocations": OP13_SQL,
+        "op12_ngram_jaccard_join": OP12_SQL, "op13_phrase_collocations": OP13_SQL,
     }

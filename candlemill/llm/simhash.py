@@ -8,7 +8,9 @@ whose least shared variant is the bucket's are its own, and a bucket larger than
 a spanning forest of them instead of every pair; components stay the same.
 
 Null or wordless text has fingerprint zero. Rows of equal fingerprint are one node, so copies
-never multiply. A null doc_id takes part but is never a component's id.
+never multiply. A null doc_id takes part but is never a component's id. Texts are read whole, however
+long; an empty table gives no rows. Columns other than doc_id and text play no part, whatever their
+names; keep_one() passes them on as they are.
 """
 
 from __future__ import annotations

@@ -212,7 +212,7 @@ def test_chunks_count_each_phrase_start_once():
             assert got == Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
 
 
-@pytest.mark.parametrize("name", ["op11_spelling_variants", "op13_phrase_collocations"])
+@pytest.mark.parametrize("name", ["op11_spelling_variants", "op12_ngram_jaccard_join", "op13_phrase_collocations"])
 def test_queries_match_their_sql(spark, name):
     columns, want = duck(SF, registry.oracle_sql()[name])
     assert spark_rows(registry.queries()[name](spark, SF)) == (columns, want) and want
