@@ -27,6 +27,16 @@ def test_shares_equal_sorted_values(spark, monkeypatch):
     assert quantile.at_shares(df.where("false"), ["g"], "v", {"m": 0.5}).count() == 0
 
 
+def test_rows_are_never_broadcast(spark, tmp_path):
+    """Rows multiplied out of a small file stay where they are; their groups' sizes are what is sent."""
+    spark.range(100).select((F.col("id") % 10).cast("double").alias("v")).write.parquet(str(tmp_path / "t"))
+    many = spark.read.parquet(str(tmp_path / "t")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    out = quantile.at_shares(many, ["g"], "v", {"m": 0.5})
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildLeft" not in plan and "BuildRight" in plan
+    assert {(r.g, r.m) for r in out.collect()} == {(k, 4.0) for k in range(100)}
+
+
 @pytest.mark.parametrize("edges", [(50.0, 60.0), (1.0, 2.0), (90.0, 95.0)])
 def test_a_missed_bracket_is_an_error(spark, monkeypatch, edges):
     """A bracket that lies above or below its rank never gives a value."""
