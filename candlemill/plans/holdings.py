@@ -127,12 +127,12 @@ def b17_key_stats(spark, d):
     return p.groupBy("symbol").agg(F.max("c").alias("year_high"), F.min("c").alias("year_low"), mean(50).alias("mean_50"), mean(200).alias("mean_200"))
 
 
-@query("""WITH q AS (SELECT event_type AS symbol, event_id % 3 AS provider, last(value ORDER BY ts, event_id) AS price FROM events WHERE event_id % 3 <> 0 AND value > 0 GROUP BY 1, 2), f AS (SELECT symbol, first(price ORDER BY provider) AS quoted FROM q GROUP BY symbol),
+@query("""WITH q AS (SELECT event_type AS symbol, event_id % 3 AS provider, last(value ORDER BY ts, event_id NULLS FIRST, value) AS price FROM events WHERE event_id % 3 <> 0 AND value > 0 GROUP BY 1, 2), f AS (SELECT symbol, first(price ORDER BY provider) AS quoted FROM q GROUP BY symbol),
 h AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' ELSE 'nothing' END AS symbol, CASE WHEN c_custkey % 5 = 0 THEN 'mf' ELSE 'stock' END AS type, c_acctbal AS stored FROM customer)
 SELECT id, h.symbol, round(CASE WHEN type = 'mf' THEN stored ELSE coalesce(quoted, stored) END, 6) AS price FROM h LEFT JOIN f ON f.symbol = h.symbol""")
 def d11_latest_prices(spark, d):
     """Holdings at the newest quote of the first provider that has one."""
-    q = load(spark, d, "events").where("event_id % 3 <> 0").select(F.col("event_type").alias("symbol"), (F.col("event_id") % 3).alias("provider"), F.struct("ts", "event_id").alias("ts"), F.col("value").alias("price"))
+    q = load(spark, d, "events").where("event_id % 3 <> 0").select(F.col("event_type").alias("symbol"), (F.col("event_id") % 3).alias("provider"), F.struct("ts", "event_id", "value").alias("ts"), F.col("value").alias("price"))
     h = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("CASE c_custkey % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' ELSE 'nothing' END").alias("symbol"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN 'mf' ELSE 'stock' END").alias("type"), F.col("c_acctbal").alias("stored"))
     return rounded(holdings.latest_prices(h, q).select("id", "symbol", "price"))
 

@@ -36,7 +36,7 @@ def _store(spark, d, pulls: int = 1) -> BarStore:
 
 
 STORED = f"""{BARS}, hourly AS (SELECT event_type AS symbol, CAST(floor(epoch_ms(ts) / {HOUR_MS}) AS BIGINT) * {HOUR_MS} AS ts_ms,
-  first(value ORDER BY ts, event_id) + 100 AS o, max(value) + 100 AS h, min(value) + 100 AS l, last(value ORDER BY ts, event_id) + 100 AS c, CAST(count(*) AS DOUBLE) AS v
+  first(value ORDER BY ts, event_id NULLS FIRST, value) + 100 AS o, max(value) + 100 AS h, min(value) + 100 AS l, last(value ORDER BY ts, event_id NULLS FIRST, value) + 100 AS c, CAST(count(*) AS DOUBLE) AS v
   FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2),
 stored AS (SELECT symbol, {SEGMENT} AS segment, interval, ts_ms, o, h, l, c, v FROM (SELECT *, '15m' AS interval FROM bars UNION ALL SELECT *, '1h' FROM hourly))"""
 AGAIN = f"""{STORED}, changed AS (SELECT symbol, segment, interval, ts_ms, o, h, l, c + 1 AS c, v FROM stored WHERE ts_ms >= {AGAIN_MS}),

@@ -44,9 +44,9 @@ def new_keys(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """(symbol, ts_ms, o, h, l, c, v) of pages(symbol, page, row) with row [seconds, o, h, l, c, v]; short or null rows go, the first page's copy of a time stays."""
+    """(symbol, ts_ms, o, h, l, c, v) of pages(symbol, page, row) with row [seconds, o, h, l, c, v]; short or null rows go, the first page's copy of a time stays, of one page's the least row."""
     whole = pages.where(F.size("row") >= 6).withColumn("ts_ms", (F.element_at("row", 1) * 1000).cast("long")).where("ts_ms is not null")
-    first = whole.groupBy("symbol", "ts_ms").agg(F.min_by("row", "page").alias("row"))
+    first = whole.groupBy("symbol", "ts_ms").agg(F.min_by("row", F.struct(F.col("page").isNull(), "page", "row")).alias("row"))
     return first.select("symbol", "ts_ms", *(F.element_at("row", k).alias(c) for k, c in enumerate("ohlcv", 2)))
 
 
