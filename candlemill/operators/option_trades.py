@@ -45,8 +45,8 @@ def repriced(priced: DataFrame, by: list[str]) -> DataFrame:
 def measure(chain: DataFrame, rate: float) -> DataFrame:
     """chain(forward, strike, years, bid, ask, is_call) with mid, iv, delta, theta, and spread, charges and cost in points; strikes without an iv go."""
     mid = (F.col("bid") + F.col("ask")) / 2
-    d = chain.where("bid > 0 and ask > 0").withColumn("mid", mid).withColumn("iv", options.implied_vol(rate)("mid", "forward", "strike", "years", "is_call")).where("iv is not null")
-    d = d.withColumn("m", options.black76(rate)("forward", "strike", "years", "iv", "is_call")).withColumns({"delta": F.col("m.delta"), "theta": F.col("m.theta"), "spread": F.col("ask") - F.col("bid")}).drop("m")
+    d = chain.where("bid > 0 and ask > 0").withColumn("mid", mid).withColumn("m", options.chain_measures(rate)("mid", "forward", "strike", "years", "is_call")).where("m.iv is not null")
+    d = d.withColumns({"iv": F.col("m.iv"), "delta": F.col("m.delta"), "theta": F.col("m.theta"), "spread": F.col("ask") - F.col("bid")}).drop("m")
     d = d.withColumn("charges", option_buy_cost(F.col("mid"), F.col("mid"), LOT, 0.0) / LOT)
     return d.withColumn("cost_pts", F.when(F.col("delta") > 0, (F.col("spread") + F.col("charges")) / F.col("delta")))
 
