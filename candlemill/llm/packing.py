@@ -34,7 +34,7 @@ from candlemill.llm.common import read, table
 
 CAPACITY, END = 4096, 1
 SHARD_TOKENS = 4096 * 4096
-#: Words, and pieces of words, whose ids a worker remembers before it starts anew.
+#: Words, and pieces of words, whose ids a task remembers before it starts anew.
 REMEMBERED = 250_000
 
 
@@ -108,6 +108,11 @@ class WordEncoder:
         self._parts = _Parts(self._whole.model)
         self._words = _Words(self._parts)
 
+    def forget(self) -> None:
+        """Gives back what was remembered; a worker that waits for other stages' tasks keeps the model alone."""
+        self._parts.clear()
+        self._words.clear()
+
     @classmethod
     def _is_known(cls, own: dict) -> bool:
         forms = (own["normalizer"] or {}).get("normalizers", [])
@@ -148,7 +153,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, special_as_text).encode
+        own_encoder = encoder(path, special_as_text)
+        encode = own_encoder.encode
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -161,6 +167,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
                 k, *rest = zip(*rows)
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k)), *(pa.array(x, t) for x, t in zip(rest, kinds))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        own_encoder.forget()
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]).add("piece", "integer")
     for c in ("start", "length", "ids_crc32"):

@@ -79,3 +79,14 @@ def test_pack_is_near_the_bound():
 
 def test_no_documents(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_worker_forgets_after_a_task():
+    """What stays in a worker between tasks is the model, not the words of the last one; ids are the same afterwards."""
+    from candlemill.llm import packing
+
+    e = packing.WordEncoder(packing.vocabulary())
+    first = e.encode("some words and others")
+    assert e._words and e._parts
+    e.forget()
+    assert not e._words and not e._parts and e.encode("some words and others") == first
