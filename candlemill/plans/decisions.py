@@ -17,17 +17,21 @@ RATE = 0.065
 
 #: Every third bar without volume, so that a session may start without any.
 SILENT = BASICS + ", q AS (SELECT * REPLACE (CASE WHEN (ts_ms // 900000) % 3 = 0 THEN 0.0 ELSE v END AS v) FROM b)"
-VWAPS = f"SELECT symbol, ts_ms, day, CASE WHEN sum(v) {DAYW} > 0 THEN sum((h + l + c) / 3 * v) {DAYW} / sum(v) {DAYW} END AS vwap, avg((h + l + c) / 3) {DAYW} AS plain FROM q"
+#: Sums are folded in order of time, as a window in Spark adds them up; those of an engine's choosing differ in the last digit.
+_UPTO = lambda x: f"list_reduce(list({x}) {DAYW}, lambda y, z: y + z)"
+VWAPS = f"SELECT symbol, ts_ms, day, CASE WHEN sum(v) {DAYW} > 0 THEN {_UPTO('(h + l + c) / 3 * v')} / sum(v) {DAYW} END AS vwap, {_UPTO('(h + l + c) / 3')} / count(*) {DAYW} AS plain FROM q"
 
 
 def _silent(spark, d):
     return bars(spark, d).withColumn("v", F.when(F.expr("(ts_ms div 900000) % 3 = 0"), 0.0).otherwise(F.col("v")))
 
 
-@query(f"WITH {SILENT}, x AS ({VWAPS}) SELECT symbol, ts_ms, round(vwap, 6) AS vwap, round(coalesce(vwap, plain), 6) AS chart_vwap FROM x")
+@query(f"WITH {SILENT}, x AS ({VWAPS}) SELECT symbol, ts_ms, floor(vwap * 1e6 + 0.5::DOUBLE) / 1e6 AS vwap, floor(coalesce(vwap, plain) * 1e6 + 0.5::DOUBLE) / 1e6 AS chart_vwap FROM x")
 def c10_running_vwap(spark, d):
     """Session VWAP as the replay (C10) and the chart (C11) have it, on bars of which a third is silent."""
-    return rounded(structure.running_vwap(_silent(spark, d)).select("symbol", "ts_ms", "vwap", "chart_vwap"))
+    b = structure.running_vwap(_silent(spark, d))
+    near = lambda x: (F.floor(F.col(x) * 1e6 + 0.5) / 1e6).alias(x)  # noqa: E731 - engines round halves each in its own way
+    return b.select("symbol", "ts_ms", near("vwap"), near("chart_vwap"))
 
 
 @query(f"WITH {IND} SELECT symbol, ts_ms, round(rsi, 6) AS rsi FROM i QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts_ms DESC) <= 40")

@@ -1,5 +1,6 @@
 """Queries and their SQL on events whose ids repeat with other values, as in tables put together."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,3 +26,12 @@ def repeated(spark, tmp_path_factory):
 def test_ties_are_decided(spark, repeated, name):
     columns, want = duck(repeated, registry.oracle_sql()[name])
     assert spark_rows(registry.queries()[name](spark, repeated)) == (columns, want)
+
+
+def test_running_sums_are_equal_to_the_last_digit(spark, tmp_path):
+    """Sixty copies make volumes that put the session's price between two sixth decimals."""
+    e = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("event_type = 'error'")
+    e.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(59)))).withColumn("event_id", F.col("event_id") + F.col("copy") * 100_000).drop("copy").write.parquet(str(tmp_path / "events.parquet"))
+    name, exact = "c10_running_vwap", lambda data: sorted(tuple(r) for r in data)
+    sql = registry.oracle_sql()[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert exact(registry.queries()[name](spark, str(tmp_path)).collect()) == exact(duckdb.sql(sql).fetchall())
