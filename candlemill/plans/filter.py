@@ -32,7 +32,8 @@ def samples(spark, d):
 
 
 def _scored(spark, d, seeds=SEEDS):
-    return boost.walk_forward(samples(spark, d), ORDER, seeds)
+    """Scores of all samples, written as the samples are: both are gone through several times."""
+    return written(boost.walk_forward(written(samples(spark, d), "samples"), ORDER, seeds), "scored")
 
 
 @query()
@@ -48,7 +49,7 @@ def f22_signal_filter(spark, d):
 @query()
 def f23_signal_importances(spark, d):
     """Each feature's share of the gain in the last fold's model."""
-    s = regime.folds(samples(spark, d), [], ORDER)
+    s = regime.folds(written(samples(spark, d), "samples"), [], ORDER)
     gains = boost.importances(boost.models(s, ORDER, 4, (7,)), decisions.FEATURES).where("of = 3")
     return rounded(gains.select("feature", "gain_pct"), 4)
 

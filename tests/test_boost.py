@@ -75,3 +75,11 @@ def test_too_few_samples_give_nothing(spark):
     assert boost.walk_forward(_samples(spark, *_data(30, rng)), ["ts_ms", "symbol"]).count() == 0
     x, _ = _data(500, rng)
     assert boost.walk_forward(_samples(spark, x, np.ones(500)), ["ts_ms", "symbol"], rounds=2).count() == 0
+
+
+def test_each_fit_has_a_task_of_its_own(spark):
+    """Training rows are few bytes and many seconds: fits that share a task run one after the other."""
+    given = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("label"), F.array(F.rand(1), F.rand(2)).alias("features"), F.floor(F.col("id") / 100).cast("int").alias("fold"))
+    fitted = boost.models(given, ["id"], 4, (0, 1, 2), rounds=2).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["of"], r["seed"]) for r in fitted} == {(of, seed) for of in (1, 2, 3) for seed in (0, 1, 2)}
+    assert len({r["task"] for r in fitted}) == len(fitted) == 9
