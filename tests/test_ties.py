@@ -31,6 +31,7 @@ def test_ties_are_decided(spark, repeated, name):
 EXACT = [
     "a2_stored_latest",
     "a3_stored_upsert",
+    "a3_upsert",
 ]
 
 
