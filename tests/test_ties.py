@@ -32,6 +32,7 @@ EXACT = [
     "a2_stored_latest",
     "a3_stored_upsert",
     "a3_upsert",
+    "a8_paged_landing",
 ]
 
 
