@@ -33,6 +33,7 @@ EXACT = [
     "a3_stored_upsert",
     "a3_upsert",
     "a8_paged_landing",
+    "b13_overall_calls",
 ]
 
 
