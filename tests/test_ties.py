@@ -34,6 +34,7 @@ EXACT = [
     "a3_upsert",
     "a8_paged_landing",
     "b13_overall_calls",
+    "b13_watch_calls",
 ]
 
 
