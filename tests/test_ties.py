@@ -35,6 +35,7 @@ EXACT = [
     "a8_paged_landing",
     "b13_overall_calls",
     "b13_watch_calls",
+    "c16_previous_close",
 ]
 
 
