@@ -36,6 +36,7 @@ EXACT = [
     "b13_overall_calls",
     "b13_watch_calls",
     "c16_previous_close",
+    "c19_streak",
 ]
 
 
