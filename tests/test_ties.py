@@ -37,6 +37,7 @@ EXACT = [
     "b13_watch_calls",
     "c16_previous_close",
     "c19_streak",
+    "c1_ema",
 ]
 
 
