@@ -38,6 +38,7 @@ EXACT = [
     "c16_previous_close",
     "c19_streak",
     "c1_ema",
+    "c1_trailing_ema",
 ]
 
 
