@@ -39,6 +39,7 @@ EXACT = [
     "c19_streak",
     "c1_ema",
     "c1_trailing_ema",
+    "c20_returns",
 ]
 
 
