@@ -40,8 +40,8 @@ STORED = f"""{BARS}, hourly AS (SELECT event_type AS symbol, CAST(floor(epoch_ms
   first(value ORDER BY ts, event_id NULLS FIRST, value) + 100 AS o, max(value) + 100 AS h, min(value) + 100 AS l, last(value ORDER BY ts, event_id NULLS FIRST, value) + 100 AS c, CAST(count(*) AS DOUBLE) AS v
   FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2),
 feed AS (SELECT symbol, {SEGMENT} AS segment, interval, ts_ms, o, h, l, c, v FROM (SELECT *, '15m' AS interval FROM bars UNION ALL SELECT *, '1h' FROM hourly)), stored AS (SELECT * FROM feed WHERE {WHOLE})"""
-AGAIN = f"""{STORED}, changed AS (SELECT symbol, segment, interval, ts_ms, o, h, l, c + 1 AS c, v FROM stored WHERE ts_ms >= {AGAIN_MS}),
-pull AS (SELECT * FROM changed UNION ALL SELECT symbol, segment, interval, max(ts_ms) + CASE WHEN interval = '1h' THEN {HOUR_MS} ELSE 900000 END, 100, 100, 100, 100, 1 FROM changed GROUP BY symbol, segment, interval)"""
+AGAIN = f"""{STORED}, changed AS (SELECT symbol, segment, interval, ts_ms, o, h, l, c + 1 AS c, v FROM feed WHERE ts_ms >= {AGAIN_MS}),
+pull AS (SELECT * FROM (SELECT * FROM changed UNION ALL SELECT symbol, segment, interval, max(ts_ms) + CASE WHEN interval = '1h' THEN {HOUR_MS} ELSE 900000 END, 100, 100, 100, 100, 1 FROM changed GROUP BY symbol, segment, interval) WHERE {WHOLE})"""
 
 
 @query(f"WITH {STORED} SELECT ts_ms, {ROUND('o', 'h', 'l', 'c', 'v')} FROM stored WHERE symbol = 'view' AND segment = 'INDEX' AND interval = '15m' AND ts_ms BETWEEN {FROM_MS} AND {TO_MS}")
