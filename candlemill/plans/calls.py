@@ -15,7 +15,7 @@ from candlemill.sources.testdata import DAILY, VIX, bars, daily, load, volatilit
 # landing
 
 
-@query("""WITH r AS (SELECT event_id, event_type AS symbol, epoch_ms(ts) // 900000 * 900 AS sec, value FROM events WHERE event_id % 10 IS DISTINCT FROM 0)
+@query("""WITH r AS (SELECT event_id, event_type AS symbol, epoch_ms(ts) // 900000 * 900 AS sec, value FROM events WHERE event_id % 10 IS DISTINCT FROM 0 AND ts IS NOT NULL)
 SELECT symbol, sec * 1000 AS ts_ms, round(value, 6) AS o, round(value + 1, 6) AS h FROM r QUALIFY row_number() OVER (PARTITION BY symbol, sec ORDER BY event_id, value NULLS FIRST) = 1""")
 def a8_paged_landing(spark, d):
     """Crawled rows [seconds, o, h, l, c, v] in page order; those cut short go, and the first copy of a time stays."""

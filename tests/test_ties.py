@@ -78,6 +78,7 @@ def odd(spark, tmp_path_factory):
 ODD = [
     "a2_stored_latest",
     "a3_stored_upsert",
+    "a8_paged_landing",
 ]
 
 
