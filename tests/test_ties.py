@@ -79,6 +79,7 @@ ODD = [
     "a2_stored_latest",
     "a3_stored_upsert",
     "a8_paged_landing",
+    "c16_previous_close",
 ]
 
 
@@ -90,3 +91,13 @@ def test_odd_events_leave_equal_rows(spark, odd, name):
     plain = lambda v: "nan" if v != v else v
     rows = lambda data: sorted((tuple(plain(v) for v in r) for r in data), key=repr)
     assert rows(tuple(r[i] for i in order) for r in df.collect()) == rows(got.fetchall())
+
+
+SERIES = [
+    "c16_previous_close",
+]
+
+
+@pytest.mark.parametrize("name", SERIES)
+def test_bars_without_a_symbol_are_a_series(spark, odd, name):
+    assert registry.queries()[name](spark, odd).where("symbol is null").count() > 0
