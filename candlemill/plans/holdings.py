@@ -94,7 +94,7 @@ def h2_ranked_holding_calls(spark, d):
     return holdings.ranked(h, ["portfolio"], "id")
 
 
-@query(f"""WITH {BASICS}, z AS (SELECT symbol, day, last(c ORDER BY ts_ms) AS lc FROM b GROUP BY symbol, day), p AS (SELECT symbol, day, lag(lc) OVER (PARTITION BY symbol ORDER BY day) AS pc FROM z), x AS (SELECT b.symbol, ts_ms, CASE WHEN pc <> 0 THEN (c - pc) / pc * 100 ELSE 0 END AS g FROM b JOIN p USING (symbol, day))
+@query(f"""WITH {BASICS}, z AS (SELECT symbol, day, last(c ORDER BY ts_ms) AS lc FROM b GROUP BY symbol, day), p AS (SELECT symbol, day, lag(lc) OVER (PARTITION BY symbol ORDER BY day) AS pc FROM z), x AS (SELECT b.symbol, ts_ms, CASE WHEN pc <> 0 THEN (c - pc) / pc * 100 ELSE 0 END AS g FROM b JOIN p ON p.symbol IS NOT DISTINCT FROM b.symbol AND p.day = b.day)
 SELECT symbol, ts_ms, CASE WHEN g >= 2 THEN 'SELL' WHEN g <= -2 THEN 'BUY' WHEN g >= 0.8 THEN 'HOLD' WHEN g <= -0.8 THEN 'BUY' ELSE 'HOLD' END AS action, CASE WHEN abs(g) >= 2 THEN 58 WHEN g >= 0.8 THEN 45 WHEN g <= -0.8 THEN 50 ELSE 40 END AS confidence FROM x""")
 def b13_watch_calls(spark, d):
     b = indicators.previous_close(bars(spark, d)).withColumn("x", holdings.watch_call(F.col("day_change"), F.col("c")))

@@ -80,6 +80,7 @@ ODD = [
     "a3_stored_upsert",
     "a8_paged_landing",
     "c16_previous_close",
+    "b13_watch_calls",
 ]
 
 
@@ -95,6 +96,7 @@ def test_odd_events_leave_equal_rows(spark, odd, name):
 
 SERIES = [
     "c16_previous_close",
+    "b13_watch_calls",
 ]
 
 
