@@ -3,7 +3,8 @@
 An exponential average is y <- (1-k) y + k x, so a chunk of values is one affine map. Each chunk's
 map is folded on its own, the value that enters a chunk is composed from the maps before it, and
 the chunk is then replayed from that value. A chunk has at least eight periods, so the maps of
-more than BACK chunks before scale what entered them by less than a double can tell.
+more than BACK chunks before scale what entered them by less than a double can tell. What is infinite or no
+number stays so at any distance, so it is carried on by itself.
 """
 
 from __future__ import annotations
@@ -26,12 +27,16 @@ def ema(df: DataFrame, value: str, period: int, out: str, by: str = "symbol", or
     start = F.when(F.col("__chunk") == 0, first).otherwise(0.0)
     own = F.aggregate("points", start, lambda y, p: y * (1 - k) + p["x"] * k)
     chunks = chunks.withColumn("map", F.struct(F.when(F.col("__chunk") == 0, 0.0).otherwise(F.pow(F.lit(1 - k), F.size("points"))).alias("a"), own.alias("b")))
-    maps = F.collect_list("map").over(Window.partitionBy(by).orderBy("__chunk").rowsBetween(-BACK, -1))
-    chunks = chunks.withColumn("enter", F.when(F.col("__chunk") == 0, first).otherwise(F.aggregate(maps, F.lit(0.0), lambda y, m: y * m["a"] + m["b"])))
+    earlier = Window.partitionBy(by).orderBy("__chunk")
+    maps = F.collect_list("map").over(earlier.rowsBetween(-BACK, -1))
+    odd = F.when(F.isnan(F.col("map.b") - F.col("map.b")), F.col("map.b")).otherwise(0.0)  # infinite or no number: no distance makes it small
+    kept = F.sum(odd).over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    chunks = chunks.withColumn("enter", F.when(F.col("__chunk") == 0, first).otherwise(F.aggregate(maps, F.lit(0.0), lambda y, m: y * m["a"] + m["b"]) + kept))
     seed = F.slice(F.array(F.struct(F.lit(None).cast(df.schema[order].dataType).alias("at"), F.col("enter").alias("y"))), 1, 1)
     run = F.aggregate("points", seed, lambda ys, p: F.concat(ys, F.array(F.struct(p["at"].alias("at"), (F.element_at(ys, -1)["y"] * (1 - k) + p["x"] * k).alias("y")))))
-    values = chunks.select(by, F.explode(F.slice(run, 2, F.size("points"))).alias("v")).select(by, F.col("v.at").alias(order), F.col("v.y").alias(out))
-    return df.join(values, [by, order])
+    values = chunks.select(F.col(by).alias("__by"), F.explode(F.slice(run, 2, F.size("points"))).alias("v")).select("__by", F.col("v.at").alias("__at"), F.col("v.y").alias(out))
+    own = F.col(by).eqNullSafe(F.col("__by")) & (F.col(order) == F.col("__at"))  # rows without a by are a series too
+    return df.join(values, own).drop("__by", "__at")
 
 
 def trailing(df: DataFrame, value: str, period: int, bars: int, out: str, by: str = "symbol", order: str = "ts_ms") -> DataFrame:

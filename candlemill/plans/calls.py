@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from candlemill.functions.scan import ema
 from candlemill.operators import grading, indicators, trend
 from candlemill.plans.decisions import RULES
-from candlemill.plans.market import IND, MERGED, TRADES, _graded, _recursive, _trades, graded_sql, query, rounded
+from candlemill.plans.market import IND, MERGED, TRADES, _graded, _recursive, _trades, graded_sql, query, rounded, same
 from candlemill.sources import archive
 from candlemill.sources.testdata import DAILY, VIX, bars, daily, load, volatility
 
@@ -44,8 +44,8 @@ def f6_strategy_votes(spark, d):
     return trend.by_strategy(b.withColumn("factors", F.array(*said)), "ret_5").select("symbol", "ts_ms", "strategy", "available", "buy_w", "sell_w", "action", "confidence")
 
 
-@query(f"""WITH RECURSIVE {IND}, {_recursive(12, 'i', 'c', 'f')}, {_recursive(26, 'i', 'c', 's')}, m AS (SELECT symbol, n, f.y - s.y AS line FROM f JOIN s USING (symbol, n)), {_recursive(9, 'm', 'line', 'g')},
-x AS (SELECT i.*, line - g.y AS hist FROM i JOIN m USING (symbol, n) JOIN g USING (symbol, n) WHERE n >= 26),
+@query(f"""WITH RECURSIVE {IND}, {_recursive(12, 'i', 'c', 'f')}, {_recursive(26, 'i', 'c', 's')}, m AS (SELECT f.symbol, f.n, f.y - s.y AS line FROM f {same('f', 's')}), {_recursive(9, 'm', 'line', 'g')},
+x AS (SELECT i.*, line - g.y AS hist FROM i {same('i', 'm', 'g')} WHERE i.n >= 26),
 y AS (SELECT symbol, ts_ms, CASE WHEN rsi < 30 AND hist > 0 THEN 72 WHEN rsi < 35 THEN 62 WHEN rsi > 70 AND hist < 0 THEN 70 WHEN rsi > 65 THEN 58 WHEN c <= bb_lower * 1.002 THEN 64 WHEN c >= bb_upper * 0.998 THEN 63 WHEN hist > 0 AND rsi BETWEEN 40 AND 60 THEN 54 END AS prob FROM x)
 SELECT symbol, ts_ms, CASE WHEN prob IN (72, 62, 64, 54) THEN 'BUY' ELSE 'SELL' END AS type, CASE WHEN prob >= 70 THEN 'STRONG' WHEN prob = 54 THEN 'WEAK' ELSE 'MODERATE' END AS strength, prob FROM y WHERE prob IS NOT NULL""")
 def f1_setups(spark, d):
@@ -59,7 +59,7 @@ def f1_setups(spark, d):
 CALLS = f"""{DAILY}, {VIX}, dn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) AS n FROM daily), {_recursive(20, 'dn', 'c', 'e')},
 vr AS (SELECT day, CASE WHEN row_number() OVER w >= 20 THEN close / avg(close) OVER (ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS ratio FROM vix WINDOW w AS (ORDER BY day)),
 j AS (SELECT dn.*, e.y AS e20, ratio, (c - lag(c, 3) OVER w) / lag(c, 3) OVER w * 100 AS m3, (c - lag(c) OVER w) / lag(c) OVER w * 100 AS m1, CASE WHEN h > l THEN (c - l) / (h - l) END AS pos, lead(dn.day) OVER w AS called, lead((c - o) / o * 100) OVER w AS ret
- FROM dn JOIN e USING (symbol, n) LEFT JOIN vr ON vr.day = dn.day WINDOW w AS (PARTITION BY symbol ORDER BY dn.day)),
+ FROM dn {same('dn', 'e')} LEFT JOIN vr ON vr.day = dn.day WINDOW w AS (PARTITION BY dn.symbol ORDER BY dn.day)),
 t AS (SELECT symbol, called AS day, ret, CASE WHEN c > e20 THEN 2 ELSE 0 END + CASE WHEN m3 > 0.5 THEN 1 ELSE 0 END + CASE WHEN m1 >= 1 THEN 2 ELSE 0 END + CASE WHEN pos >= 0.7 THEN 1 ELSE 0 END AS up,
  CASE WHEN c <= e20 THEN 2 ELSE 0 END + CASE WHEN m3 < -0.5 THEN 1 ELSE 0 END + CASE WHEN m1 <= -1 THEN 1 ELSE 0 END + CASE WHEN pos <= 0.3 THEN 1 ELSE 0 END AS down, CASE WHEN m3 BETWEEN -0.5 AND 0.5 THEN 1 ELSE 0 END + CASE WHEN ratio >= 1.15 THEN 2 ELSE 0 END AS flat FROM j WHERE n >= 21 AND called IS NOT NULL),
 calls AS (SELECT *, (up - down) / (up + down + flat) AS lean, CASE WHEN (up - down) / (up + down + flat) >= 0.2::DOUBLE THEN 'UP' WHEN (up - down) / (up + down + flat) <= -0.2::DOUBLE THEN 'DOWN' ELSE 'FLAT' END AS action FROM t)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from candlemill.functions import options
 from candlemill.functions.quantile import at_shares
 from candlemill.operators import decisions, indicators, regime, structure
-from candlemill.plans.market import BASICS, DAYW, IND, MERGED, ROUND, TRADES, _graded, _recursive, _trades, graded_sql, phi, query, rounded
+from candlemill.plans.market import BASICS, DAYW, IND, MERGED, ROUND, TRADES, _graded, _recursive, _trades, graded_sql, phi, query, rounded, same
 from candlemill.sources import archive
 from candlemill.sources.testdata import BARS, VIX, bars, load, volatility
 
@@ -244,7 +244,7 @@ def g3_sweeps(spark, d):
     return rounded(structure.sweeps(bars(spark, d)))
 
 
-@query(f"""WITH RECURSIVE {SILENT}, {_recursive(20, 'b', 'c', 'e')}, x AS ({VWAPS}), y AS (SELECT b.symbol, b.ts_ms, e.y AS ema, vwap, lag(e.y) OVER w AS pe, lag(vwap) OVER w AS pv FROM b JOIN e USING (symbol, n) JOIN x ON x.symbol = b.symbol AND x.ts_ms = b.ts_ms WINDOW w AS (PARTITION BY b.symbol, b.day ORDER BY b.ts_ms)),
+@query(f"""WITH RECURSIVE {SILENT}, {_recursive(20, 'b', 'c', 'e')}, x AS ({VWAPS}), y AS (SELECT b.symbol, b.ts_ms, e.y AS ema, vwap, lag(e.y) OVER w AS pe, lag(vwap) OVER w AS pv FROM b {same('b', 'e')} JOIN x ON x.symbol IS NOT DISTINCT FROM b.symbol AND x.ts_ms = b.ts_ms WINDOW w AS (PARTITION BY b.symbol, b.day ORDER BY b.ts_ms)),
 z AS (SELECT *, CASE WHEN pe < pv AND ema >= vwap THEN 'LONG' WHEN pe > pv AND ema <= vwap THEN 'SHORT' END AS direction FROM y) SELECT symbol, ts_ms, direction, round(ema, 6) AS ema, round(vwap, 6) AS vwap FROM z WHERE direction IS NOT NULL""")
 def g9_crosses(spark, d):
     return rounded(structure.crosses(_silent(spark, d)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from candlemill.functions.market import day_minutes
 from candlemill.functions.scan import ema
 from candlemill.operators import decisions, indicators, regime, structure
-from candlemill.plans.market import IND, _recursive, query, rounded
+from candlemill.plans.market import IND, _recursive, query, rounded, same
 from candlemill.plans.replays import ZONES
 from candlemill.sources.testdata import bars, volatility
 
@@ -28,10 +28,10 @@ def analyzed(b: DataFrame) -> DataFrame:
 LIQ = """lt AS (SELECT *, v > 0 AS traded, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts_ms) AS k FROM bars),
 lr AS (SELECT *, CASE WHEN traded AND k >= 5 THEN avg(v) OVER (PARTITION BY symbol, traded ORDER BY ts_ms ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / avg(v) OVER (PARTITION BY symbol, traded ORDER BY ts_ms) END AS own FROM lt),
 lq AS (SELECT symbol, ts_ms, CASE WHEN k < 5 THEN 'Unknown' WHEN coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_ms), 1) >= 1.25 THEN 'High' WHEN coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_ms), 1) <= 0.75 THEN 'Low' ELSE 'Normal' END AS liq FROM lr)"""
-ALL = f"""{IND}, {', '.join(_recursive(k, 'i', 'c', f'e{k}') for k in (12, 20, 26, 50))}, mm AS (SELECT e12.symbol, e12.n, e12.y - e26.y AS line FROM e12 JOIN e26 USING (symbol, n)), {_recursive(9, 'mm', 'line', 'e9')}, {LIQ}, {ZONES},
+ALL = f"""{IND}, {', '.join(_recursive(k, 'i', 'c', f'e{k}') for k in (12, 20, 26, 50))}, mm AS (SELECT e12.symbol, e12.n, e12.y - e26.y AS line FROM e12 {same('e12', 'e26')}), {_recursive(9, 'mm', 'line', 'e9')}, {LIQ}, {ZONES},
 zs AS (SELECT g.symbol, g.n, CASE side WHEN 'bull' THEN 'BUY' ELSE 'SELL' END AS ztype, coalesce(p, q) IS NOT NULL AS inside FROM g JOIN f ON f.symbol = g.symbol AND f.mid = coalesce(p, q, r)),
 an AS (SELECT i.*, line - e9.y AS hist, e20.y AS y20, e50.y AS y50, liq, ztype, inside, greatest(atr * 0.6, (resistance - support) * 0.06) AS near, CASE WHEN resistance = support THEN 1 ELSE resistance - support END AS span
- FROM i JOIN mm USING (symbol, n) JOIN e9 USING (symbol, n) JOIN e20 USING (symbol, n) JOIN e50 USING (symbol, n) JOIN lq ON lq.symbol = i.symbol AND lq.ts_ms = i.ts_ms LEFT JOIN zs ON zs.symbol = i.symbol AND zs.n = i.n),
+ FROM i {same('i', 'mm', 'e9', 'e20', 'e50')} JOIN lq ON lq.symbol = i.symbol AND lq.ts_ms = i.ts_ms LEFT JOIN zs ON zs.symbol = i.symbol AND zs.n = i.n),
 fa AS (SELECT symbol, ts_ms, 'Fair value gap' AS name, ztype AS type, CASE WHEN inside THEN 3 ELSE 2 END AS weight FROM an WHERE ztype IS NOT NULL
  UNION ALL SELECT symbol, ts_ms, CASE WHEN z IN (4, 2) THEN 'Support zone' WHEN z IN (-4, -2) THEN 'Resistance zone' ELSE 'S/R mid-range' END, CASE WHEN z > 1 THEN 'BUY' WHEN z < -1 THEN 'SELL' ELSE 'HOLD' END, abs(z) FROM
   (SELECT symbol, ts_ms, CASE WHEN c - support <= near THEN 4 WHEN resistance - c <= near THEN -4 WHEN (c - support) / span < 0.35 THEN 2 WHEN (c - support) / span > 0.65 THEN -2 ELSE 1 END AS z FROM an)

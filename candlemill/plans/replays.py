@@ -11,7 +11,7 @@ from candlemill.operators import decisions, grading, indicators, option_trades,
 from candlemill.operators.supertrend import supertrend
 from candlemill.plans.calls import CALLS
 from candlemill.plans.decisions import RATE, VIXED, VOTES, _options, _votes, _vixed, option_sql
-from candlemill.plans.market import BASICS, MERGED, READINGS, _recursive, economics_sql, graded_sql, query, rounded
+from candlemill.plans.market import BASICS, MERGED, READINGS, _recursive, economics_sql, graded_sql, query, rounded, same
 from candlemill.sources.testdata import BARS, DAILY, bars, volatility
 
 # series
@@ -92,7 +92,7 @@ def g17_replay_variants(spark, d):
 CROSS_VARIANTS = (("both", "both", 10.0, 1.5), ("longs", "LONG", 10.0, 1.5), ("loose", "both", 20.0, 0.5))
 CROSSES = f"""{BASICS}, {_recursive(9, 'b', 'c', 'e')}, var(variant, sides, stop_pts, min_rr) AS (VALUES {', '.join(map(str, CROSS_VARIANTS))}),
 q1 AS (SELECT b.*, e.y AS ema, row_number() OVER d - 1 AS k, count(*) OVER (PARTITION BY b.symbol, b.day) AS bars, sum((h + l + c) / 3 * v) OVER d / sum(v) OVER d AS vwap, min(l) OVER z AS lo, max(h) OVER z AS hi, CAST(floor(((ts_ms + 19800000) % 86400000) / 60000) AS INT) AS minutes
- FROM b JOIN e USING (symbol, n) WINDOW d AS (PARTITION BY b.symbol, b.day ORDER BY b.ts_ms), z AS (PARTITION BY b.symbol ORDER BY b.ts_ms ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+ FROM b {same('b', 'e')} WINDOW d AS (PARTITION BY b.symbol, b.day ORDER BY b.ts_ms), z AS (PARTITION BY b.symbol ORDER BY b.ts_ms ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 q2 AS (SELECT *, lag(ema) OVER w AS pe, lag(vwap) OVER w AS pv, lead(o) OVER w AS entry, lead(ts_ms) OVER w AS entry_ms FROM q1 WINDOW w AS (PARTITION BY symbol, day ORDER BY ts_ms)),
 q3 AS (SELECT *, CASE WHEN pe < pv AND ema >= vwap THEN 1 WHEN pe > pv AND ema <= vwap THEN -1 END AS way FROM q2 WHERE bars >= 4),
 q4 AS (SELECT q3.*, variant, sides, stop_pts, min_rr, CASE WHEN way = 1 THEN hi ELSE lo END AS target, entry - way * stop_pts::DOUBLE AS stop FROM q3, var WHERE way IS NOT NULL AND k >= 2),

@@ -10,7 +10,7 @@ from candlemill.operators.decisions import half_up
 from candlemill.plans.calls import CALLS, GROUPS, HEAD, NAMES, SPLIT
 from candlemill.plans.decisions import RULES, _silent
 from candlemill.plans.features import ALL, analyzed
-from candlemill.plans.market import BASICS, IND, MERGED, READINGS, TRADES, _recursive, _trades, economics_sql, graded_sql, phi, query, rounded
+from candlemill.plans.market import BASICS, IND, MERGED, READINGS, TRADES, _recursive, _trades, economics_sql, graded_sql, phi, query, rounded, same
 from candlemill.sources.testdata import bars, daily, load, volatility
 
 #: variant, opening range counts, long only, least stop, target and stop in ranges, strategy.
@@ -101,8 +101,8 @@ def f1_all_setups(spark, d):
 
 
 @query(f"""WITH RECURSIVE {BASICS}, {_recursive(12, 'b', 'c', 'f')}, {_recursive(26, 'b', 'c', 's')},
-m AS (SELECT symbol, n, round(f.y - s.y, 4) AS line FROM f JOIN s USING (symbol, n)), {_recursive(9, 'm', 'line', 'g')}
-SELECT b.symbol, b.ts_ms, CASE WHEN n < 26 THEN 0 ELSE floor(line * 1000 + 0.5::DOUBLE) / 1000 END AS v, CASE WHEN n < 26 THEN 0 ELSE floor(g.y * 1000 + 0.5::DOUBLE) / 1000 END AS s, CASE WHEN n < 26 THEN 0 ELSE floor((line - g.y) * 1000 + 0.5::DOUBLE) / 1000 END AS h FROM b JOIN m USING (symbol, n) JOIN g USING (symbol, n)""")
+m AS (SELECT f.symbol, f.n, round(f.y - s.y, 4) AS line FROM f {same('f', 's')}), {_recursive(9, 'm', 'line', 'g')}
+SELECT b.symbol, b.ts_ms, CASE WHEN b.n < 26 THEN 0 ELSE floor(line * 1000 + 0.5::DOUBLE) / 1000 END AS v, CASE WHEN b.n < 26 THEN 0 ELSE floor(g.y * 1000 + 0.5::DOUBLE) / 1000 END AS s, CASE WHEN b.n < 26 THEN 0 ELSE floor((line - g.y) * 1000 + 0.5::DOUBLE) / 1000 END AS h FROM b {same('b', 'm', 'g')}""")
 def c3_macd_reading(spark, d):
     """The indicator's form: the line has four digits before its average, and all is 0 under 26 bars."""
     b = ema(ema(indicators.with_basics(bars(spark, d)), "c", 12, "fast"), "c", 26, "slow").withColumn("line", F.round(F.col("fast") - F.col("slow"), 4))

@@ -81,6 +81,7 @@ ODD = [
     "a8_paged_landing",
     "c16_previous_close",
     "b13_watch_calls",
+    "c1_ema",
 ]
 
 
@@ -97,6 +98,7 @@ def test_odd_events_leave_equal_rows(spark, odd, name):
 SERIES = [
     "c16_previous_close",
     "b13_watch_calls",
+    "c1_ema",
 ]
 
 
