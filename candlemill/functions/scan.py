@@ -47,9 +47,23 @@ def trailing(df: DataFrame, value: str, period: int, bars: int, out: str, by: st
     a fold of every window would.
     """
     k, w = 2.0 / (period + 1), Window.partitionBy(by).orderBy(order)
-    rows = ema(df, value, period, "__y", by, order)
-    ago = F.lag(F.col("__y") - F.col(value), bars - 1).over(w)
-    return rows.withColumn(out, F.col("__y") - F.coalesce(ago * (1 - k) ** (bars - 1), F.lit(0.0))).drop("__y")
+    rows = ema(_finite(df, value, bars, w), "__x", period, "__y", by, order)
+    ago = F.lag(F.col("__y") - F.col("__x"), bars - 1).over(w)
+    own = F.col("__y") - F.coalesce(ago * (1 - k) ** (bars - 1), F.lit(0.0))
+    return rows.withColumn(out, F.coalesce("__odd", own)).drop("__x", "__y", "__odd")
+
+
+def _finite(df: DataFrame, value: str, bars: int, w) -> DataFrame:
+    """df with __x, value with 0 for what is infinite or no number, and __odd, what such values make of a fold of the last bars values, else null.
+
+    Windows without them are then folded as if they had never been.
+    """
+    x, past, nan, inf = F.col(value).cast("double"), w.rowsBetween(Window.unboundedPreceding, 0), float("nan"), float("inf")
+    rows = df.withColumn("__n", F.row_number().over(w))
+    seen = lambda v: F.coalesce(F.col("__n") - F.last(F.when(x == v, F.col("__n")), True).over(past) < bars, F.lit(False))  # noqa: E731 - NaN equals NaN in Spark
+    rows = rows.withColumns({"__nan": seen(nan), "__up": seen(inf), "__down": seen(-inf)})
+    odd = F.when(F.col("__nan") | (F.col("__up") & F.col("__down")), nan).when(F.col("__up"), inf).when(F.col("__down"), -inf)
+    return rows.withColumns({"__x": F.when(F.isnan(x - x), 0.0).otherwise(x), "__odd": odd}).drop("__n", "__nan", "__up", "__down")
 
 
 def trailing_line(df: DataFrame, value: str, fast: int, slow: int, signal: int, bars: int, by: str = "symbol", order: str = "ts_ms") -> DataFrame:
@@ -60,11 +74,11 @@ def trailing_line(df: DataFrame, value: str, fast: int, slow: int, signal: int,
     as in trailing(), so again nothing is folded a window.
     """
     rates, m = [2.0 / (p + 1) for p in (fast, slow, signal)], bars - 1
-    rows = ema(ema(df, value, fast, "__f", by, order), value, slow, "__s", by, order).withColumn("__l", F.col("__f") - F.col("__s"))
-    rows = ema(rows, "__l", signal, "__g", by, order)
     w = Window.partitionBy(by).orderBy(order)
+    rows = ema(ema(_finite(df, value, bars, w), "__x", fast, "__f", by, order), "__x", slow, "__s", by, order).withColumn("__l", F.col("__f") - F.col("__s"))
+    rows = ema(rows, "__l", signal, "__g", by, order)
     ago = lambda c: F.coalesce(F.lag(c, m).over(w), F.lit(0.0))  # noqa: E731 - windows not yet full are the series so far
-    f0, s0, g0 = ago(F.col("__f") - F.col(value)), ago(F.col("__s") - F.col(value)), ago(F.col("__g") - F.col("__l"))
+    f0, s0, g0 = ago(F.col("__f") - F.col("__x")), ago(F.col("__s") - F.col("__x")), ago(F.col("__g") - F.col("__l"))
     weights = []
     for rate in rates[:2]:  # average, after m bars, of a term that begins at 1 and shrinks by its own rate
         y, term = 1.0, 1.0
@@ -75,4 +89,5 @@ def trailing_line(df: DataFrame, value: str, fast: int, slow: int, signal: int,
     (a, a_mean), (b, b_mean) = weights
     line = F.col("__l") - f0 * a + s0 * b
     mean = F.col("__g") - g0 * (1 - rates[2]) ** m - f0 * a_mean + s0 * b_mean
-    return rows.withColumns({"line": line, "signal": mean}).drop("__f", "__s", "__l", "__g")
+    said = lambda y: F.when(F.col("__odd").isNotNull(), float("nan")).otherwise(y)  # noqa: E731 - the line is infinity less infinity
+    return rows.withColumns({"line": said(line), "signal": said(mean)}).drop("__x", "__odd", "__f", "__s", "__l", "__g")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlemill import registry
+from candlemill.functions.scan import ema, trailing
 from tests.oracle import duck, spark_rows
 
 SF = "/root/testdata/sf0.001"
@@ -82,6 +83,7 @@ ODD = [
     "c16_previous_close",
     "b13_watch_calls",
     "c1_ema",
+    "c1_trailing_ema",
 ]
 
 
@@ -99,9 +101,20 @@ SERIES = [
     "c16_previous_close",
     "b13_watch_calls",
     "c1_ema",
+    "c1_trailing_ema",
 ]
 
 
 @pytest.mark.parametrize("name", SERIES)
 def test_bars_without_a_symbol_are_a_series(spark, odd, name):
     assert registry.queries()[name](spark, odd).where("symbol is null").count() > 0
+
+
+def test_an_average_stays_no_number_and_a_trailing_one_recovers(spark):
+    """A value that is no number lies more chunks back than the scan puts together."""
+    rows = [(s, i, float("nan") if i == 10 else float(i % 7)) for s in ("a", None) for i in range(2500)]
+    b = spark.createDataFrame(rows, "symbol string, ts_ms long, c double")
+    got = trailing(ema(b, "c", 20, "whole"), "c", 20, 375, "late").orderBy("ts_ms").collect()
+    assert len(got) == 5000
+    assert all((r.whole != r.whole) == (r.ts_ms >= 10) for r in got)
+    assert all((r.late != r.late) == (10 <= r.ts_ms < 385) for r in got)
