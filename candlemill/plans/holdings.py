@@ -10,7 +10,7 @@ from candlemill.functions.scan import ema
 from candlemill.operators import grading, holdings, indicators, signals, trend
 from candlemill.operators.decisions import half_up
 from candlemill.plans.calls import HEAD
-from candlemill.plans.market import BASICS, COST, IND, MERGED, TRADES, _recursive, _trades, graded_sql, query, rounded
+from candlemill.plans.market import BASICS, COST, IND, MERGED, TRADES, _recursive, _trades, graded_sql, query, rounded, same
 from candlemill.sources import archive
 from candlemill.sources.testdata import BARS, DAILY, bars, daily, epoch_ms, load
 
@@ -101,8 +101,8 @@ def b13_watch_calls(spark, d):
     return b.select("symbol", "ts_ms", "x.*")
 
 
-@query(f"""WITH RECURSIVE {IND}, {', '.join(_recursive(k, 'i', 'c', f'e{k}') for k in (12, 20, 26, 50))}, mm AS (SELECT e12.symbol, e12.n, e12.y - e26.y AS line FROM e12 JOIN e26 USING (symbol, n)), {_recursive(9, 'mm', 'line', 'e9')},
-x AS (SELECT i.*, line - e9.y AS hist, e20.y AS y20, e50.y AS y50 FROM i JOIN mm USING (symbol, n) JOIN e9 USING (symbol, n) JOIN e20 USING (symbol, n) JOIN e50 USING (symbol, n) WHERE n >= 50),
+@query(f"""WITH RECURSIVE {IND}, {', '.join(_recursive(k, 'i', 'c', f'e{k}') for k in (12, 20, 26, 50))}, mm AS (SELECT e12.symbol, e12.n, e12.y - e26.y AS line FROM e12 {same('e12', 'e26')}), {_recursive(9, 'mm', 'line', 'e9')},
+x AS (SELECT i.*, line - e9.y AS hist, e20.y AS y20, e50.y AS y50 FROM i {same('i', 'mm', 'e9', 'e20', 'e50')} WHERE i.n >= 50),
 p AS (SELECT symbol, ts_ms, CASE WHEN rsi < 30 THEN 4 WHEN rsi < 40 THEN 1 ELSE 0 END + CASE WHEN hist > 0 THEN 3 ELSE 0 END + CASE WHEN c > y20 AND c > y50 THEN 1 ELSE 0 END + CASE WHEN c <= bb_lower THEN 1 ELSE 0 END + CASE WHEN stoch < 20 THEN 1 ELSE 0 END + CASE WHEN ret_5 >= 0.5 THEN 1 ELSE 0 END AS buy_points,
  CASE WHEN rsi > 70 THEN 4 WHEN rsi > 60 THEN 1 ELSE 0 END + CASE WHEN hist > 0 THEN 0 ELSE 3 END + CASE WHEN c < y20 AND c < y50 THEN 1 ELSE 0 END + CASE WHEN c > bb_lower AND c >= bb_upper THEN 1 ELSE 0 END + CASE WHEN stoch > 80 THEN 1 ELSE 0 END + CASE WHEN ret_5 <= -0.5 THEN 1 ELSE 0 END AS sell_points FROM x)
 SELECT symbol, ts_ms, CAST(buy_points AS INT) AS buy_points, CAST(sell_points AS INT) AS sell_points, CASE WHEN buy_points > sell_points + 1 THEN 'BUY' WHEN sell_points > buy_points + 1 THEN 'SELL' ELSE 'HOLD' END AS action,
