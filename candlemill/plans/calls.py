@@ -10,17 +10,17 @@ from candlemill.operators import grading, indicators, trend
 from candlemill.plans.decisions import RULES
 from candlemill.plans.market import IND, MERGED, TRADES, _graded, _recursive, _trades, graded_sql, query, rounded, same
 from candlemill.sources import archive
-from candlemill.sources.testdata import DAILY, VIX, bars, daily, load, volatility
+from candlemill.sources.testdata import DAILY, MS, VIX, bars, daily, epoch_ms, load, volatility
 
 # landing
 
 
-@query("""WITH r AS (SELECT event_id, event_type AS symbol, epoch_ms(ts) // 900000 * 900 AS sec, value FROM events WHERE event_id % 10 IS DISTINCT FROM 0 AND ts IS NOT NULL)
+@query(f"""WITH r AS (SELECT event_id, event_type AS symbol, CAST(floor({MS} / 900000) AS BIGINT) * 900 AS sec, value FROM events WHERE event_id % 10 IS DISTINCT FROM 0 AND ts IS NOT NULL)
 SELECT symbol, sec * 1000 AS ts_ms, round(value, 6) AS o, round(value + 1, 6) AS h FROM r QUALIFY row_number() OVER (PARTITION BY symbol, sec ORDER BY event_id, value NULLS FIRST) = 1""")
 def a8_paged_landing(spark, d):
     """Crawled rows [seconds, o, h, l, c, v] in page order; those cut short go, and the first copy of a time stays."""
     e = load(spark, d, "events")
-    at, v = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 900000 * 900").cast("double"), F.col("value")
+    at, v = (F.floor(epoch_ms("ts") / 900_000) * 900).cast("double"), F.col("value")
     whole = F.array(at, v, v + 1, v - 1, v, F.lit(1.0))
     pages = e.select(F.col("event_type").alias("symbol"), F.col("event_id").alias("page"), F.when(F.col("event_id") % 10 == 0, F.slice(whole, 1, 5)).otherwise(whole).alias("row"))
     return rounded(archive.clean_pages(pages).select("symbol", "ts_ms", "o", "h"))

@@ -12,7 +12,7 @@ from candlemill.operators.decisions import half_up
 from candlemill.plans.calls import HEAD
 from candlemill.plans.market import BASICS, COST, IND, MERGED, TRADES, _recursive, _trades, graded_sql, query, rounded, same
 from candlemill.sources import archive
-from candlemill.sources.testdata import BARS, DAILY, bars, daily, epoch_ms, load
+from candlemill.sources.testdata import BARS, DAILY, MS, bars, daily, epoch_ms, load
 
 # archive and landing
 
@@ -48,7 +48,7 @@ def a10_symbols(spark, d):
 # scalars
 
 
-@query("WITH t AS (SELECT event_id, epoch_us(ts) // 1000 + 19800000 AS ms FROM events) SELECT event_id, CAST(floor(ms / 86400000) AS INT) AS day, strftime(make_timestamp(ms * 1000), '%H:%M') AS label, CAST(floor((ms % 86400000) / 60000) AS INT) AS minutes, CAST(isodow(make_timestamp(ms * 1000)) - 1 AS INT) AS weekday FROM t")
+@query(f"WITH t AS (SELECT event_id, {MS} + 19800000 AS ms FROM events) SELECT event_id, CAST(floor(ms / 86400000) AS INT) AS day, strftime(make_timestamp(ms * 1000), '%H:%M') AS label, CAST(floor((ms - floor(ms / 86400000) * 86400000) / 60000) AS INT) AS minutes, CAST(isodow(make_timestamp(ms * 1000)) - 1 AS INT) AS weekday FROM t")
 def b1_calendar_keys(spark, d):
     """Day, clock label, minute of the day and weekday at +05:30."""
     e = load(spark, d, "events").select("event_id", epoch_ms("ts").alias("ms"))

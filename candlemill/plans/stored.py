@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from candlemill.plans.market import ROUND, query, rounded
 from candlemill.sources.shared import shared_path
 from candlemill.sources.store import KEY, BarStore
-from candlemill.sources.testdata import BARS, bars
+from candlemill.sources.testdata import BARS, MS, bars
 
 HOUR_MS, AGAIN_MS, FROM_MS, TO_MS = 3_600_000, 1_705_276_800_000, 1_704_412_800_000, 1_705_276_800_000
 SEGMENT = "CASE WHEN symbol IN ('purchase', 'error') THEN 'EQUITY' ELSE 'INDEX' END"
@@ -36,7 +36,7 @@ def _store(spark, d, pulls: int = 1) -> BarStore:
 
 
 WHOLE = "symbol IS NOT NULL AND NOT (isnan(o) OR isnan(h) OR isnan(l) OR isnan(c))"  # the store keeps no row without a key or a price
-STORED = f"""{BARS}, hourly AS (SELECT event_type AS symbol, CAST(floor(epoch_ms(ts) / {HOUR_MS}) AS BIGINT) * {HOUR_MS} AS ts_ms,
+STORED = f"""{BARS}, hourly AS (SELECT event_type AS symbol, CAST(floor({MS} / {HOUR_MS}) AS BIGINT) * {HOUR_MS} AS ts_ms,
   first(value ORDER BY ts, event_id NULLS FIRST, value) + 100 AS o, max(value) + 100 AS h, min(value) + 100 AS l, last(value ORDER BY ts, event_id NULLS FIRST, value) + 100 AS c, CAST(count(*) AS DOUBLE) AS v
   FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2),
 feed AS (SELECT symbol, {SEGMENT} AS segment, interval, ts_ms, o, h, l, c, v FROM (SELECT *, '15m' AS interval FROM bars UNION ALL SELECT *, '1h' FROM hourly)), stored AS (SELECT * FROM feed WHERE {WHOLE})"""

@@ -120,3 +120,35 @@ def test_an_average_stays_no_number_and_a_trailing_one_recovers(spark):
     assert len(got) == 5000
     assert all((r.whole != r.whole) == (r.ts_ms >= 10) for r in got)
     assert all((r.late != r.late) == (10 <= r.ts_ms < 385) for r in got)
+
+
+def events(spark, tmp_path, rows):
+    """A folder with events of (event_id, ts, event_type, value) alone."""
+    e = spark.createDataFrame(rows, "event_id long, ts string, event_type string, value double")
+    e.withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def exact(spark, d, name):
+    """Rows of the query and of its SQL, to the last digit."""
+    df = registry.queries()[name](spark, d)
+    got = duckdb.sql(registry.oracle_sql()[name].replace("FROM events", f"FROM '{d}/events.parquet/*.parquet'"))
+    order = [df.columns.index(c) for c in got.columns]
+    return sorted((tuple(r[i] for i in order) for r in df.collect()), key=repr), sorted(got.fetchall(), key=repr)
+
+
+def ends(spark, tmp_path, year):
+    """Forty bars of two events, the second half a millisecond before the bar's end or less."""
+    at = lambda k, tail: f"{year}-01-20 {10 + k // 4 % 10:02d}:{k % 4 * 15 + 14:02d}:{tail}"
+    rows = [(2 * k + i, at(k, tail), "a", v) for k in range(40) for i, tail, v in ((0, "30", k * 7 % 50 + 1.0), (1, f"59.{999_500 + k}", k * 37 % 90 + 1.0))]
+    return events(spark, tmp_path, rows)
+
+
+@pytest.mark.parametrize("year", [2024, 1950])
+@pytest.mark.parametrize("name", ["a3_upsert", "a3_stored_upsert", "a8_paged_landing", "b1_calendar_keys"])
+def test_a_bars_last_half_millisecond_is_its_own(spark, tmp_path, name, year):
+    got, want = exact(spark, ends(spark, tmp_path, year), name)
+    assert got == want
+    if name == "a3_upsert":
+        volumes = [r[-1] for r in got]
+        assert volumes == [2.0] * 40 + [1.0] * (year == 2024)
