@@ -152,3 +152,14 @@ def test_a_bars_last_half_millisecond_is_its_own(spark, tmp_path, name, year):
     if name == "a3_upsert":
         volumes = [r[-1] for r in got]
         assert volumes == [2.0] * 40 + [1.0] * (year == 2024)
+
+
+def test_streaks_count_a_bars_last_half_millisecond(spark, tmp_path):
+    got, want = exact(spark, ends(spark, tmp_path, 2024), "c19_streak")
+    assert got == want
+    closes = [k * 37 % 90 for k in range(40)]
+    run, streaks = 0, [0]
+    for a, b in zip(closes, closes[1:]):
+        run = max(run, 0) + 1 if b > a else min(run, 0) - 1
+        streaks.append(run)
+    assert [r[-1] for r in got] == streaks
