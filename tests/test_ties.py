@@ -163,3 +163,12 @@ def test_streaks_count_a_bars_last_half_millisecond(spark, tmp_path):
         run = max(run, 0) + 1 if b > a else min(run, 0) - 1
         streaks.append(run)
     assert [r[-1] for r in got] == streaks
+
+
+def test_large_prices_keep_their_digits(spark, tmp_path):
+    """Three prices that round(x, 6) of DuckDB changes, and one past its decimals."""
+    values = [2.87e12, 3872839470.9300003, 9007199254.740993, 1e35]
+    d = events(spark, tmp_path, [(k, f"2024-01-20 {10 + k}:00:00", "a", v) for k, v in enumerate(values)])
+    got, want = exact(spark, d, "a3_upsert")
+    assert got == want
+    assert got[0][2] == 2870000000100.0
