@@ -1,5 +1,7 @@
 """Queries and their SQL on events whose ids repeat with other values, as in tables put together."""
 
+import statistics
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +174,23 @@ def test_large_prices_keep_their_digits(spark, tmp_path):
     got, want = exact(spark, d, "a3_upsert")
     assert got == want
     assert got[0][2] == 2870000000100.0
+
+
+def test_returns_leave_out_closes_of_zero(spark, tmp_path):
+    """A return from a close of 0 is 0, and none of the last 20 that the deviation takes."""
+    values = [-100.0 if k in (3, 25) else k * 37 % 90 + 1.0 for k in range(60)]
+    d = events(spark, tmp_path, [(k, f"2024-01-20 {k // 4:02d}:{k % 4 * 15:02d}:00", "a", v) for k, v in enumerate(values)])
+    got, want = exact(spark, d, "c20_returns")
+    assert got == want
+    c, one = [v + 100 for v in values], []
+    for k, (_, _, five, twenty, vol) in enumerate(got):
+        one += [(c[k] - c[k - 1]) / c[k - 1] * 100] if k and c[k - 1] else []
+        assert five == pytest.approx((c[k] - c[k - 5]) / c[k - 5] * 100 if k >= 5 and c[k - 5] else 0.0, abs=1e-6)
+        assert twenty == pytest.approx((c[k] - c[k - 20]) / c[k - 20] * 100 if k >= 20 and c[k - 20] else 0.0, abs=1e-6)
+        assert vol == pytest.approx(statistics.pstdev(one[-20:]) if len(one) >= 20 else 0.0, abs=1e-6)
+
+
+def test_returns_of_large_prices_leave_equal_rows(spark, tmp_path):
+    d = events(spark, tmp_path, [(k, f"2024-01-20 {k // 4:02d}:{k % 4 * 15:02d}:00", "a", (k * 37 % 90 + 0.37) * (1e9 if k % 3 else 1.0)) for k in range(90)])
+    got, want = exact(spark, d, "c20_returns")
+    assert got == want
